@@ -9,11 +9,18 @@ from .common import table
 from .decontam import decontaminate
 from .mix import plan_mix
 from .oracle import ORACLE
+from .pii import KINDS, count, find_pii, listed
 from .shard import shard_interleaved
 
 N_SHARDS = 24
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [count("base", k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law: rows. Text is reduced to its size and checksum before any row moves."""
     docs = table(spark, sf_dir, "documents")
@@ -33,6 +40,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
     "op6_mixing": op6_mixing,
     "op9_decontamination": op9_decontamination,
