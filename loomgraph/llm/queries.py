@@ -10,7 +10,9 @@ from .decontam import decontaminate
 from .mix import plan_mix
 from .oracle import ORACLE
 from .pii import KINDS, count, find_pii, listed
+from .quality import judge_quality
 from .shard import shard_interleaved
+from .toxicity import score_toxicity
 
 N_SHARDS = 24
 
@@ -30,6 +32,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = F.col("size") * F.size("draws")
     return plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
@@ -42,6 +52,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op9_decontamination": op9_decontamination,
 }
