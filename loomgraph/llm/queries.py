@@ -12,6 +12,7 @@ from .oracle import ORACLE
 from .pii import KINDS, count, find_pii, listed
 from .quality import judge_quality
 from .shard import shard_interleaved
+from .substring import repeated_units
 from .toxicity import score_toxicity
 
 N_SHARDS = 24
@@ -45,6 +46,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each line or sentence that is removed, so a document without repeats has none."""
+    return repeated_units(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op8_substrings": op8_substrings,
     "op9_decontamination": op9_decontamination,
 }
 
