@@ -11,6 +11,7 @@ from .mix import plan_mix
 from .oracle import ORACLE
 from .pii import KINDS, count, find_pii, listed
 from .quality import judge_quality
+from .secrets import find_secrets
 from .shard import shard_interleaved
 from .substring import repeated_units
 from .toxicity import score_toxicity
@@ -46,6 +47,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each line or sentence that is removed, so a document without repeats has none."""
     return repeated_units(table(spark, sf_dir, "documents"))
@@ -61,6 +66,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_secrets": op7_secrets,
     "op8_substrings": op8_substrings,
     "op9_decontamination": op9_decontamination,
 }
