@@ -91,3 +91,29 @@ def ranked(df: DataFrame, group: str | None, bucket: Column, order: list[Column]
         .withColumns({"__rank": F.col("__n0") + F.row_number().over(inside), "__before": F.col("__s0") + F.sum("__w").over(up_to) - F.col("__w")})
         .drop("__g", "__gn", "__gk", "__b", "__w", "__n0", "__s0")
     )
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Rows (node, label) for every node of edges(a, b); label: the least node it can be reached from.
+
+    Least labels go to the neighbours, then every node takes its label's label,
+    so the distance covered doubles each round. Every round is a written table.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = settle(both)
+    labels = settle(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+    for _ in range(most_rounds):
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        spread = labels.join(near, labels.node == near.a, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
+        spread = settle(spread)
+        of = spread.select(F.col("node").alias("__n"), F.col("next").alias("__l"))
+        moved = settle(spread.join(of, spread.next == of["__n"], "left").select("node", F.col("label").alias("old"), F.least("next", F.coalesce("__l", "next")).alias("label")))
+        labels = moved.select("node", "label")
+        if moved.filter("label <> old").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it is counted to hold most_rows narrow rows at most."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import decontaminate
 from .mix import plan_mix
+from .ngram_join import similar_documents
 from .oracle import ORACLE
 from .pii import KINDS, count, find_pii, listed
 from .quality import judge_quality
@@ -34,6 +35,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +68,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
+    "op3_ngram_join": op3_ngram_join,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
