@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import decontaminate
+from .embedding import near_vectors
 from .mix import plan_mix
 from .ngram_join import similar_documents
 from .oracle import ORACLE
@@ -65,6 +66,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept", F.round("recall", 3).alias("audited_recall"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
@@ -75,6 +80,7 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op8_substrings": op8_substrings,
     "op9_decontamination": op9_decontamination,
+    "op10_embeddings": op10_embeddings,
 }
 
 
