@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, small
 
 #: A run of `WINDOW` shared words is found for certain: K + SPAN - 1 = WINDOW.
 WINDOW, K, SPAN = 10, 5, 6
@@ -47,21 +47,14 @@ def _windows(df: DataFrame, keep: list[str], size: int) -> DataFrame:
     return df.filter(F.size("words") >= size).select(*keep, F.explode(two).alias("__x")).select(*keep, "__x.pos", F.lit(size).alias("len"), "__x.h", "__x.h2")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one for each row of docs.
+def text_key() -> list[Column]:
+    """96 bits that stand for the text of a row; null: as empty."""
+    return [F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t1"), F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("t2")]
 
-    Winnowed fingerprints of documents are joined with those of the items; the
-    texts that share one are compared with all windows of the items, and their
-    windows are laid over the words. No shared run of WINDOW words is missed.
-    Items of fewer words are one window each; they are looked for by their first word.
-    Work is done once for each distinct text, so copies cost nothing.
 
-    Null and empty texts have no words and are clean; items without words or
-    that are null never occur; an item without id marks words but isn't counted;
-    items with the same id count as one. Other columns are ignored; empty
-    tables give no row, or clean rows.
-    """
-    key = [F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t1"), F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("t2")]
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t1, t2, n_words) of all rows, and (t1, t2, n_hit, ids) of the texts that hold windows of items."""
+    key = text_key()
     read = docs.select("doc_id", *key, words_of(F.col("text")).alias("words"))
     marked = settle(fingerprints(read, "words", "prints").select("doc_id", "t1", "t2", F.size("words").alias("n_words"), "prints"))
     items = settle(benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0))
@@ -88,8 +81,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hits.groupBy("t1", "t2").agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("at"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
         .select("t1", "t2", F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda a: a["n"]).alias("n_hit"), "ids")
     )
+    return marked.select("doc_id", "t1", "t2", "n_words"), laid
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one for each row of docs.
+
+    Winnowed fingerprints of documents are joined with those of the items; the
+    texts that share one are compared with all windows of the items, and their
+    windows are laid over the words. No shared run of WINDOW words is missed.
+    Items of fewer words are one window each; they are looked for by their first word.
+    Work is done once for each distinct text, so copies cost nothing.
+
+    Null and empty texts have no words and are clean; items without words or
+    that are null never occur; an item without id marks words but isn't counted;
+    items with the same id count as one. Other columns are ignored; empty
+    tables give no row, or clean rows.
+    """
+    marked, laid = overlaps(docs, benchmark)
     none = F.array().cast("array<string>")
-    out = marked.select("doc_id", "t1", "t2", "n_words").join(laid, ["t1", "t2"], "left")
+    out = marked.join(laid, ["t1", "t2"], "left")
     hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     ids = F.coalesce(F.col("ids"), none)
     return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs whose text holds no window of an item, with all their columns."""
+    _, laid = overlaps(docs, benchmark)
+    bad = small(settle(laid.select("t1", "t2")))
+    kept = docs.withColumns({"__t1": text_key()[0], "__t2": text_key()[1]})
+    return kept.join(bad, (kept["__t1"] == bad["t1"]) & (kept["__t2"] == bad["t2"]), "left_anti").drop("__t1", "__t2")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, settle, small
+from .decontam import text_key
 from .packed import Packed, chunks, mixed
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -234,7 +235,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, n_words: in
     columns are ignored.
     """
     n_bands = bands_for(threshold, recall)
-    key = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("t1"), F.hash(F.coalesce("text", F.lit(""))).alias("t2")]
+    key = text_key()
     # A digest of the set, its bands and its sketch, once for each row of docs.
     read = docs.select(F.monotonically_increasing_id().alias("rid"), *key, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType
@@ -284,3 +285,15 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, n_words: in
         F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_links", F.lit(0)).cast("long").alias("n_class_links"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.when(alone, True).otherwise(own.eqNullSafe(F.col("doc_id"))), F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """docs with one row of each group of linked documents: that of the least doc_id. All columns stay.
+
+    Of rows with one id one stays; rows with a null id are told apart by their text only where another id leads their group.
+    """
+    judged = settle(similar_documents(docs, threshold, n_words, recall).select("doc_id", "kept"))
+    gone = small(judged.filter(~F.col("kept")).select("doc_id").distinct())
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = judged.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,6 +131,25 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     return GatedAttention(WIDTH).fit([np.asarray(x, dtype=np.float32).reshape(-1, WIDTH) for x in rows["x"]], y, seed)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT, **options) -> DataFrame:
+    """The rows of docs that score cut or more, with all their columns."""
+    model = train(docs, labels, **options)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, texts in chunks(batch.column(at).to_pylist()):
+                if isinstance(model, float):
+                    good = np.full(len(texts), model >= cut)
+                else:
+                    x, owner = passages(Packed(texts))
+                    good = model.forward(x, np.searchsorted(owner, np.arange(len(texts) + 1)))[0] >= cut
+                if good.any():
+                    yield batch.slice(first, last - first).filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     """Rows (keep..., score), one for each row of docs; score: how likely the label is 1.
 
