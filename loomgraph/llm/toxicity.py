@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
 from .fitting import Adam, held_out, sampled, sigmoid
 from .packed import Packed, chunks, mixed
 
@@ -33,58 +34,33 @@ def features(p: Packed) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct features of each text, and two minima of them scattered, in which near copies agree."""
     for pdf in batches:
         for first, last, texts in chunks(pdf["text"].tolist()):
             owner, ids = features(Packed(texts))
             pairs = np.unique(owner * DIMS + ids)
             cut = np.searchsorted(pairs, np.arange(len(texts) + 1) * DIMS)
             rows = [(pairs[a:b] % DIMS).astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
-            yield pd.DataFrame({"pos": pdf["pos"].to_numpy()[first:last], "ids": rows})
+            h = [mixed(r.astype(np.uint64)) for r in rows]
+            k1 = [int(x.min() >> np.uint64(1)) if len(x) else 0 for x in h]
+            k2 = [int(mixed(x).min() >> np.uint64(1)) if len(x) else 0 for x in h]
+            yield pd.DataFrame({"pos": pdf["pos"].to_numpy()[first:last], "k1": k1, "k2": k2, "ids": rows})
 
 
-def unlike(docs: list[np.ndarray]) -> list[np.ndarray]:
-    """The first of the documents that agree in two minima of their scattered features."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for d in docs:
-        h = mixed(d.astype(np.uint64))
-        key = (int(h.min()), int(mixed(h).min())) if len(d) else (0, 0)
-        if key not in seen:
-            seen.add(key)
-            out.append(d)
-    return out
-
-
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
-    """(feature ids, weights, bias) of a linear scorer with the non-negative risk.
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a linear scorer with the non-negative risk; texts are lists of features below width.
 
     Risk: prior * E_pos[l(+)] + max(0, E_unl[l(-)] - prior * E_pos[l(-)]), with
     logistic loss; where the second part falls below zero its gradient is turned
-    round. Features are those in five positives or more, at least twice as
-    frequent there as among the unlabelled, and so by a Poisson likelihood ratio
-    of exp(14); their weights are not negative, so no text is cleared by its
-    length. Near copies count once. Without positives the scorer is constant.
+    round. Weights are not negative, so no text is cleared by its length.
+    Without positives the scorer is constant.
     """
-    pos, unl = unlike(pos), unlike(unl)
     if not pos or not unl:
-        return np.zeros(0, np.int64), np.zeros(0), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999))))
-    dp, du = np.bincount(np.concatenate(pos), minlength=DIMS), np.bincount(np.concatenate(unl), minlength=DIMS)
-    expected = len(pos) * (du + 0.5) / len(unl)
-    kept = np.flatnonzero((dp >= 5) & (dp >= 2 * expected) & (dp * np.log(np.maximum(dp, 1) / expected) - dp + expected >= 14))
-    place = np.full(DIMS, -1)
-    place[kept] = np.arange(len(kept))
-
-    def rows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        at = [place[d] for d in docs]
-        at = [a[a >= 0] for a in at]
-        n = np.array([len(a) for a in at])
-        return np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([[0], np.cumsum(n)])
-
-    (pi, pc), (ui, uc) = rows(pos), rows(unl)
-    w, b = np.zeros(len(kept)), np.array([-1.0])
+        return np.zeros(width), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999))))
+    flat = lambda docs: (np.concatenate(docs).astype(np.int64), np.repeat(np.arange(len(docs)), [len(d) for d in docs]))
+    (pi, rp), (ui, ru) = flat(pos), flat(unl)
+    w, b = np.zeros(width), np.array([-1.0])
     opt = Adam([w, b], rate)
-
-    rp, ru = np.repeat(np.arange(len(pos)), np.diff(pc)), np.repeat(np.arange(len(unl)), np.diff(uc))
     for step in range(steps):
         opt.rate = rate * (1 - 0.9 * step / steps)
         sp = sigmoid(np.bincount(rp, w[pi], len(pos)) + b[0])
@@ -92,25 +68,44 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps:
         negative = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
         gp, gu, back = -prior * (1 - sp) / len(pos), su / len(unl), -prior * sp / len(pos)
         gp, gu = (gp + back, gu) if negative >= 0 else (-back, -gu)
-        opt.step([np.bincount(pi, gp[rp], len(w)) + np.bincount(ui, gu[ru], len(w)) + decay * w, np.array([gp.sum() + gu.sum()])])
+        opt.step([np.bincount(pi, gp[rp], width) + np.bincount(ui, gu[ru], width) + decay * w, np.array([gp.sum() + gu.sum()])])
         np.maximum(w, 0, out=w)
-    return kept, w, float(b[0])
+    return w, float(b[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, seed: int = 5):
-    """Fit on bounded samples outside the held-out fold: confirmed toxic texts, and texts of any kind taken as unlabelled.
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+    """(feature ids, weights, bias), fitted on bounded samples outside the held-out fold.
 
-    The class prior is the share of toxic rows among the labels outside that fold.
+    The samples are confirmed toxic texts, and texts of any kind taken as
+    unlabelled; near copies count once. Features are those in five positives or
+    more, at least twice as frequent there as among the unlabelled, and so by a
+    Poisson likelihood ratio of exp(14); only these reach the driver. The class
+    prior is the share of toxic rows among the labels outside the fold.
     """
     known = labels.filter(~held_out(FOLDS, HELD_OUT) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0))).first()
+    prior = min(0.9, max(1e-3, toxic / n)) if n else 0.05
     pos = sampled(known.filter("toxic = 1").select("doc_id"), most_positive, seed)
     unl = sampled(docs.filter(~held_out(FOLDS, HELD_OUT)).select("doc_id"), most_unlabelled, seed + 1)
     chosen = pos.select("doc_id", F.lit(True).alias("pos")).unionByName(unl.select("doc_id", F.lit(False).alias("pos")))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("pos", "text").mapInPandas(_encode, "pos boolean, ids array<int>").toPandas()
-    texts = lambda keep: [np.asarray(x, dtype=np.int64) for x in rows["ids"][rows["pos"] == keep]]
-    prior = min(0.9, max(1e-3, toxic / n)) if n else 0.05
-    return fit_nnpu(texts(True), texts(False), prior)
+    encoded = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("pos", "text").mapInPandas(_encode, "pos boolean, k1 long, k2 long, ids array<int>")
+    encoded = settle(encoded.dropDuplicates(["pos", "k1", "k2"]))
+    n_pos, n_unl = encoded.agg(F.count_if("pos"), F.count_if(~F.col("pos"))).first()
+    if not n_pos or not n_unl:
+        return np.zeros(0, np.int64), *fit_nnpu([], [], 0, prior)
+    seen = encoded.select("pos", F.explode("ids").alias("id")).groupBy("id").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("u"))
+    expected = F.lit(float(n_pos)) * (F.col("u") + 0.5) / F.lit(float(n_unl))
+    telling = seen.filter((F.col("p") >= 5) & (F.col("p") >= 2 * expected) & (F.col("p") * F.log(F.greatest(F.col("p"), F.lit(1)) / expected) - F.col("p") + expected >= 14))
+    kept = np.sort(telling.select("id").toPandas()["id"].to_numpy(dtype=np.int64))
+
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [np.searchsorted(kept, x[np.isin(x, kept)]).astype(np.int32) for x in pdf["ids"]]
+            yield pd.DataFrame({"pos": pdf["pos"], "ids": rows})
+
+    rows = encoded.select("pos", "ids").mapInPandas(narrow, "pos boolean, ids array<int>").toPandas()
+    texts = lambda keep: [np.asarray(x) for x in rows["ids"][rows["pos"] == keep]]
+    return kept, *fit_nnpu(texts(True), texts(False), len(kept), prior)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
