@@ -105,9 +105,9 @@ _BACK = ", ".join([f"d{_DEPTH} AS (SELECT id, 0.0::DOUBLE AS dl FROM x{_DEPTH} W
 _ALL_D = " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(_DEPTH + 1))
 
 
-@_query("betweenness", "ps", f"{_FORWARD}, {_BACK}, d AS ({_ALL_D}) SELECT v.id, x.lvl::INTEGER AS level, round(x.sg, 6) AS sigma, round(d.dl, 6) AS delta FROM v LEFT JOIN x{_DEPTH} x ON x.id = v.id LEFT JOIN d ON d.id = v.id")
+@_query("betweenness", "ps", f"{_FORWARD}, {_BACK}, d AS ({_ALL_D}) SELECT v.id, coalesce(x.lvl, -1)::INTEGER AS level, round(x.sg, 6) AS sigma, round(d.dl, 6) AS delta FROM v LEFT JOIN x{_DEPTH} x ON x.id = v.id LEFT JOIN d ON d.id = v.id")
 def betweenness(g: Graph) -> DataFrame:
-    return algorithms.betweenness(g, _first(g)).select("id", "level", F.round("sigma", 6).alias("sigma"), F.round("delta", 6).alias("delta"))
+    return algorithms.betweenness(g, _first(g)).select("id", F.coalesce("level", F.lit(-1)).alias("level"), F.round("sigma", 6).alias("sigma"), F.round("delta", 6).alias("delta"))
 
 
 _LABELS = lambda times: _chain("SELECT id, id AS l FROM v", "SELECT id, min(l) AS l FROM (SELECT id, l FROM x{j} UNION ALL SELECT dst, l FROM e JOIN x{j} ON x{j}.id = src) GROUP BY id", times, "SELECT id, l AS label FROM {x}")
