@@ -16,7 +16,8 @@ def shard_interleaved(docs: DataFrame, n_shards: int, seed: int = 17) -> DataFra
     into n_shards runs whose row counts differ by one at most.
 
     All columns stay; shard (int) and slot (long, from 0 without gaps) are
-    added and replace columns of those names. Null sources are one stratum,
+    added and replace columns of those names; names that begin with two
+    underscores are reserved. Null sources are one stratum,
     ordered last; null and empty texts count as rows like any other; rows with
     equal ids are ordered by their text's checksum, and rows equal in both are
     interchangeable. An empty input gives an empty output.

@@ -16,6 +16,8 @@ from .packed import Packed, chunks, mixed
 DIMS = 1 << 20
 #: Beginnings of words, in bytes, taken as features beside whole words.
 PREFIXES = (4, 5, 6, 7)
+#: Pairs of minima by which near copies are told in a sample.
+KEYS = 5
 #: Bounds of the samples the model is fitted on.
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 12000
 FOLDS, HELD_OUT = 3, 1
@@ -33,33 +35,49 @@ def features(p: Packed) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(ids).astype(np.int64)
 
 
+def copy_keys(p: Packed) -> np.ndarray:
+    """(texts, KEYS): keys of two minima over scattered word trigrams. Near copies agree in some, other texts in none."""
+    h, owner = p.word_hashes(), p.text_of(p.w0)
+    out = np.zeros((len(p.lens), 2 * KEYS), dtype=np.uint64)
+    total = np.zeros(len(p.lens), dtype=np.uint64)
+    np.add.at(total, owner, h)
+    out[:] = mixed(total + np.uint64(1))[:, None]  # too short for a trigram
+    same = owner[2:] == owner[:-2]
+    tri, owner = mixed(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7))[same], owner[2:][same]
+    if len(tri):
+        full = np.unique(owner)
+        cut = np.searchsorted(owner, full)
+        for k in range(2 * KEYS):
+            out[full, k] = np.minimum.reduceat(mixed(tri + np.uint64(k + 1)), cut)
+    return mixed(out[:, 0::2]) ^ out[:, 1::2]
+
+
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct features of each text, and two minima of them scattered, in which near copies agree."""
+    """The distinct features of each text, and its keys."""
     for pdf in batches:
         for first, last, texts in chunks(pdf["text"].tolist()):
-            owner, ids = features(Packed(texts))
+            p = Packed(texts)
+            owner, ids = features(p)
             pairs = np.unique(owner * DIMS + ids)
             cut = np.searchsorted(pairs, np.arange(len(texts) + 1) * DIMS)
             rows = [(pairs[a:b] % DIMS).astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
-            h = [mixed(r.astype(np.uint64)) for r in rows]
-            k1 = [int(x.min() >> np.uint64(1)) if len(x) else 0 for x in h]
-            k2 = [int(mixed(x).min() >> np.uint64(1)) if len(x) else 0 for x in h]
-            yield pd.DataFrame({"pos": pdf["pos"].to_numpy()[first:last], "k1": k1, "k2": k2, "ids": rows})
+            pairs = copy_keys(p)
+            yield pd.DataFrame({"pos": pdf["pos"].to_numpy()[first:last], **{f"k{k}": np.ascontiguousarray(pairs[:, k]).view(np.int64) for k in range(KEYS)}, "ids": rows})
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior: float, steps: int = 800, rate: float = 0.1, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
     """(weights, bias) of a linear scorer with the non-negative risk; texts are lists of features below width.
 
     Risk: prior * E_pos[l(+)] + max(0, E_unl[l(-)] - prior * E_pos[l(-)]), with
-    logistic loss; where the second part falls below zero its gradient is turned
-    round. Weights are not negative, so no text is cleared by its length.
+    logistic loss, descended on the whole sample at once, and shrink times the sum
+    of the weights, which clears weights that only noise holds up. Weights are not negative, so no text is cleared by its length.
     Without positives the scorer is constant.
     """
     if not pos or not unl:
         return np.zeros(width), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999))))
     flat = lambda docs: (np.concatenate(docs).astype(np.int64), np.repeat(np.arange(len(docs)), [len(d) for d in docs]))
     (pi, rp), (ui, ru) = flat(pos), flat(unl)
-    w, b = np.zeros(width), np.array([-1.0])
+    w, b = np.zeros(width), np.array([np.log(prior / (1 - prior))])
     opt = Adam([w, b], rate)
     for step in range(steps):
         opt.rate = rate * (1 - 0.9 * step / steps)
@@ -67,8 +85,8 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior: fl
         su = sigmoid(np.bincount(ru, w[ui], len(unl)) + b[0])
         negative = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
         gp, gu, back = -prior * (1 - sp) / len(pos), su / len(unl), -prior * sp / len(pos)
-        gp, gu = (gp + back, gu) if negative >= 0 else (-back, -gu)
-        opt.step([np.bincount(pi, gp[rp], width) + np.bincount(ui, gu[ru], width) + decay * w, np.array([gp.sum() + gu.sum()])])
+        gp, gu = (gp + back, gu) if negative >= 0 else (gp, np.zeros_like(gu))
+        opt.step([np.bincount(pi, gp[rp], width) + np.bincount(ui, gu[ru], width) + shrink, np.array([gp.sum() + gu.sum()])])
         np.maximum(w, 0, out=w)
     return w, float(b[0])
 
@@ -77,10 +95,13 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     """(feature ids, weights, bias), fitted on bounded samples outside the held-out fold.
 
     The samples are confirmed toxic texts, and texts of any kind taken as
-    unlabelled; near copies count once. Features are those in five positives or
-    more, at least twice as frequent there as among the unlabelled, and so by a
-    Poisson likelihood ratio of exp(14); only these reach the driver. The class
-    prior is the share of toxic rows among the labels outside the fold.
+    unlabelled; near copies count once. Features are those in five positives and
+    in one of a hundred that are so frequent there, against the unlabelled, that by the prior
+    half of the texts with them are toxic (and at least twice as frequent), with
+    a Poisson likelihood ratio of exp(14); only these reach the driver. The class
+    prior is the share of toxic rows among the labels outside the fold, or, if
+    larger, the median ratio of these features' frequencies in the two samples: a prior
+    that is too low would turn unlabelled toxic texts into counter-examples.
     """
     known = labels.filter(~held_out(FOLDS, HELD_OUT) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0))).first()
@@ -88,15 +109,21 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     pos = sampled(known.filter("toxic = 1").select("doc_id"), most_positive, seed)
     unl = sampled(docs.filter(~held_out(FOLDS, HELD_OUT)).select("doc_id"), most_unlabelled, seed + 1)
     chosen = pos.select("doc_id", F.lit(True).alias("pos")).unionByName(unl.select("doc_id", F.lit(False).alias("pos")))
-    encoded = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("pos", "text").mapInPandas(_encode, "pos boolean, k1 long, k2 long, ids array<int>")
-    encoded = settle(encoded.dropDuplicates(["pos", "k1", "k2"]))
+    encoded = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("pos", "text").mapInPandas(_encode, f"pos boolean, {', '.join(f'k{k} long' for k in range(KEYS))}, ids array<int>")
+    for k in range(KEYS):
+        encoded = encoded.dropDuplicates(["pos", f"k{k}"])
+    encoded = settle(encoded)
     n_pos, n_unl = encoded.agg(F.count_if("pos"), F.count_if(~F.col("pos"))).first()
     if not n_pos or not n_unl:
         return np.zeros(0, np.int64), *fit_nnpu([], [], 0, prior)
     seen = encoded.select("pos", F.explode("ids").alias("id")).groupBy("id").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("u"))
     expected = F.lit(float(n_pos)) * (F.col("u") + 0.5) / F.lit(float(n_unl))
-    telling = seen.filter((F.col("p") >= 5) & (F.col("p") >= 2 * expected) & (F.col("p") * F.log(F.greatest(F.col("p"), F.lit(1)) / expected) - F.col("p") + expected >= 14))
-    kept = np.sort(telling.select("id").toPandas()["id"].to_numpy(dtype=np.int64))
+    telling = seen.filter((F.col("p") >= max(5.0, n_pos / 100)) & (F.col("p") >= max(2.0, 0.5 / prior) * expected) & (F.col("p") * F.log(F.greatest(F.col("p"), F.lit(1)) / expected) - F.col("p") + expected >= 14))
+    telling = telling.toPandas().sort_values("id")
+    kept = telling["id"].to_numpy(dtype=np.int64)
+    if len(kept):
+        common = telling[telling["p"] >= min(20, telling["p"].max())]
+        prior = min(0.9, max(prior, float(((common["u"] / n_unl) / (common["p"] / n_pos)).median())))
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
