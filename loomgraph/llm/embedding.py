@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, settle
-from .ngram_join import _groups, _roots
+from .ngram_join import _groups
 
 COSINE = 0.98
 #: Vectors a medoid stands for, medoids at most, and bounds of the sample they come from.
@@ -70,12 +70,21 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
     return out
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], entries: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) with cosine >= least that greedy walks over the lists come to; every row is a query.
+def thinned(c: np.ndarray, least: float) -> np.ndarray:
+    """The medoids less those in range of one taken before, so that a group of vectors in range of each other isn't dealt over many shards."""
+    kept = np.zeros(len(c), dtype=bool)
+    for i in range(len(c)):
+        kept[i] = not (c[kept] @ c[i] >= least).any()
+    return c[kept]
+
+
+def range_search(x: np.ndarray, lists: list[np.ndarray], entries: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
+    """Matrix (query, row) of the pairs with cosine >= least that greedy walks over the lists come to, in either direction.
 
     Walks begin at the entries and at the query's own node and go on from the
     best nodes seen until the beam holds nothing new; then every node in range
-    is expanded until the range is exhausted.
+    is expanded until the range is exhausted. A query with so many nodes in
+    range that their lists outnumber the rows is compared with all rows.
     """
     n = len(x)
     width = max(1, max((len(a) for a in lists), default=1))
@@ -115,15 +124,23 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], entries: np.ndarray, le
         expand(q, top[q, best[q, k]])
     slack = least - 0.01
     while True:
-        q, nodes = np.nonzero((sim >= slack) & ~done)
+        todo = (sim >= slack) & ~done
+        crowded = np.flatnonzero(todo.sum(1) * width > n)
+        if len(crowded):
+            sim[crowded, :n] = x32[crowded] @ x32.T
+            seen[crowded] = done[crowded] = True
+            todo[crowded] = False
+        q, nodes = np.nonzero(todo)
         if not len(q):
             break
         expand(q, nodes)
-    q, to = np.nonzero(sim[:, :n] >= least - 1e-4)
-    keep = q != to
-    q, to = q[keep], to[keep]
-    exact = np.concatenate([np.einsum("ij,ij->i", x[q[a : a + 200_000]], x[to[a : a + 200_000]]) for a in range(0, len(q), 200_000)] or [np.zeros(0)])
-    return q[exact >= least], to[exact >= least]
+    hit = np.zeros((n, n), dtype=bool)
+    for a in range(0, n, 64):
+        q, to = np.nonzero(sim[a : a + 64, :n] >= least - 1e-4)
+        hit[q + a, to] = np.einsum("ij,ij->i", x[q + a], x[to]) >= least
+    hit |= hit.T.copy()
+    np.fill_diagonal(hit, False)
+    return hit
 
 
 def _matrix(column) -> np.ndarray:
@@ -131,7 +148,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _assign(medoids: dict, overlap: int):
-    """node, grp, v -> a row for each of the shards whose medoids are nearest."""
+    """node, grp, v -> a row for each of the shards whose medoids are nearest; all of them are named in each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -140,12 +157,12 @@ def _assign(medoids: dict, overlap: int):
                 for a in range(0, len(g), 2000):
                     part = g.iloc[a : a + 2000]
                     if c is None:  # no vector of the group is in the sample: one shard for it
-                        yield pd.DataFrame({"node": part["node"], "grp": grp, "shard": -1, "v": part["v"]})
+                        yield pd.DataFrame({"node": part["node"], "grp": grp, "shard": -1, "shards": [[-1]] * len(part), "v": part["v"]})
                         continue
                     k = min(overlap, len(c))
                     near = np.argpartition(-(_unit(_matrix(part["v"])) @ c.T), k - 1, axis=1)[:, :k] + base
                     for j in range(k):
-                        yield pd.DataFrame({"node": part["node"].to_numpy(), "grp": grp, "shard": near[:, j], "v": part["v"].to_numpy()})
+                        yield pd.DataFrame({"node": part["node"].to_numpy(), "grp": grp, "shard": near[:, j], "shards": list(near), "v": part["v"].to_numpy()})
 
     return run
 
@@ -167,56 +184,102 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(lists, pa.list_(pa.int64())), pa.array(np.arange(len(g)) == medoid)], ["node", "near", "medoid"])
 
 
+def _least_linked(hit: np.ndarray) -> np.ndarray:
+    """The least index each row is linked with, over any number of links of a symmetric matrix."""
+    root, free = np.arange(len(hit)), hit.any(1)
+    for i in np.flatnonzero(free):
+        front = np.array([i]) if free[i] else np.zeros(0, dtype=np.int64)
+        free[i] = False
+        while len(front):
+            root[front] = i
+            front = np.flatnonzero(hit[front].any(0) & free)
+            free[front] = False
+    return root
+
+
+def _counted_here(g: pd.DataFrame, q: np.ndarray, to: np.ndarray, shards: np.ndarray) -> np.ndarray:
+    """Whether a pair counts in this task: it does in the least shard and, there, in the first pair of blocks that hold both."""
+    shard, i, j = (int(g[k].iloc[0]) for k in ("shard", "i", "j"))
+    block = g["block"].to_numpy()
+    here = (block[q] != block[to]) | (i == j) | ((i == 0) & ((block[q] == j) | (j == 1)))
+    for column in shards.T:
+        below = column[q] < shard
+        here &= ~(below & (shards[to] == column[q][:, None]).any(1))
+    return here
+
+
 def _search(least: float, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["grp", "shard", "i", "j"]):
             g = g.sort_values("node")
-            node = g["node"].to_numpy()
+            node, copies, audited = g["node"].to_numpy(), g["copies"].to_numpy(), g["audited"].to_numpy()
             index = {int(v): i for i, v in enumerate(node)}
             lists = [np.array([index[v] for v in a if v in index], dtype=np.int64) for a in g["near"]]
             entries = np.flatnonzero(g["medoid"].to_numpy())
-            q, to = range_search(_unit(_matrix(g["v"])), lists, entries if len(entries) else np.array([0]), least, beam)
-            key = np.unique(np.concatenate([q * len(g) + to, to * len(g) + q]))
-            q, to = key // len(g), key % len(g)
-            root = node[_roots(len(g), q, to)]
-            hits = [node[h] for h in np.split(to, np.searchsorted(q, np.arange(1, len(g))))]
-            some = np.array([len(h) > 0 for h in hits])
+            hit = range_search(_unit(_matrix(g["v"])), lists, entries if len(entries) else np.array([0]), least, beam)
+            shards = np.stack(g["shards"].to_numpy())
+            links, hits = np.zeros(len(g), dtype=np.int64), [np.zeros(0, dtype=np.int64)] * len(g)
+            root = _least_linked(hit)
+            for a in range(0, len(g), 64):
+                q, to = np.nonzero(hit[a : a + 64])
+                here = _counted_here(g, q + a, to, shards)
+                q, to = q[here] + a, to[here]
+                np.add.at(links, q, copies[to])
+                for k in np.flatnonzero(audited[a : a + 64]) + a:
+                    hits[k] = node[to[q == k]]
+            some = hit.any(1)
             if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array([h for h, s in zip(hits, some) if s], pa.list_(pa.int64())), pa.array(root[some])], ["node", "hits", "root"])
+                arrays = [pa.array(node[some]), pa.array(links[some]), pa.array([h for h, s in zip(hits, some) if s], pa.list_(pa.int64())), pa.array(node[root[some]])]
+                yield pa.RecordBatch.from_arrays(arrays, ["node", "links", "hits", "root"])
 
     return run
 
 
-def _links(nodes: DataFrame, least: float, overlap: int, beam: int) -> DataFrame:
-    """Rows (node, hits, root) of the search, once for each shard pair of blocks."""
+def _audited(n: int, most: int) -> Column:
+    span = 1 << 20
+    return F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(span)) < min(span, int(span * most / max(n, 1)))
+
+
+def _links(nodes: DataFrame, least: float, overlap: int | None, beam: int) -> DataFrame:
+    """Rows (node, links, hits, root) of the search, once for each shard pair of blocks.
+
+    links counts rows, each pair of nodes in one of the tasks that find it; hits
+    names the nodes, for those that are audited. Without an overlap each group is one shard.
+    """
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = nodes.count()
+    medoids = _medoids(nodes, n, least) if overlap else {}
+    shards = settle(nodes.select("node", "grp", "v").mapInPandas(_assign(medoids, overlap or 1), "node long, grp string, shard long, shards array<long>, v array<double>"))
+    sizes = shards.groupBy("grp", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    shards = shards.join(sizes, ["grp", "shard"]).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
+    shards = settle(shards)
+    built = shards.select("grp", "shard", "block", "node", "v").repartitionByRange(parts, "grp", "shard", "block").sortWithinPartitions("grp", "shard", "block").mapInArrow(_build, "node long, near array<long>, medoid boolean")
+    graph = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid"))
+    graph = settle(graph.join(nodes.select("node", "copies", _audited(n, AUDITED).alias("audited")), "node"))
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))))
+    pairs = shards.join(graph, "node").withColumn("other", other)
+    pairs = pairs.select("grp", "shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "shards", "node", "v", "near", "medoid", "copies", "audited")
+    return settle(pairs.repartitionByRange(parts, "grp", "shard", "i", "j").sortWithinPartitions("grp", "shard", "i", "j").mapInArrow(_search(least, beam), "node long, links long, hits array<long>, root long"))
+
+
+def _medoids(nodes: DataFrame, n: int, least: float) -> dict:
+    """grp -> (number of its first shard, medoids), from a bounded hashed sample."""
     span = 1 << 20
     sample = nodes.filter(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(span)) < min(span, int(span * MOST_SAMPLED / max(n, 1)))).select("grp", "v").toPandas()
     medoids, base = {}, 0
     for grp, g in sample.groupby("grp"):
         k = max(1, min(round(n * len(g) / max(len(sample), 1) / PER_MEDOID), max(1, MOST_MEDOIDS * len(g) // len(sample))))
-        c = medoids_of(_unit(_matrix(g["v"])), k)
+        c = thinned(medoids_of(_unit(_matrix(g["v"])), k), least)
         medoids[grp] = (base, c)
         base += len(c)
-    shards = settle(nodes.select("node", "grp", "v").mapInPandas(_assign(medoids, overlap), "node long, grp string, shard long, v array<double>"))
-    sizes = shards.groupBy("grp", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    shards = shards.join(sizes, ["grp", "shard"]).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
-    shards = settle(shards)
-    built = shards.select("grp", "shard", "block", "node", "v").repartitionByRange(parts, "grp", "shard", "block").sortWithinPartitions("grp", "shard", "block").mapInArrow(_build, "node long, near array<long>, medoid boolean")
-    graph = settle(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid")))
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))))
-    pairs = shards.join(graph, "node").withColumn("other", other)
-    pairs = pairs.select("grp", "shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "v", "near", "medoid")
-    return settle(pairs.repartitionByRange(parts, "grp", "shard", "i", "j").sortWithinPartitions("grp", "shard", "i", "j").mapInArrow(_search(least, beam), "node long, hits array<long>, root long"))
+    return medoids
 
 
 def audit_recall(nodes: DataFrame, links: DataFrame, least: float, most: int = AUDITED) -> float:
     """The share of the links of a bounded hashed sample of nodes, counted by brute force, that the search found."""
     n = nodes.count()
-    span = 1 << 20
-    queries = nodes.filter(F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(span)) < min(span, int(span * most / max(n, 1)))).select("node", "grp", "v").toPandas()
+    queries = nodes.filter(_audited(n, most)).select("node", "grp", "v").toPandas()
     if not len(queries):
         return 1.0
     by_grp = {grp: (g["node"].to_numpy(), _unit(_matrix(g["v"]))) for grp, g in queries.groupby("grp")}
@@ -244,9 +307,12 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERL
     the shards of their nearest medoids, a robust-pruned graph is built on each
     shard, adjacency lists are united over shards, and every node is searched
     for from the medoids. Larger shards are cut into blocks that are searched
-    two by two, so no task holds more than two blocks. The recall of a sample
-    is measured by brute force; below LEAST_RECALL the search is repeated,
-    wider. Only pairs at the threshold are linked.
+    two by two, so no task holds more than two blocks. No two medoids are in
+    range of each other, so vectors in range of each other meet in few shards.
+    The recall of a sample is measured by brute force; below LEAST_RECALL the
+    search is repeated, wider, and at last with each group as one shard, whose
+    blocks all meet. If that falls short too, it is an error. Only pairs at the
+    threshold are linked.
 
     Vectors that are null, zero or empty, that hold null or non-finite parts,
     and those with a null label link with nothing and are kept. n_links counts
@@ -258,23 +324,21 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERL
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     rows = settle(rows.select("vec_id", "rid", "good", F.concat_ws(":", F.col("label").cast("string"), F.size("v").cast("string")).alias("grp"), F.transform("v", lambda x: x + F.lit(0.0)).alias("v")))
     nodes = settle(rows.filter("good").groupBy("grp", "v").agg(F.min("rid").alias("node"), F.min("vec_id").alias("low"), F.count("*").alias("copies")))
-    recall = 0.0
-    for _ in range(3):
-        links = _links(nodes, least, overlap, beam)
+    for times in (1, 2, 4, None):
+        links = _links(nodes, least, times and overlap * times, beam * (times or 8))
         recall = audit_recall(nodes, links, least)
         if recall >= LEAST_RECALL:
             break
-        overlap, beam = overlap * 2, beam * 2
-    several = nodes.filter("copies > 1").select("node", (F.col("copies") - 1).alias("more"))
-    hits = settle(links.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits")))
-    more = hits.join(several, "node").select(F.explode("hits").alias("node"), "more").groupBy("node").agg(F.sum("more").alias("more"))
+    else:
+        raise RuntimeError(f"the search found {recall:.3f} of the audited links, less than {LEAST_RECALL}")
+    counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    wide = nodes.select("grp", "v", "node", "low", "copies").join(hits.select("node", F.size("hits").alias("hits")), "node", "left").join(more, "node", "left").join(parts, "node", "left")
+    wide = nodes.select("grp", "v", "node", "low", "copies").join(counts, "node", "left").join(parts, "node", "left")
     wide = settle(wide.withColumn("label", F.coalesce("label", "node")))
     names = wide.groupBy("label").agg(F.min("low").alias("component_id"))
-    wide = wide.join(names, "label").select("grp", "v", "copies", "hits", "more", "component_id")
+    wide = wide.join(names, "label").select("grp", "v", "copies", "links", "component_id")
     # Rows meet their node by value.
     out = rows.join(wide.withColumn("good", F.lit(True)), ["grp", "v", "good"], "left")
-    n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("hits", F.lit(0)) + F.coalesce("more", F.lit(0))
+    n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).alias("recall"))

@@ -180,6 +180,27 @@ def test_embeddings(spark, monkeypatch):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+def test_large_near_group_is_linked_whole(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(1, 16)) + 0.06 * rng.normal(size=(600, 16)), rng.normal(size=(300, 16))])
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    monkeypatch.setattr("loomgraph.llm.embedding.PER_MEDOID", 3)
+    monkeypatch.setattr("loomgraph.llm.embedding.BLOCK", 150)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, x[0].tolist(), 0)]
+    x = np.array([r[1] for r in rows])
+    close = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.98
+    np.fill_diagonal(close, False)
+    out = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    links = np.array([out[r[0]].n_links for r in rows])
+    assert (links <= close.sum(1)).all() and links.sum() >= 0.97 * close.sum() and out[0].recall >= 0.97
+
+
+def test_search_that_falls_short_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr("loomgraph.llm.embedding.audit_recall", lambda *_: 0.5)
+    with pytest.raises(RuntimeError):
+        near_vectors(spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0)], "vec_id long, embedding array<float>, label int"))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
