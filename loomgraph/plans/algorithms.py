@@ -149,25 +149,41 @@ def pagerank_delta(graph: Graph, damping: float = 0.85, tolerance: float = 1e-7,
     return state
 
 
+def _has_cycle(parents: DataFrame, n: int) -> bool:
+    """Whether the pointers (id, parent) of n vertices at most run in a circle: whether any are left after n steps, doubled each time."""
+    rounds, covered = Rounds(), 1
+    jumps, (left,) = rounds.hold(parents.filter("parent is not null").select("id", "parent"))
+    while left and covered <= n:
+        on = jumps.select(F.col("id").alias("parent"), F.col("parent").alias("further"))
+        jumps, (left,) = rounds.hold(jumps.join(on, "parent").select("id", F.col("further").alias("parent")))
+        covered *= 2
+    return left > 0
+
+
 def bellman_ford(graph: Graph, source: int, with_unreached: bool = False) -> DataFrame:
     """(id, dist): least sums of weights from the source.
 
     If distances still fall after as many rounds as there are vertices, a
-    negative cycle is within reach and every vertex gets -INFINITE. Vertices out
-    of reach have no row, or INFINITE if with_unreached.
+    negative cycle is within reach and every vertex gets -INFINITE. Where whole
+    weights are negative, the edges that gave the distances are followed back
+    after 2, 4, 8, ... rounds: they run in a circle only on a negative cycle, so
+    that most are known long before. Vertices out of reach have no row, or
+    INFINITE if with_unreached.
     """
     n, rounds = graph.n, Rounds()
     weight = dict(graph.edges.dtypes)["w"]
-    dist = single(graph, source).select("id", F.lit(0).cast(weight).alias("dist"), F.lit(True).alias("changed"))
+    traced = weight in ("tinyint", "smallint", "int", "bigint") and not graph.edges.filter("w < 0").isEmpty()
+    dist = single(graph, source).select("id", F.lit(0).cast(weight).alias("dist"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("changed"))
     size, k = 1, 0
     while size:
-        if k == n:
+        if k == n or (traced and k > 1 and k & (k - 1) == 0 and _has_cycle(dist.select("id", "parent"), n)):
             return graph.vertices.select("id", F.lit(-INFINITE).cast(weight).alias("dist"))
         k += 1
         front = dist.filter("changed").select(F.col("id").alias("src"), "dist")
-        got = graph.edges.join(F.broadcast(front) if _pushed(graph, front, size) else front, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("got"))
-        new = dist.join(got, "id", "full").select("id", F.least("dist", "got").alias("dist"), (F.col("dist").isNull() | (F.col("got") < F.col("dist"))).alias("better"))
-        dist, (size,) = rounds.hold(new.select("id", "dist", F.coalesce("better", F.lit(False)).alias("changed")), F.count_if("changed"))
+        got = graph.edges.join(F.broadcast(front) if _pushed(graph, front, size) else front, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("got"), (F.min_by("src", F.col("dist") + F.col("w")) if traced else F.lit(None).cast("long")).alias("by"))
+        better = F.col("dist").isNull() | (F.col("got") < F.col("dist"))
+        new = dist.join(got, "id", "full").select("id", F.least("dist", "got").alias("dist"), F.when(better, F.col("by")).otherwise(F.col("parent")).alias("parent"), better.alias("better"))
+        dist, (size,) = rounds.hold(new.select("id", "dist", "parent", F.coalesce("better", F.lit(False)).alias("changed")), F.count_if("changed"))
     dist = dist.select("id", "dist")
     if with_unreached:
         return graph.vertices.join(dist, "id", "left").select("id", F.coalesce("dist", F.lit(INFINITE).cast(weight)).alias("dist"))

@@ -155,12 +155,8 @@ def bellman_ford_nations(g: Graph) -> DataFrame:
 
 @_query("bellman_ford_negative_cycle", "ps", " SELECT id, -1073741823::BIGINT AS dist FROM v WHERE (SELECT count(*) FROM v) > 0")
 def bellman_ford_negative_cycle(g: Graph) -> DataFrame:
-    """Every edge of a symmetric graph with weight -1 lies on a negative cycle. Only a neighbourhood of the source is kept, for the rounds are as many as its vertices."""
-    near = algorithms.bfs(g, _first(g)).filter("level <= 1").select("id")
-    ring = partition.subgraph(g, near)
-    ring = from_edges(ring.edges.select("src", "dst", F.lit(-1).cast("long").alias("w")), ring.vertices)
-    dist = algorithms.bellman_ford(ring, _first(g)).agg(F.min("dist").alias("dist"))
-    return g.vertices.join(F.broadcast(dist))
+    """Every edge of a symmetric graph with weight -1 lies on a negative cycle."""
+    return algorithms.bellman_ford(from_edges(g.edges.select("src", "dst", F.lit(-1).cast("long").alias("w")), g.vertices), _first(g))
 
 
 @_query("spmv", "cs", " SELECT v.id, coalesce(round(sum(w) / (SELECT count(*) FROM v)::DOUBLE, 9), 0) AS y FROM v LEFT JOIN e ON dst = v.id GROUP BY v.id")

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import queries
 from loomgraph.graph import from_edges
 from loomgraph.plans import algorithms as a
 
@@ -70,6 +71,22 @@ def test_negative_cycle(spark):
     assert set(got(a.bellman_ford(g, 0), "dist").values()) == {-a.INFINITE}
 
 
+def test_negative_cycle_query_reaches_all(spark, monkeypatch):
+    path = [(k, k + 1, 1) for k in range(40)]
+    asked = []
+    whole = a.bellman_ford
+    monkeypatch.setattr("loomgraph.queries.algorithms.bellman_ford", lambda g, source: asked.append(g.m) or whole(g, source))
+    out = got(queries.bellman_ford_negative_cycle(graph(spark, path + [(d, s, w) for s, d, w in path], 41)), "dist")
+    assert asked == [80] and out == {k: -a.INFINITE for k in range(41)}
+
+
+def test_negative_weights_without_a_cycle(spark):
+    edges = [(k, k + 1, -1) for k in range(12)] + [(12, 0, 12), (0, 5, 3), (3, 1, 2)]
+    assert got(a.bellman_ford(graph(spark, edges, 14), 0), "dist") == {k: -k for k in range(13)}
+    far = [(k, k + 1, 1) for k in range(6)] + [(6, 7, -5), (7, 5, 3)]
+    assert set(got(a.bellman_ford(graph(spark, far, 9), 0), "dist").values()) == {-a.INFINITE}
+
+
 def test_long_path(spark):
     g = graph(spark, [(k, k + 1) for k in range(30)], 31)
     assert got(a.bfs(g, 0), "level") == {k: k for k in range(31)}
