@@ -71,7 +71,7 @@ def reciprocal(x: Column) -> Column:
 
 
 def hilbert_key(x: Column, y: Column, bits: int) -> Column:
-    """Place of (x, y) on the Hilbert curve over a square of 2**bits, bits <= 31."""
+    """Place of (x, y) on the Hilbert curve over a square of 2**bits, bits <= 31; points outside the square are an error."""
     if not 1 <= bits <= 31:
         raise ValueError("bits must be from 1 to 31")
 
@@ -87,5 +87,9 @@ def hilbert_key(x: Column, y: Column, bits: int) -> Column:
         ny = F.when(flip, low - lx).when(turn, lx).otherwise(ly)
         return F.struct(nx.alias("x"), ny.alias("y"), (acc["d"] * 4 + quarter).alias("d"))
 
-    first = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+    def inside(c: Column) -> Column:
+        c = c.cast("long")
+        return F.when((c < 0) | (c >= 1 << bits), F.raise_error(F.lit(f"id outside the square of 2**{bits}")).cast("long")).otherwise(c)
+
+    first = F.struct(inside(x).alias("x"), inside(y).alias("y"), F.lit(0).cast("long").alias("d"))
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), first, step, lambda a: a["d"])

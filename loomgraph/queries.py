@@ -379,12 +379,16 @@ def _hilbert_sql(bits: int) -> str:
     return f", {', '.join(links)} SELECT src, dst, d AS h FROM h{bits}"
 
 
+#: With an even number of levels the larger square's curve begins with that of the SQL's 20.
+_HILBERT_BITS = 30
+
+
 @_em("hilbert_key", "ps", _hilbert_sql(20))
 def hilbert_key_query(g: Graph) -> DataFrame:
-    return g.edges.select("src", "dst", hilbert_key(F.col("src"), F.col("dst"), 20).alias("h"))
+    return g.edges.select("src", "dst", hilbert_key(F.col("src"), F.col("dst"), _HILBERT_BITS).alias("h"))
 
 
-QUERIES["hilbert_order"] = lambda spark, sf_dir: partition.hilbert_order(derived.part_supplier(spark, sf_dir), 8, 20).select("src", "dst", "h")
+QUERIES["hilbert_order"] = lambda spark, sf_dir: partition.hilbert_order(derived.part_supplier(spark, sf_dir), 8, _HILBERT_BITS).select("src", "dst", "h")
 ORACLE["hilbert_order"] = ORACLE["hilbert_key"]
 QUERIES["destination_order"] = lambda spark, sf_dir: partition.destination_order(derived.part_supplier(spark, sf_dir), 8).select("src", "dst")
 ORACLE["destination_order"] = f"WITH {_GRAPHS['ps'][1]} SELECT src, dst FROM e"

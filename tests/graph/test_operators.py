@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import queries
 from loomgraph.functions.scalar import hash_long, hash_unsigned, hilbert_key, reciprocal, round_up_pow2
 from loomgraph.graph import from_edges
 from loomgraph.operators import partition, sequence
@@ -40,6 +42,18 @@ def test_hilbert_neighbours_touch(spark):
     assert all(abs(a.x - b.x) + abs(a.y - b.y) == 1 for a, b in zip(rows, rows[1:]))
 
 
+def test_hilbert_queries_tell_large_ids_apart(spark, monkeypatch):
+    edges = spark.createDataFrame([(5, 9, 1), (5 + 2**20, 9, 1), (5, 9 + 2**29, 1)], "src long, dst long, w long")
+    g = from_edges(edges)
+    monkeypatch.setattr("loomgraph.queries.derived.part_supplier", lambda *_: g)
+    small = g.edges.filter("src + dst < 20").select(hilbert_key(F.col("src"), F.col("dst"), 20)).first()[0]
+    for rows in (queries.hilbert_key_query(g).collect(), queries.QUERIES["hilbert_order"](spark, "").collect()):
+        keys = {(r.src, r.dst): r.h for r in rows}
+        assert len(set(keys.values())) == 3 and keys[5, 9] == small
+    with pytest.raises(Exception, match="outside the square"):
+        edges.select(hilbert_key(F.col("src"), F.col("dst"), 20)).collect()
+
+
 def test_scans(spark):
     rng = random.Random(3)
     x = [rng.randrange(-50, 50) for _ in range(700)]
