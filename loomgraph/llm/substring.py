@@ -57,7 +57,7 @@ def _read(min_words: int):
                 rid, doc_id, seen = rid.as_py(), doc_id.as_py(), {}
                 for unit, start, end, norm in units_of(text.as_py() or "", min_words):
                     digest = blake2b(norm.encode("utf-8", "replace"), digest_size=16, person=b"unit").digest()
-                    own = seen.setdefault((unit, digest), start)
+                    own = seen.setdefault(digest, start)
                     rows.append((rid, doc_id, unit, start, end, own if own != start else None))
                     digests.append(digest)
                 if len(rows) >= BATCH:
@@ -76,7 +76,9 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     the occurrence in the lowest doc_id, and there the first, is kept, all
     others are returned with their offsets in the original text (code points,
     end exclusive) and the place of the kept one. Sentences of a line are
-    treated in the same way, so that a passage is found inside longer lines too.
+    treated in the same way, so that a passage is found inside longer lines too;
+    a line and a sentence that are equal are repeats of each other. A run that
+    begins or ends within a sentence is no unit.
 
     Null and empty texts have no units, nor do units of fewer than min_words
     words count; null ids rank last; of rows with one id either may be the first.
@@ -90,8 +92,8 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
     if kind.simpleString() in ("bigint", "int", "smallint", "tinyint"):
         rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    firsts = once.groupBy("unit", "d1", "d2").agg(F.count("*").alias("n"), F.min_by("rid", rank).alias("first_rid"), F.min_by("doc_id", rank).alias("first_doc_id"), F.min_by("start", rank).alias("first_start")).filter("n > 1").drop("n")
-    across = once.join(settle(firsts), ["unit", "d1", "d2"]).filter("rid <> first_rid").select("doc_id", "unit", "start", "end", "first_doc_id", "first_start")
+    firsts = once.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min_by("rid", rank).alias("first_rid"), F.min_by("doc_id", rank).alias("first_doc_id"), F.min_by("start", rank).alias("first_start")).filter("n > 1").drop("n")
+    across = once.join(settle(firsts), ["d1", "d2"]).filter("rid <> first_rid").select("doc_id", "unit", "start", "end", "first_doc_id", "first_start")
     # A repeat inside a document: the kept one is elsewhere only if the document's own first one goes too.
     within = units.filter("own_start is not null").select("doc_id", "unit", "start", "end", F.col("doc_id").alias("first_doc_id"), F.col("own_start").alias("first_start"))
     return across.unionByName(within)

@@ -214,5 +214,13 @@ def test_substrings(spark, odd, none):
     assert remove_units(none).count() == 0
 
 
+def test_lone_line_meets_the_sentence_inside_a_line(spark):
+    alone = "One sentence that stands alone here"
+    rows = [(1, f"{alone}.", "s"), (2, f"Something else comes first in this. {alone}. And more follows after that too", "s"), (3, alone, "s"), (4, f"{alone}. Once more\n{alone}", "s")]
+    texts = {i: t for i, t, _ in rows}
+    got = sorted((r.doc_id, r.unit, texts[r.doc_id][r.start : r.end], r.first_doc_id, r.first_start) for r in repeated_units(docs_of(spark, rows)).collect())
+    assert got == [(2, "sentence", alone, 1, 0), (3, "line", alone, 1, 0), (4, "line", alone, 4, 0), (4, "sentence", alone, 1, 0)]
+
+
 def test_checksums(spark, odd):
     assert all(r[1] == zlib.crc32((r[0] or "").encode()) for r in odd.select("text", F.crc32(F.coalesce("text", F.lit("")))).collect())
