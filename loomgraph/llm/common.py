@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,13 @@ from pyspark.sql.window import Window
 #: Rows a bucket of a distributed rank aims at, and the most buckets there are.
 BUCKET_ROWS = 256
 MAX_BUCKETS = 1 << 20
+#: Narrow rows a broadcast table holds at most, and rows of one key beyond which it is set apart in a shuffled join.
+MOST_BROADCAST, HEAVY = 500_000, 1_000_000
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often use reads it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names; one of our own only where none is set."""
+    """The folder the cluster names; one of our own only where none is set and all work is done on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -30,23 +40,56 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, so that its lineage ends there.
 
-    The files outlive any executor; they are deleted when the driver's JVM exits.
+    The files outlive any executor; drop_settled() deletes them, and what is
+    left goes when the driver's JVM exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
 
 
-def drop_settled(df: DataFrame) -> None:
-    """Delete a settled table that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def drop_settled(*tables: DataFrame) -> None:
+    """Delete settled tables that no plan reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_settled_at", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def is_small(df: DataFrame, most_rows: int | None = None) -> bool:
+    """Whether df is counted to hold so few narrow rows that it can be broadcast."""
+    most_rows = MOST_BROADCAST if most_rows is None else most_rows
+    return df.limit(most_rows + 1).count() <= most_rows
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is counted to hold few narrow rows."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which holds each key once and has narrow rows, so that no key's rows meet in one task.
+
+    A right side counted to be small is broadcast. Otherwise the keys with more
+    than HEAVY rows on the left, which are few by definition, are set apart:
+    their rows meet a broadcast, all others are shuffled. how: inner or left.
+    """
+    if is_small(right):
+        return left.join(F.broadcast(right), keys, how)
+    heavy = settle(left.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > HEAVY).select(*keys))
+    if heavy.isEmpty():
+        return left.join(right, keys, how)
+    if not is_small(heavy):
+        raise RuntimeError(f"more than {MOST_BROADCAST} keys hold over {HEAVY} rows each")
+    rest = left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys, how)
+    own = F.broadcast(right.join(F.broadcast(heavy), keys, "left_semi"))
+    return rest.unionByName(left.join(F.broadcast(heavy), keys, "left_semi").join(own, keys, how))
 
 
 def shuffle_key(seed: int, ident: Column) -> Column:
@@ -63,33 +106,44 @@ def key_bucket(key: Column, buckets: int) -> Column:
     return F.expr("0L") + F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * F.lit(buckets).cast("long"), 32)
 
 
-def ranked(df: DataFrame, group: str | None, bucket: Column, order: list[Column], weight: Column | None = None) -> DataFrame:
-    """Exact ranks and prefix sums without putting a whole group into one task.
-
-    bucket must not fall as rows advance in `order`. Counts by (group, bucket)
-    are summed into offsets, then rows are ranked inside their bucket only.
-    Adds __rank (from 1), __before (weight of the rows before) and __group_rows,
-    __group_weight. Null is a group of its own.
-    """
+def with_bucket(df: DataFrame, group: str | None, bucket: Column, weight: Column | None = None) -> DataFrame:
+    """df with the columns ranked() works on; null is a group of its own."""
     weight = F.lit(0).cast("long") if weight is None else weight
     df = df.withColumns({"__g": F.col(group) if group else F.lit(0), "__b": bucket, "__w": weight})
-    df = df.withColumns({"__gn": F.col("__g").isNull(), "__gk": F.coalesce(F.col("__g").cast("string"), F.lit(""))})
+    return df.withColumns({"__gn": F.col("__g").isNull(), "__gk": F.coalesce(F.col("__g").cast("string"), F.lit(""))}).drop("__g")
+
+
+def offsets_of(bucketed: DataFrame) -> DataFrame:
+    """Rows and weight before each (group, bucket), and those of the group."""
     of_group = Window.partitionBy("__gn", "__gk")
     before = of_group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy("__gn", "__gk", "__b").agg(F.count("*").alias("__n"), F.sum("__w").alias("__s"))
+    return (
+        bucketed.groupBy("__gn", "__gk", "__b").agg(F.count("*").alias("__n"), F.sum("__w").alias("__s"))
         .select(
             "__gn", "__gk", "__b",
             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0"),
             F.sum("__n").over(of_group).alias("__group_rows"), F.sum("__s").over(of_group).alias("__group_weight"),
         )
     )
+
+
+def ranked(df: DataFrame, group: str | None, bucket: Column, order: list[Column], weight: Column | None = None, offsets: DataFrame | None = None) -> DataFrame:
+    """Exact ranks and prefix sums without putting a whole group into one task.
+
+    bucket must not fall as rows advance in `order`. Counts by (group, bucket)
+    are summed into offsets (or were, from a narrower table of the same rows),
+    then rows are ranked inside their bucket only. Adds __rank (from 1),
+    __before (weight of the rows before) and __group_rows, __group_weight. Null
+    is a group of its own.
+    """
+    df = with_bucket(df, group, bucket, weight)
+    offsets = offsets_of(df) if offsets is None else offsets
     inside = Window.partitionBy("__gn", "__gk", "__b").orderBy(*order)
     up_to = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         df.join(offsets, ["__gn", "__gk", "__b"])
         .withColumns({"__rank": F.col("__n0") + F.row_number().over(inside), "__before": F.col("__s0") + F.sum("__w").over(up_to) - F.col("__w")})
-        .drop("__g", "__gn", "__gk", "__b", "__w", "__n0", "__s0")
+        .drop("__gn", "__gk", "__b", "__w", "__n0", "__s0")
     )
 
 
@@ -97,23 +151,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Rows (node, label) for every node of edges(a, b); label: the least node it can be reached from.
 
     Least labels go to the neighbours, then every node takes its label's label,
-    so the distance covered doubles each round. Every round is a written table.
+    so the distance covered doubles each round. Every round is a written table,
+    of which the last two are kept. The neighbours of a hub and the nodes of a
+    giant component are spread over tasks (join_unique).
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = settle(both)
     labels = settle(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
     for _ in range(most_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near, labels.node == near.a, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        spread = settle(spread)
-        of = spread.select(F.col("node").alias("__n"), F.col("next").alias("__l"))
-        moved = settle(spread.join(of, spread.next == of["__n"], "left").select("node", F.col("label").alias("old"), F.least("next", F.coalesce("__l", "next")).alias("label")))
+        near = join_unique(both, labels.select(F.col("node").alias("b"), "label"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        spread = settle(labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next")))
+        of = spread.select(F.col("node").alias("next"), F.col("next").alias("further"))
+        moved = settle(join_unique(spread, of, ["next"], "left").select("node", F.col("label").alias("old"), F.least("next", F.coalesce("further", "next")).alias("label")))
+        done = moved.filter("label <> old").isEmpty()
+        drop_settled(spread, labels)
         labels = moved.select("node", "label")
-        if moved.filter("label <> old").isEmpty():
+        labels._settled_at = moved._settled_at
+        if done:
+            drop_settled(both)
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-
-
-def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """df, to be broadcast if it is counted to hold most_rows narrow rows at most."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -7,19 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle
+from .common import components, drop_settled, join_unique, settle
 from .ngram_join import _groups
 
 COSINE = 0.98
-#: Vectors a medoid stands for, medoids at most, and bounds of the sample they come from.
-PER_MEDOID, MOST_MEDOIDS, MOST_SAMPLED = 350, 4096, 40_000
+#: Vectors a medoid stands for, medoids at most, and bounds of the sample they come from: vectors, and bytes.
+PER_MEDOID, MOST_MEDOIDS, MOST_SAMPLED, MOST_BYTES = 350, 4096, 40_000, 32 << 20
 #: Shards a vector lies in, vectors of a block, out-degree, candidates of a node, slack of the pruning, beam.
-OVERLAP, BLOCK, DEGREE, CANDIDATES, ALPHA, BEAM = 3, 2048, 20, 64, 1.2, 24
-#: Queries whose neighbours are counted exactly, and the recall below which the search is widened.
-AUDITED, LEAST_RECALL = 200, 0.97
+OVERLAP, BLOCK, DEGREE, CANDIDATES, ALPHA, BEAM = 3, 2048, 20, 64, 1.2, 16
+#: The neighbours of every vector whose id this divides are counted exactly; the recall below which the search is widened.
+AUDITED, LEAST_RECALL = 100, 0.97
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -91,53 +91,75 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], entries: np.ndarray, le
     adj = np.full((n, width), n, dtype=np.int64)
     for i, a in enumerate(lists):
         adj[i, : len(a)] = a
-    seen, done = np.zeros((n, n + 1), dtype=bool), np.zeros((n, n + 1), dtype=bool)
-    sim = np.full((n, n + 1), -2, dtype=np.float32)
-    seen[:, n] = done[:, n] = True
     x32 = x.astype(np.float32)
+    slack = least - 0.01
+    seen = np.zeros((n, n + 1), dtype=bool)
+    seen[:, n] = True
+    hit = np.zeros((n, n), dtype=bool)
+    at, sim, fresh = np.full((n, beam), n), np.full((n, beam), -2, dtype=np.float32), np.zeros((n, beam), dtype=bool)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []  # in range, not expanded
 
-    def visit(q: np.ndarray, to: np.ndarray) -> None:
+    def visit(q: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that are new, with their cosines; those in range are noted."""
         new = ~seen[q, to]
-        q, to = q[new], to[new]
-        key = np.unique(q * (n + 1) + to)
+        key = np.unique(q[new] * (n + 1) + to[new])
         q, to = key // (n + 1), key % (n + 1)
         seen[q, to] = True
-        for a in range(0, len(q), 200_000):
-            sim[q[a : a + 200_000], to[a : a + 200_000]] = np.einsum("ij,ij->i", x32[q[a : a + 200_000]], x32[to[a : a + 200_000]])
-
-    def expand(q: np.ndarray, nodes: np.ndarray) -> None:
-        done[q, nodes] = True
-        for a in range(0, len(q), 50_000):
-            visit(np.repeat(q[a : a + 50_000], width), adj[nodes[a : a + 50_000]].ravel())
+        s = np.concatenate([np.einsum("ij,ij->i", x32[q[a : a + 100_000]], x32[to[a : a + 100_000]]) for a in range(0, max(1, len(q)), 100_000)])
+        near = s >= slack
+        waiting.append((q[near], to[near]))
+        close = np.flatnonzero(s >= least - 1e-4)
+        for a in range(0, len(close), 100_000):
+            k = close[a : a + 100_000]
+            hit[q[k], to[k]] = np.einsum("ij,ij->i", x[q[k]], x[to[k]]) >= least
+        return q, to, s
+
+    def merge(q: np.ndarray, to: np.ndarray, s: np.ndarray) -> None:
+        """Keep the best of the beam and what was visited."""
+        some = s > sim[q, -1]
+        q, to, s = q[some], to[some], s[some]
+        rows = np.unique(q)
+        if not len(rows):
+            return
+        k = len(rows)
+        all_q = np.concatenate([np.repeat(np.arange(k), beam), np.searchsorted(rows, q)])
+        all_to, all_s = np.concatenate([at[rows].ravel(), to]), np.concatenate([sim[rows].ravel(), s])
+        all_f = np.concatenate([fresh[rows].ravel(), np.ones(len(q), dtype=bool)])
+        order = np.lexsort((-all_s, all_q))
+        first = np.searchsorted(all_q[order], np.arange(k))
+        best = order[first[:, None] + np.arange(beam)]
+        at[rows], sim[rows], fresh[rows] = all_to[best], all_s[best], all_f[best]
 
     all_rows = np.arange(n)
-    visit(np.repeat(all_rows, len(entries)), np.tile(entries, n))
-    visit(all_rows, all_rows)
+    merge(*visit(np.concatenate([np.repeat(all_rows, len(entries)), all_rows]), np.concatenate([np.tile(entries, n), all_rows])))
     for _ in range(4 * beam):
-        top = np.argpartition(-sim, min(beam, n) - 1, axis=1)[:, : min(beam, n)]
-        fresh = ~np.take_along_axis(done, top, 1) & np.take_along_axis(seen, top, 1)
-        rank = np.where(fresh, np.take_along_axis(sim, top, 1), -3)
-        best = np.argsort(-rank, axis=1)[:, :4]
+        best = np.argsort(~fresh, axis=1, kind="stable")[:, :4]
         q, k = np.nonzero(np.take_along_axis(fresh, best, 1))
         if not len(q):
             break
-        expand(q, top[q, best[q, k]])
-    slack = least - 0.01
-    while True:
-        todo = (sim >= slack) & ~done
-        crowded = np.flatnonzero(todo.sum(1) * width > n)
+        k = best[q, k]
+        nodes = at[q, k]
+        fresh[q, k] = False
+        merge(*visit(np.repeat(q, width), adj[nodes].ravel()))
+    done = np.zeros((n, n), dtype=bool)
+    while waiting:
+        q, nodes = (np.concatenate(c) for c in zip(*waiting))
+        waiting.clear()
+        new = ~done[q, nodes]
+        q, nodes = q[new], nodes[new]
+        crowded = np.flatnonzero(np.bincount(q, minlength=n) * width > n)
         if len(crowded):
-            sim[crowded, :n] = x32[crowded] @ x32.T
+            for a in range(0, len(crowded), 256):
+                c = crowded[a : a + 256]
+                hit[c] = x[c] @ x.T >= least
             seen[crowded] = done[crowded] = True
-            todo[crowded] = False
-        q, nodes = np.nonzero(todo)
-        if not len(q):
+            free = ~np.isin(q, crowded)
+            q, nodes = q[free], nodes[free]
+        done[q, nodes] = True
+        for a in range(0, len(q), 20_000):
+            visit(np.repeat(q[a : a + 20_000], width), adj[nodes[a : a + 20_000]].ravel())
+        if waiting and not any(len(c[0]) for c in waiting):
             break
-        expand(q, nodes)
-    hit = np.zeros((n, n), dtype=bool)
-    for a in range(0, n, 64):
-        q, to = np.nonzero(sim[a : a + 64, :n] >= least - 1e-4)
-        hit[q + a, to] = np.einsum("ij,ij->i", x[q + a], x[to]) >= least
     hit |= hit.T.copy()
     np.fill_diagonal(hit, False)
     return hit
@@ -235,11 +257,6 @@ def _search(least: float, beam: int):
     return run
 
 
-def _audited(n: int, most: int) -> Column:
-    span = 1 << 20
-    return F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(span)) < min(span, int(span * most / max(n, 1)))
-
-
 def _links(nodes: DataFrame, least: float, overlap: int | None, beam: int) -> DataFrame:
     """Rows (node, links, hits, root) of the search, once for each shard pair of blocks.
 
@@ -254,19 +271,22 @@ def _links(nodes: DataFrame, least: float, overlap: int | None, beam: int) -> Da
     sizes = shards.groupBy("grp", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     shards = shards.join(sizes, ["grp", "shard"]).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
     shards = settle(shards)
-    built = shards.select("grp", "shard", "block", "node", "v").repartitionByRange(parts, "grp", "shard", "block").sortWithinPartitions("grp", "shard", "block").mapInArrow(_build, "node long, near array<long>, medoid boolean")
+    tasks = max(parts, shards.count() // BLOCK)
+    built = shards.select("grp", "shard", "block", "node", "v").repartition(tasks, "grp", "shard", "block").sortWithinPartitions("grp", "shard", "block").mapInArrow(_build, "node long, near array<long>, medoid boolean")
     graph = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid"))
-    graph = settle(graph.join(nodes.select("node", "copies", _audited(n, AUDITED).alias("audited")), "node"))
+    graph = settle(graph.join(nodes.select("node", "copies", "audited"), "node"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))))
     pairs = shards.join(graph, "node").withColumn("other", other)
     pairs = pairs.select("grp", "shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "shards", "node", "v", "near", "medoid", "copies", "audited")
-    return settle(pairs.repartitionByRange(parts, "grp", "shard", "i", "j").sortWithinPartitions("grp", "shard", "i", "j").mapInArrow(_search(least, beam), "node long, links long, hits array<long>, root long"))
+    return settle(pairs.repartition(tasks, "grp", "shard", "i", "j").sortWithinPartitions("grp", "shard", "i", "j").mapInArrow(_search(least, beam), "node long, links long, hits array<long>, root long"))
 
 
 def _medoids(nodes: DataFrame, n: int, least: float) -> dict:
-    """grp -> (number of its first shard, medoids), from a bounded hashed sample."""
+    """grp -> (number of its first shard, medoids), from a hashed sample that is bounded in vectors and in bytes."""
     span = 1 << 20
-    sample = nodes.filter(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(span)) < min(span, int(span * MOST_SAMPLED / max(n, 1)))).select("grp", "v").toPandas()
+    widest = nodes.agg(F.max(F.size("v"))).first()[0] or 1
+    most = min(MOST_SAMPLED, max(1, MOST_BYTES // (8 * widest)))
+    sample = nodes.filter(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(span)) < min(span, int(span * most / max(n, 1)))).select("node", "grp", "v").toPandas().sort_values(["grp", "node"])
     medoids, base = {}, 0
     for grp, g in sample.groupby("grp"):
         k = max(1, min(round(n * len(g) / max(len(sample), 1) / PER_MEDOID), max(1, MOST_MEDOIDS * len(g) // len(sample))))
@@ -276,27 +296,34 @@ def _medoids(nodes: DataFrame, n: int, least: float) -> dict:
     return medoids
 
 
-def audit_recall(nodes: DataFrame, links: DataFrame, least: float, most: int = AUDITED) -> float:
-    """The share of the links of a bounded hashed sample of nodes, counted by brute force, that the search found."""
-    n = nodes.count()
-    queries = nodes.filter(_audited(n, most)).select("node", "grp", "v").toPandas()
-    if not len(queries):
-        return 1.0
-    by_grp = {grp: (g["node"].to_numpy(), _unit(_matrix(g["v"]))) for grp, g in queries.groupby("grp")}
-
-    def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for grp, g in pdf.groupby("grp"):
-                if grp in by_grp:
-                    ids, x = by_grp[grp]
-                    own = g["node"].to_numpy()
-                    q, to = np.nonzero((x @ _unit(_matrix(g["v"])).T >= least) & (ids[:, None] != own[None, :]))
-                    yield pd.DataFrame({"node": ids[q], "hit": own[to]})
+def audit_recall(nodes: DataFrame, links: DataFrame, least: float) -> float:
+    """The share of the links of the audited nodes, counted by brute force, that the search found.
 
-    truth = settle(nodes.select("node", "grp", "v").mapInPandas(brute, "node long, hit long"))
-    found = links.join(truth.select("node").distinct(), "node", "left_semi").select("node", F.explode("hits").alias("hit")).distinct()
-    total = truth.count()
-    return truth.join(found, ["node", "hit"], "left_semi").count() / total if total else 1.0
+    The queries are compared with all nodes in blocks of bounded bytes, one block after the other.
+    """
+    found = links.select("node", F.explode("hits").alias("hit")).distinct()
+    n, widest = nodes.filter("audited").agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = -(-n * 8 * (widest or 1) // MOST_BYTES)
+    total = right = 0
+    for k in range(blocks):
+        queries = nodes.filter(F.col("audited") & (F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(blocks)) == k)).select("node", "grp", "v").toPandas()
+        by_grp = {grp: (g["node"].to_numpy(), _unit(_matrix(g["v"]))) for grp, g in queries.groupby("grp")}
+
+        def brute(batches: Iterator[pd.DataFrame], by_grp=by_grp) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for grp, g in pdf.groupby("grp"):
+                    if grp in by_grp:
+                        ids, x = by_grp[grp]
+                        own = g["node"].to_numpy()
+                        for a in range(0, len(g), 2000):
+                            q, to = np.nonzero((x @ _unit(_matrix(g["v"].iloc[a : a + 2000])).T >= least) & (ids[:, None] != own[None, a : a + 2000]))
+                            yield pd.DataFrame({"node": ids[q], "hit": own[to + a]})
+
+        truth = settle(nodes.select("node", "grp", "v").mapInPandas(brute, "node long, hit long"))
+        total += truth.count()
+        right += truth.join(found, ["node", "hit"], "left_semi").count()
+        drop_settled(truth)
+    return right / total if total else 1.0
 
 
 def near_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERLAP, beam: int = BEAM) -> DataFrame:
@@ -309,36 +336,39 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERL
     for from the medoids. Larger shards are cut into blocks that are searched
     two by two, so no task holds more than two blocks. No two medoids are in
     range of each other, so vectors in range of each other meet in few shards.
-    The recall of a sample is measured by brute force; below LEAST_RECALL the
-    search is repeated, wider, and at last with each group as one shard, whose
-    blocks all meet. If that falls short too, it is an error. Only pairs at the
-    threshold are linked.
+    The recall of every vector whose id is divisible by AUDITED is measured by
+    brute force; below LEAST_RECALL the search is repeated, wider, and at last
+    with each group as one shard, whose blocks all meet. If that falls short
+    too, it is an error. Only pairs at the threshold are linked.
 
     Vectors that are null, zero or empty, that hold null or non-finite parts,
     and those with a null label link with nothing and are kept. n_links counts
-    rows, copies included; rows with the same vec_id are rows of their own. An
-    empty table gives no row; other columns are ignored.
+    rows, copies included; rows with the same vec_id, or none, are rows of their
+    own. An empty table gives no row; other columns are ignored.
     """
     good = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select("vec_id", F.monotonically_increasing_id().alias("rid"), "label", F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
-    rows = settle(rows.select("vec_id", "rid", "good", F.concat_ws(":", F.col("label").cast("string"), F.size("v").cast("string")).alias("grp"), F.transform("v", lambda x: x + F.lit(0.0)).alias("v")))
-    nodes = settle(rows.filter("good").groupBy("grp", "v").agg(F.min("rid").alias("node"), F.min("vec_id").alias("low"), F.count("*").alias("copies")))
+    rows = rows.select("vec_id", "rid", F.coalesce(good, F.lit(False)).alias("good"), F.concat_ws(":", F.col("label").cast("string"), F.size("v").cast("string")).alias("grp"), F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
+    # Equal vectors meet by two digests, not by their parts.
+    rows = settle(rows.withColumns({"d1": F.xxhash64("grp", "v"), "d2": F.xxhash64(F.lit(1), F.reverse("v"), F.col("grp"))}))
+    asked = F.coalesce(F.max(F.pmod(F.col("vec_id").cast("long"), F.lit(AUDITED)) == 0), F.lit(False))
+    nodes = settle(rows.filter("good").groupBy("grp", "d1", "d2").agg(F.min("rid").alias("node"), F.min("vec_id").alias("low"), F.count("*").alias("copies"), asked.alias("audited"), F.min("v").alias("v")))
     for times in (1, 2, 4, None):
         links = _links(nodes, least, times and overlap * times, beam * (times or 8))
         recall = audit_recall(nodes, links, least)
         if recall >= LEAST_RECALL:
             break
+        drop_settled(links)
     else:
         raise RuntimeError(f"the search found {recall:.3f} of the audited links, less than {LEAST_RECALL}")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    wide = nodes.select("grp", "v", "node", "low", "copies").join(counts, "node", "left").join(parts, "node", "left")
-    wide = settle(wide.withColumn("label", F.coalesce("label", "node")))
-    names = wide.groupBy("label").agg(F.min("low").alias("component_id"))
-    wide = wide.join(names, "label").select("grp", "v", "copies", "links", "component_id")
-    # Rows meet their node by value.
-    out = rows.join(wide.withColumn("good", F.lit(True)), ["grp", "v", "good"], "left")
+    told = nodes.select("d1", "d2", "node", "low", "copies").join(counts, "node", "left").join(parts, "node", "left").filter("copies > 1 or links > 0")
+    told = settle(told.withColumn("label", F.coalesce("label", "node")))
+    names = told.groupBy("label").agg(F.min("low").alias("component_id"))
+    told = settle(join_unique(told, names, ["label"]).select("d1", "d2", "copies", "links", "component_id"))
+    out = join_unique(rows.filter("good").select("vec_id", "d1", "d2"), told, ["d1", "d2"], "left").drop("d1", "d2")
+    bad = rows.filter("not good").select("vec_id", F.lit(None).cast("long").alias("copies"), F.lit(None).cast("long").alias("links"), F.col("vec_id").alias("component_id"))
     n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).alias("recall"))
+    return out.unionByName(bad).select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).alias("recall"))

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_count, key_bucket, ranked, settle, shuffle_key
+from .common import bucket_count, drop_settled, key_bucket, offsets_of, ranked, settle, shuffle_key, small, with_bucket
 
-#: Blocks a source is cut into at most; documents are never cut.
-BLOCKS = 4096
+#: Blocks a source is cut into, documents never being cut; fewer where sources are so many that a tree would hold more blocks than an exact draw takes.
+BLOCKS, MOST_BLOCKS = 4096, 900_000_000
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 
@@ -52,7 +52,7 @@ def split_tree(n_shards: int, seed: int):
     left child; how many of each source is one multivariate-hypergeometric draw,
     made source by source. Memory holds two numbers a node, whatever the number
     of sources. Adds cuts: for each shard, the blocks of the source in the
-    shards up to and with it.
+    shards up to and with it. Draws are exact: there are fewer than 10**9 blocks.
     """
 
     def draw(rng, good: int, bad: int, need: int) -> int:
@@ -60,11 +60,7 @@ def split_tree(n_shards: int, seed: int):
             return 0
         if bad == 0:
             return need
-        if good + bad < 1_000_000_000:
-            return int(rng.hypergeometric(good, bad, need))
-        share = good / (good + bad)
-        spread = (need * share * (1 - share) * bad / (good + bad)) ** 0.5
-        return int(min(good, need, max(0, need - bad, round(need * share + spread * rng.standard_normal()))))
+        return int(rng.hypergeometric(good, bad, need))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left: dict[tuple[int, int], list[int]] = {}
@@ -102,8 +98,56 @@ def split_tree(n_shards: int, seed: int):
     return run
 
 
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """docs with size, and the seeded order of the rows of a source."""
+    crc = F.coalesce(F.crc32(F.col("text")), F.lit(-1).cast("long"))
+    return docs.drop("size").withColumns({"size": words(), "__key": shuffle_key(seed, F.col("doc_id")), "__crc": crc})
+
+
+class _Plan:
+    """Quotas and the tree's dealing, made of sizes and keys alone; apply() lays them over the same rows."""
+
+    def __init__(self, keyed: DataFrame, n_shards: int, seed: int, weights: tuple[int, ...]):
+        self.seed, self.bucket = seed, key_bucket(F.col("__key"), bucket_count(keyed.count()))
+        self.offsets = settle(offsets_of(with_bucket(keyed, "source", self.bucket, F.col("size"))))
+        sources = settle(keyed.groupBy("source").agg(F.sum("size").alias("source_size")))
+        self.blocks = max(1, min(BLOCKS, MOST_BLOCKS // (MOST_EPOCHS * max(1, sources.count()))))
+        aims = settle(targets(sources, weights))
+        blocks = self._placed(keyed).groupBy("source", "source_size", "__block").agg(F.sum("size").alias("__words"))
+        in_source = Window.partitionBy("place").orderBy("__block")
+        aimed = blocks.join(small(aims.drop("source_size").withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+        so_far = F.sum("__words").over(in_source.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__words")
+        full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_EPOCHS))).otherwise(F.lit(0)).cast("long")
+        aimed = aimed.withColumn("__full", full).withColumns({"__seq": F.row_number().over(in_source) - 1, "__extra": (so_far + F.col("__words") / 2 <= F.col("target") - F.col("__full") * F.col("source_size")) & (F.col("__full") < MOST_EPOCHS)})
+        aimed = settle(aimed.withColumn("__times", F.col("__full") + F.col("__extra").cast("long")))
+
+        quotas = aimed.groupBy("place").agg(F.sum("__times").alias("quota"), F.count("*").alias("n_blocks"))
+        total = quotas.agg(F.sum("quota")).first()[0] or 0
+        cuts = quotas.select("place", "quota", F.lit(int(total)).cast("long").alias("total")).coalesce(1).sortWithinPartitions("place").mapInPandas(split_tree(n_shards, seed), "place int, cuts array<long>")
+        cuts = small(settle(cuts.join(quotas.select("place", "n_blocks"), "place")))
+        # A block's draw of an epoch is a place in the source's sequence; its shard is the first whose cut lies beyond it.
+        dealt = aimed.join(cuts, "place").withColumn("dealt", F.expr("if(__times = 0, cast(array() as array<struct<epoch:int,shard:int>>), transform(sequence(0L, greatest(__times, 1L) - 1), e -> struct(cast(e as int) as epoch, cast(size(filter(cuts, x -> x <= e * n_blocks + __seq)) as int) as shard)))"))
+        self.dealt = settle(dealt.select(F.col("source").alias("__s"), F.col("__block").alias("__at"), "target", "dealt"))
+        drop_settled(sources, aims, aimed)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        order = [F.col("__key"), F.col("doc_id"), F.col("__crc")]
+        block = F.expr(f"if(source_size > 0, least(__before * {self.blocks}L div source_size, {self.blocks - 1}L), 0L)")
+        return ranked(rows, "source", self.bucket, order, F.col("size"), self.offsets).withColumnRenamed("__group_weight", "source_size").withColumn("__block", block)
+
+    def apply(self, keyed: DataFrame) -> DataFrame:
+        """keyed with source_size, target and draws; every draw has its epoch, shard and place in the shard's local shuffle."""
+        out = self._placed(keyed)
+        out = out.join(small(self.dealt), out.source.eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__at")))
+        draws = F.transform("dealt", lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.xxhash64(F.lit(self.seed), d["shard"], d["epoch"], F.col("doc_id"), F.col("__crc")).alias("order")))
+        return out.withColumn("draws", draws).drop("__at", "__block", "__s", "__rank", "__before", "__group_rows", "__key", "__crc", "dealt")
+
+
+_OWN = ("size", "source_size", "target", "draws", "dealt")
+
+
 def plan_mix(docs: DataFrame, n_shards: int = 16, seed: int = 23, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """Every row of docs with size, source_size, target and draws.
+    """Rows (doc_id, source, size, source_size, target, draws), one for each row of docs.
 
     Documents are put in seeded order within their source and cut into blocks
     of nearly equal words. A source gives whole epochs of all its blocks and,
@@ -111,45 +155,31 @@ def plan_mix(docs: DataFrame, n_shards: int = 16, seed: int = 23, weights: tuple
     left of its target: it misses the target by half a block at most. The
     splitting tree deals the exact number of blocks of each source out to the
     shards; a shard draws the next blocks of the source's permuted sequence, so
-    draws are disjoint. draws is an array of (epoch, shard), empty for a
-    document the mix leaves out.
-
-    Null texts and empty texts have size 0 and are carried along with their
-    block; null is a source of its own; rows with equal ids are ordered by the
-    checksum of the text, and rows equal in both are interchangeable. Columns
-    of docs named size, source_size, target or draws are replaced.
+    draws are disjoint. draws is an array of (epoch, shard, order), empty for a
+    document the mix leaves out; order shuffles the rows of a shard.
+
+    Texts are read once, for their sizes. Null texts and empty texts have size 0
+    and are carried along with their block; null is a source of its own; rows
+    with equal ids are ordered by the checksum of the text, and rows equal in
+    both are interchangeable. Other columns are ignored; an empty table gives
+    no row.
     """
-    docs = docs.drop("size", "source_size", "target", "draws").withColumns({"size": words(), "__key": shuffle_key(seed, F.col("doc_id")), "__crc": F.coalesce(F.crc32(F.col("text")), F.lit(-1).cast("long"))})
-    bucket = key_bucket(F.col("__key"), bucket_count(docs.count()))
-    order = [F.col("__key"), F.col("doc_id"), F.col("__crc")]
-
-    def placed(rows: DataFrame) -> DataFrame:
-        return ranked(rows, "source", bucket, order, F.col("size")).withColumnRenamed("__group_weight", "source_size").withColumn("__block", F.expr(f"if(source_size > 0, least(__before * {BLOCKS}L div source_size, {BLOCKS - 1}L), 0L)"))
-
-    blocks = settle(placed(docs.select("source", "doc_id", "size", "__key", "__crc")).groupBy("source", "source_size", "__block").agg(F.sum("size").alias("__words")))
-    aims = settle(targets(blocks.groupBy("source", "source_size").agg(F.count("*").alias("n_blocks")).select("source", "source_size"), weights))
-    in_source = Window.partitionBy("place").orderBy("__block")
-    aimed = blocks.join(aims.drop("source_size"), blocks.source.eqNullSafe(aims.source)).drop(aims.source)
-    so_far = F.sum("__words").over(in_source.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__words")
-    full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_EPOCHS))).otherwise(F.lit(0)).cast("long")
-    aimed = aimed.withColumn("__full", full).withColumns({"__seq": F.row_number().over(in_source) - 1, "__extra": (so_far + F.col("__words") / 2 <= F.col("target") - F.col("__full") * F.col("source_size")) & (F.col("__full") < MOST_EPOCHS)})
-    aimed = settle(aimed.withColumn("__times", F.col("__full") + F.col("__extra").cast("long")))
-
-    quotas = aimed.groupBy("place").agg(F.sum("__times").alias("quota"), F.count("*").alias("n_blocks"))
-    total = quotas.agg(F.sum("quota")).first()[0] or 0
-    cuts = quotas.select("place", "quota", F.lit(int(total)).cast("long").alias("total")).coalesce(1).sortWithinPartitions("place").mapInPandas(split_tree(n_shards, seed), "place int, cuts array<long>")
-    cuts = settle(cuts.join(quotas.select("place", "n_blocks"), "place"))
-    dealt = aimed.join(cuts, "place").withColumn("__draws", F.expr("if(__times = 0, cast(array() as array<struct<epoch:int,shard:int>>), transform(sequence(0L, greatest(__times, 1L) - 1), e -> struct(cast(e as int) as epoch, cast(size(filter(cuts, x -> x <= e * n_blocks + __seq)) as int) as shard)))"))
-    dealt = dealt.select(F.col("source").alias("__s"), "__block", "target", F.col("__draws").alias("draws"))
-    out = placed(docs)
-    return out.join(dealt, out.source.eqNullSafe(dealt.__s) & (out.__block == dealt["__block"])).drop(dealt["__block"]).drop("__s", "__block", "__rank", "__before", "__group_rows", "__key", "__crc")
+    keyed = settle(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"))
+    return _Plan(keyed, n_shards, seed, weights).apply(keyed).select("doc_id", "source", "size", "source_size", "target", "draws")
 
 
 def mix(docs: DataFrame, n_shards: int = 16, seed: int = 23, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The mixture: a row for each draw of plan_mix, with mix_shard, mix_epoch and mix_order.
+    """The mixture: a row of docs for each of its draws, with size, source_size, target, mix_shard, mix_epoch and mix_order.
 
-    mix_order shuffles the rows of a shard; sort by it within the shard.
+    Rows are dealt out by shard and by a stretch of mix_order, of which a shard
+    has 256, and sorted by both within a partition: the
+    shard's local shuffle wants them. Nulls, ties and empty tables are treated
+    as in plan_mix; columns of those names are replaced, names that begin with
+    two underscores reserved.
     """
-    drawn = plan_mix(docs, n_shards, seed, weights).withColumn("__d", F.explode("draws"))
-    order = F.xxhash64(F.lit(seed), F.col("__d.shard"), F.col("__d.epoch"), F.col("doc_id"))
-    return drawn.withColumns({"mix_shard": F.col("__d.shard"), "mix_epoch": F.col("__d.epoch"), "mix_order": order}).drop("__d", "draws")
+    docs = docs.drop(*_OWN, "mix_shard", "mix_epoch", "mix_order")
+    narrow = settle(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"))
+    drawn = _Plan(narrow, n_shards, seed, weights).apply(_keyed(docs, seed)).withColumn("__d", F.explode("draws"))
+    out = drawn.withColumns({"mix_shard": F.col("__d.shard"), "mix_epoch": F.col("__d.epoch"), "mix_order": F.col("__d.order")}).drop("__d", "draws")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(parts, "mix_shard", F.shiftright("mix_order", 56)).sortWithinPartitions("mix_shard", "mix_order")

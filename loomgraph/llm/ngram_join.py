@@ -11,17 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle, small
+from .common import components, drop_settled, is_small, join_unique, settle
 from .decontam import text_key
 from .packed import Packed, chunks, mixed
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Rows of a band; bands follow from the threshold and the recall wanted.
 BAND_ROWS = 5
-#: Documents of a block in which all pairs are compared, and of a bucket that is looked into.
-BLOCK, BUCKET = 256, 512
-#: Columns of the incidence matrix held at once.
-COLUMNS = 4096
+#: Documents and n-grams of a block of a cluster, documents of a tile of it, and of a bucket that is looked into.
+BLOCK, BLOCK_GRAMS, TILE, BUCKET = 4096, 1 << 20, 512, 512
+#: Columns of the incidence matrix held at once, and rows a task of sketches aims at.
+COLUMNS, TASK_ROWS = 4096, 100_000
 
 
 def bands_for(threshold: float, recall: float, rows: int = BAND_ROWS) -> int:
@@ -156,23 +156,59 @@ def _look(least: float):
     return run
 
 
-def common_grams(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets at rows with those at cols."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+def _cut(owner: np.ndarray, gram: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (owner, gram) pairs of the owners from lo to hi - 1, owners counted from lo; owner is sorted."""
+    a, b = np.searchsorted(owner, [lo, hi])
+    return owner[a:b] - lo, gram[a:b]
+
+
+def linked_tiles(sets: list[np.ndarray], first: int, threshold: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(r, c, matrix) of the tiles that hold links; matrix[i, j]: whether sets r + i and c + j have Jaccard >= threshold.
+
+    first sets are compared with all others after them; all with each other if
+    it is 0. Both parts must be sorted by size, so that tiles whose sizes are
+    too far apart are passed over. Intersections are products of incidence
+    matrices over the n-grams both tiles have.
+    """
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
     _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[gram] > 1
-    place = np.cumsum(count > 1) - 1
-    gram, owner = place[gram[shared]], owner[shared]
-    order = np.argsort(gram, kind="stable")
-    gram, owner = gram[order], owner[order]
-    out = np.zeros((len(rows), len(cols)), dtype=np.float32)
-    width = int(gram[-1]) + 1 if len(gram) else 0
-    for c in range(0, width, COLUMNS):
-        lo, hi = np.searchsorted(gram, [c, c + COLUMNS])
-        x = np.zeros((len(sets), min(COLUMNS, width - c)), dtype=np.float32)
-        x[owner[lo:hi], gram[lo:hi] - c] = 1
-        out += x[rows] @ x[cols].T
-    return out
+    owner, gram = owner[shared], (np.cumsum(count > 1) - 1)[gram[shared]]
+    place = np.full(int((count > 1).sum()), -1, dtype=np.int64)
+    end = first or len(sets)
+    for r in range(0, end, TILE):
+        r1 = min(r + TILE, end)
+        rows, its = _cut(owner, gram, r, r1)
+        own = np.unique(its)
+        place[own] = np.arange(len(own))
+        for c in range(first or r, len(sets), TILE):
+            c1 = min(c + TILE, len(sets))
+            if n[c] * threshold > n[r1 - 1] + 1e-6 or n[r] * threshold > n[c1 - 1] + 1e-6:
+                continue
+            cols, theirs = _cut(owner, gram, c, c1)
+            at = place[theirs]
+            cols, at = cols[at >= 0], at[at >= 0]
+            both = np.zeros((r1 - r, c1 - c), dtype=np.float32)
+            used = np.zeros(len(own), dtype=bool)
+            used[at] = True
+            narrow = np.cumsum(used) - 1
+            mine = place[its]
+            mine_rows, mine = rows[used[mine]], narrow[mine[used[mine]]]
+            at = narrow[at]
+            for k in range(0, int(used.sum()), COLUMNS):
+                x, y = np.zeros((r1 - r, COLUMNS), dtype=np.float32), np.zeros((c1 - c, COLUMNS), dtype=np.float32)
+                here = (mine >= k) & (mine < k + COLUMNS)
+                x[mine_rows[here], mine[here] - k] = 1
+                here = (at >= k) & (at < k + COLUMNS)
+                y[cols[here], at[here] - k] = 1
+                both += x @ y.T
+            linked = both >= threshold * (n[r:r1, None] + n[None, c:c1] - both) - 1e-6
+            if r == c:
+                np.fill_diagonal(linked, False)
+            if linked.any():
+                yield r, c, linked
+        place[own] = -1
 
 
 def _verify(threshold: float):
@@ -180,26 +216,33 @@ def _verify(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["cluster", "i", "j"]):
-            g = g.sort_values("node")
-            node, block, copies, n = (g[c].to_numpy() for c in ("node", "block", "copies", "n"))
             one = g["i"].iloc[0] == g["j"].iloc[0]
-            rows = np.arange(len(g)) if one else np.flatnonzero(block == g["i"].iloc[0])
-            cols = np.arange(len(g)) if one else np.flatnonzero(block == g["j"].iloc[0])
-            if not len(rows) or not len(cols):
+            g = g.sort_values(["block", "n", "node"])
+            node, copies = g["node"].to_numpy(), g["copies"].to_numpy()
+            first = 0 if one else int((g["block"] == g["i"].iloc[0]).sum())
+            if len(g) < 2 or not one and first in (0, len(g)):
                 continue
-            both = common_grams([np.asarray(s) for s in g["grams"]], rows, cols)
-            linked = both >= threshold * (n[rows][:, None] + n[cols][None, :] - both) - 1e-6
-            if one:
-                np.fill_diagonal(linked, False)
             links, class_links = np.zeros(len(g), dtype=np.int64), np.zeros(len(g), dtype=np.int64)
-            links[rows] += linked @ copies[cols]
-            class_links[rows] += linked.sum(1)
-            if not one:
-                links[cols] += linked.T @ copies[rows]
-                class_links[cols] += linked.sum(0)
-            left, right = np.nonzero(linked)
-            root = node[_roots(len(g), rows[left], cols[right])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, links, class_links, root)], ["node", "links", "class_links", "root"])
+            order = np.argsort(node)  # the least node leads
+            rank = np.empty(len(g), dtype=np.int64)
+            rank[order] = np.arange(len(g))
+            left, right = [], []
+            for r, c, linked in linked_tiles([np.asarray(s) for s in g["grams"]], first, threshold):
+                rows, cols = np.arange(r, r + linked.shape[0]), np.arange(c, c + linked.shape[1])
+                links[rows] += linked @ copies[cols]
+                class_links[rows] += linked.sum(1)
+                if r != c:
+                    links[cols] += linked.T @ copies[rows]
+                    class_links[cols] += linked.sum(0)
+                nodes = np.unique(np.concatenate([rows, cols]))
+                i, j = np.nonzero(linked)
+                root = _roots(len(nodes), np.searchsorted(nodes, rows[i]), np.searchsorted(nodes, cols[j]))
+                left.append(nodes)
+                right.append(nodes[root])
+            if left:
+                root = node[order[_roots(len(g), rank[np.concatenate(left)], rank[np.concatenate(right)])[rank]]]
+                some = class_links > 0
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (node, links, class_links, root)], ["node", "links", "class_links", "root"])
 
     return run
 
@@ -216,24 +259,8 @@ def _grams(n_words: int):
     return run
 
 
-def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """Rows (doc_id, class_id, n_links, n_class_links, component_id, kept), one for each row of docs.
-
-    Texts with the same set of n-grams are one class, named by its least doc_id,
-    so copies are handled once. Classes whose MinHash bands meet and whose
-    sketches don't rule it out fall into one cluster; inside a cluster all
-    pairs are compared by their full sets, block against block, and only counts
-    leave a task. n_links: other documents with Jaccard >= threshold, copies
-    included; n_class_links: other classes; component_id: the least doc_id
-    reachable by links; kept: whether that is the document's own id.
-
-    Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased.
-    A text with fewer than n_words words is one n-gram; texts without words and
-    null texts link with nothing and are their own class. Rows with the same id
-    are told apart by their text; of equal rows each counts. A null id is a
-    document like others, but never names a class that has another id. Other
-    columns are ignored.
-    """
+def _judged(docs: DataFrame, threshold: float, n_words: int, recall: float) -> DataFrame:
+    """(doc_id, t1, t2, class_id, n_links, n_class_links, component_id, kept, linked) of every row; linked: whether another row has a copy or near copy of it."""
     n_bands = bands_for(threshold, recall)
     key = text_key()
     # A digest of the set, its bands and its sketch, once for each row of docs.
@@ -242,7 +269,8 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, n_words: in
     made = read.select(F.struct("rid", "doc_id").alias("rid"), "t1", "t2", "text").mapInArrow(_sketch(n_words, n_bands), f"rid struct<rid:bigint,doc_id:{kind.simpleString()}>, t1 long, t2 int, n long, k1 long, k2 long, bands array<long>, sketch binary")
     rows = settle(made.select("rid.rid", "rid.doc_id", "t1", "t2", "n", "k1", "k2", "bands", "sketch"))
     full = rows.filter("n > 0")
-    classes = settle(full.groupBy("k1", "k2", "n").agg(F.min("rid").alias("node"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("lead")
+    classes = settle(full.groupBy("k1", "k2", "n").agg(F.min("rid").alias("node"), lead, F.count("*").alias("copies")))
     nodes = rows.select("rid", "t1", "t2", "bands", "sketch").join(classes.select("node", "n", "copies"), F.col("rid") == F.col("node")).drop("rid")
     nodes = settle(nodes)
 
@@ -253,47 +281,90 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, n_words: in
     # A pair at the threshold falls five deviations below it once in millions.
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / (n_bands * BAND_ROWS))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = inside.repartition(parts, "band", "h").sortWithinPartitions("band", "h").mapInArrow(_look(least), "a long, b long")
+    meeting = buckets.filter(F.col("size") <= BUCKET).agg(F.sum("size")).first()[0] or 0
+    edges = inside.repartition(max(parts, meeting // TASK_ROWS), "band", "h").sortWithinPartitions("band", "h").mapInArrow(_look(least), "a long, b long")
     edges = edges.unionByName(members.filter((F.col("size") > BUCKET) & (F.col("node") != F.col("low"))).select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct()
     clusters = components(edges)
 
-    size = clusters.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = settle(clusters.join(size, "label").join(nodes.select("node", "t1", "t2", "n", "copies"), "node").select("node", "t1", "t2", "n", "copies", F.col("label").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    wanted = small(placed.select("t1", "t2").distinct())
-    texts = docs.select(*key, "text").join(wanted, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.min("text").alias("text"))
+    of_node = clusters.join(nodes.select("node", "t1", "t2", "n", "copies"), "node")
+    size = settle(of_node.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.sum("n").alias("grams")))
+    placed = join_unique(of_node, size.select("label", "blocks"), ["label"])
+    placed = settle(placed.select("node", "t1", "t2", "n", "copies", F.col("label").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    texts = join_unique(docs.select(*key, "text"), placed.select("t1", "t2").distinct(), ["t1", "t2"]).groupBy("t1", "t2").agg(F.min("text").alias("text"))
     grams = texts.mapInArrow(_grams(n_words), "t1 long, t2 int, grams array<long>")
     with_sets = placed.join(grams, ["t1", "t2"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = with_sets.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "copies", "grams")
-    checked = pairs.repartitionByRange(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify(threshold), "node long, links long, class_links long, root long")
-    checked = settle(checked)
+    shuffled = size.agg(F.sum(F.col("grams") * F.col("blocks"))).first()[0] or 0
+    tasks = max(parts, shuffled // (2 * BLOCK_GRAMS))
+    checked = settle(pairs.repartition(tasks, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify(threshold), "node long, links long, class_links long, root long"))
 
     links = checked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("class_links").alias("class_links"), F.min("root").alias("root"))
-    wide = placed.filter("blocks > 1").select("node")
     roots = links.select("node", "root")
-    if not wide.isEmpty():
-        joined = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = joined.select("node", F.col("label").alias("root"))
-    of_class = classes.join(links.drop("root"), "node", "left").join(roots, "node", "left")
-    of_class = settle(of_class.select("k1", "k2", "n", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_links", F.lit(0)).alias("class_links"), F.coalesce("root", "node").alias("root")))
-    names = of_class.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    of_class = of_class.join(names, "root").drop("root")
-    alone = F.col("copies").isNull()
-    out = rows.select("doc_id", "k1", "k2", "n").join(of_class, ["k1", "k2", "n"], "left")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_links", F.lit(0)).cast("long").alias("n_class_links"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.when(alone, True).otherwise(own.eqNullSafe(F.col("doc_id"))), F.lit(True)).alias("kept"),
+    if not size.filter("blocks > 1").isEmpty():
+        roots = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", F.col("label").alias("root"))
+    of_class = classes.join(links.drop("root"), "node", "left").join(roots, "node", "left").filter("copies > 1 or class_links > 0")
+    of_class = settle(of_class.select("k1", "k2", "n", "lead", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_links", F.lit(0)).alias("class_links"), F.coalesce("root", "node").alias("root")))
+    told = join_unique(of_class, of_class.groupBy("root").agg(F.min("lead").alias("first")), ["root"]).drop("root")
+    # Only rows with links meet their class; texts without words, which may be many, don't.
+    out = settle(join_unique(full.select("doc_id", "t1", "t2", "k1", "k2", "n"), settle(told), ["k1", "k2", "n"], "left").drop("k1", "k2"))
+    alone = rows.filter("n = 0").select("doc_id", "t1", "t2")
+    drop_settled(nodes, buckets, size, placed, checked, of_class, classes)
+    linked = F.coalesce(F.col("copies") > 0, F.lit(False))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    named = lambda c: F.when(linked, F.coalesce(F.col(f"{c}.doc_id"), F.col("doc_id"))).otherwise(F.col("doc_id"))
+    none = F.lit(0).cast("long")
+    told = out.select(
+        "doc_id", "t1", "t2", named("lead").alias("class_id"), F.coalesce(F.col("copies") - 1 + F.col("links"), none).cast("long").alias("n_links"), F.coalesce(F.col("class_links"), none).alias("n_class_links"),
+        named("first").alias("component_id"), F.when(linked, own.eqNullSafe(F.col("first"))).otherwise(F.lit(True)).alias("kept"), linked.alias("linked"),
     )
+    return told.unionByName(alone.select("doc_id", "t1", "t2", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_class_links"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(False).alias("linked")))
+
+
+def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """Rows (doc_id, class_id, n_links, n_class_links, component_id, kept), one for each row of docs.
+
+    Texts with the same set of n-grams are one class, named by its least doc_id,
+    so copies are handled once. Classes whose MinHash bands meet and whose
+    sketches don't rule it out fall into one cluster; inside a cluster all
+    pairs are compared by their full sets, block against block, and only counts
+    leave a task. Blocks hold so many n-grams that a pair of them fills a task,
+    so that a cluster's sets are copied once for each block, not for each
+    document. n_links: other documents with Jaccard >= threshold, copies
+    included; n_class_links: other classes; component_id: the least doc_id
+    reachable by links; kept: whether the row leads its component.
+
+    Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased.
+    A text with fewer than n_words words is one n-gram; texts without words and
+    null texts link with nothing, are their own class and are kept. Rows with
+    the same id are told apart by their text; of equal rows each counts, and
+    all are kept if one is. A null id is a document like others, but ranks last
+    in naming a class and leading a component. Other columns are ignored; an
+    empty table gives no row.
+    """
+    return _judged(docs, threshold, n_words, recall).drop("t1", "t2", "linked")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """docs with one row of each group of linked documents: that of the least doc_id. All columns stay.
+    """docs with one row of each group of linked documents: that of the least doc_id, by text where ids tie. All columns stay.
 
-    Of rows with one id one stays; rows with a null id are told apart by their text only where another id leads their group.
+    A row is told by its id and its text together, so that rows which share an
+    id, or have none, go only if they have a copy themselves. Of equal rows that
+    lead a group one stays, any of them. Texts without words, null and empty
+    ones stay, all of them; an empty table stays empty. Columns that begin with
+    two underscores are reserved.
     """
-    judged = settle(similar_documents(docs, threshold, n_words, recall).select("doc_id", "kept"))
-    gone = small(judged.filter(~F.col("kept")).select("doc_id").distinct())
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = judged.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+    judged = settle(_judged(docs, threshold, n_words, recall).filter("linked").select(F.xxhash64("doc_id").alias("__t0"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), "kept").groupBy("__t0", "__t1", "__t2").agg(F.first("kept").alias("__kept"), F.count("*").alias("__n")))
+    keys = ["__t0", "__t1", "__t2"]
+    keyed = docs.withColumns({"__t0": F.xxhash64("doc_id"), "__t1": text_key()[0], "__t2": text_key()[1]})
+    gone, repeated = judged.filter("not __kept").select(keys), judged.filter("__kept and __n > 1").select(keys)
+
+    def without(rows: DataFrame, those: DataFrame) -> DataFrame:
+        if is_small(those):
+            return rows.join(F.broadcast(those), keys, "left_anti")
+        return join_unique(rows, those.withColumn("__in", F.lit(True)), keys, "left").filter("__in is null").drop("__in")
+
+    left = without(keyed, gone)
+    if not repeated.isEmpty():
+        once = join_unique(keyed, repeated, keys).dropDuplicates(keys)
+        left = without(left, repeated).unionByName(once)
+    return left.select(docs.columns)

@@ -47,8 +47,8 @@ s AS (SELECT doc_id, start AS base, unnest(list_zip(string_split(x, '. '), range
 u AS (SELECT doc_id, 'line' AS unit, x, start FROM ll UNION ALL SELECT doc_id, 'sentence', z[1], base + (coalesce(list_sum(list_transform(a[1:z[2]], lambda y: length(y) + 2)), 0))::BIGINT FROM s),
 n AS (SELECT doc_id, unit, start, start + length(x) AS stop, rtrim(trim(regexp_replace(lower(x), '\s+', ' ', 'g')), '.') AS k FROM u),
 w AS (SELECT * FROM n WHERE len(string_split(k, ' ')) >= 5),
-f AS (SELECT *, first_value(doc_id) OVER g AS gd, first_value(start) OVER g AS gs, first_value(start) OVER (PARTITION BY unit, k, doc_id ORDER BY start) AS own FROM w WINDOW g AS (PARTITION BY unit, k ORDER BY doc_id, start))
-SELECT doc_id, unit, start::INTEGER AS start, stop::INTEGER AS "end", CASE WHEN own <> start THEN doc_id ELSE gd END AS first_doc_id, (CASE WHEN own <> start THEN own ELSE gs END)::INTEGER AS first_start
+f AS (SELECT *, first_value(doc_id) OVER g AS gd, first_value(start) OVER g AS gs, first_value(start) OVER (PARTITION BY k, doc_id ORDER BY start) AS own FROM w WINDOW g AS (PARTITION BY k ORDER BY doc_id, start))
+SELECT doc_id, unit, start::INTEGER AS start, stop::INTEGER AS "end", gd AS first_doc_id, gs::INTEGER AS first_start
 FROM f WHERE own <> start OR gd <> doc_id"""
 
-ORACLE = {"op8_substrings": OP8, "op2_sharding": OP2, "op6_mixing": OP6, "op9_decontamination": OP9}
+ORACLE = {"op8_substrings": OP8, "op2_sharding": OP2, "mixing_quotas": OP6, "op9_decontamination": OP9}

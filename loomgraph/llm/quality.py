@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
 from .fitting import Adam, held_out, sampled, sigmoid
 from .packed import IS_WORD, Packed, chunks
 
@@ -17,8 +18,8 @@ from .packed import IS_WORD, Packed, chunks
 PASSAGE = 512
 #: Buckets byte pairs are hashed to.
 PAIRS = 64
-#: Bound of the labelled sample the model is fitted on.
-MOST_LABELLED = 6000
+#: Bounds of the labelled sample the model is fitted on: documents, and passages in all.
+MOST_LABELLED, MOST_PASSAGES = 6000, 40_000
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.7
 
@@ -67,7 +68,7 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for first, last, texts in chunks(pdf["text"].tolist()):
             x, owner = passages(Packed(texts))
             cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-            yield pd.DataFrame({"label": pdf["label"].to_numpy()[first:last], "x": [x[a:b].ravel() for a, b in zip(cut[:-1], cut[1:])]})
+            yield pd.DataFrame({"key": pdf["key"].to_numpy()[first:last], "label": pdf["label"].to_numpy()[first:last], "x": [x[a:b].ravel() for a, b in zip(cut[:-1], cut[1:])]})
 
 
 class GatedAttention:
@@ -120,11 +121,24 @@ class GatedAttention:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, seed: int = 3) -> GatedAttention | float:
-    """Fit on a bounded sample of the labels outside the held-out fold; without both labels, the share of ones."""
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_passages: int = MOST_PASSAGES, seed: int = 3) -> GatedAttention | float:
+    """Fit on a bounded sample of the labels outside the held-out fold; without both labels, the share of ones.
+
+    About most_labelled documents are taken by a hash of their ids and, if they
+    have more than most_passages passages together, as large a share of them as
+    has not; one with over a tenth of that alone doesn't teach. Of rows with one
+    id the one with the least text teaches. The sample is put in the order of
+    the hash, so that the fit depends on the rows alone, not on how they are stored.
+    """
     known = labels.filter(~held_out(FOLDS, HELD_OUT) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = sampled(known, most_labelled, seed)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text").mapInPandas(_encode, "label int, x array<float>").toPandas()
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = rows.withColumns({"key": F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string")), "n": F.ceil((F.octet_length("text") + 1) / PASSAGE)}).filter(F.col("n") <= most_passages / 10)
+    rows = settle(rows.select("key", "label", "text", "n"))
+    total, span = rows.agg(F.sum("n")).first()[0] or 0, 1 << 20
+    if total > most_passages:
+        rows = rows.filter(F.pmod("key", F.lit(span)) < int(span * most_passages / total))
+    rows = rows.select("key", "label", "text").mapInPandas(_encode, "key long, label int, x array<float>").toPandas().sort_values(["key", "label"])
     y = rows["label"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -132,7 +146,12 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
 
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT, **options) -> DataFrame:
-    """The rows of docs that score cut or more, with all their columns."""
+    """The rows of docs that score cut or more, with all their columns.
+
+    Null and empty texts are scored as one empty passage; rows with equal texts
+    stay or go together, whatever their ids; an empty table stays empty. Without
+    labels of both kinds all rows stay or all go, by the share of ones.
+    """
     model = train(docs, labels, **options)
     at = docs.columns.index("text")
 

@@ -48,9 +48,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def mixing_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words the mix takes of each document, which follow from the quotas of blocks: the part of op6_mixing that SQL can express."""
+    taken = F.col("size") * F.size("draws")
+    return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the draws that make up taken, as epoch:shard:order. The tree's draws come from numpy, so SQL has no counterpart."""
+    listed = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["epoch"].cast("string"), d["shard"].cast("string"), d["order"].cast("string"))), ",")
     taken = F.col("size") * F.size("draws")
-    return plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.alias("taken"), listed.alias("draws"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +85,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "mixing_quotas": mixing_quotas,
     "op7_secrets": op7_secrets,
     "op8_substrings": op8_substrings,
     "op9_decontamination": op9_decontamination,

@@ -11,8 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
-from .fitting import Adam, sampled
+from .fitting import Adam
 from .packed import Packed, chunks, mixed
 
 # The three rules, in the order that breaks ties.
@@ -22,7 +21,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TRIGGERS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "credential", "passphrase")
 
-#: Bounds of the training sample: documents, sequences with and without a secret, and tokens of a sequence.
+#: Bounds of the training sample: documents, sequences with and without a secret, and tokens of a sequence; a shorter text is a shorter sequence.
 MOST_DOCS, MOST_SEQUENCES, LENGTH = 20_000, 3000, 24
 O, B, I = 0, 1, 2  # noqa: E741
 
@@ -113,28 +112,39 @@ class Crf:
         self.t = np.zeros((3, 3))
         self.t[O, I] = -4.0  # inside follows begin
 
-    def fit(self, feats: np.ndarray, tags: np.ndarray, rounds: int = 80, rate: float = 0.2, decay: float = 1e-3) -> Crf:
-        """feats (n, LENGTH, features), tags (n, LENGTH): full-batch ascent of the likelihood by forward and backward sums."""
+    def sums(self, feats: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log of the sum over all taggings, tag probabilities, expected transitions) of sequences of size[i] tokens, padded to one length.
+
+        Forward and backward sums; padding hands the sums on unchanged.
+        """
+        n, length, _ = feats.shape
+        inside = np.arange(length)[None, :] < size[:, None]
+        top = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
+        e = self.w[feats].sum(2)
+        ahead, behind = np.empty_like(e), np.zeros_like(e)
+        ahead[:, 0] = e[:, 0]
+        for i in range(1, length):
+            ahead[:, i] = np.where(inside[:, i, None], e[:, i] + top(ahead[:, i - 1, :, None] + self.t, 1), ahead[:, i - 1])
+        for i in range(length - 2, -1, -1):
+            behind[:, i] = np.where(inside[:, i + 1, None], top(self.t + (e[:, i + 1] + behind[:, i + 1])[:, None, :], 2), behind[:, i + 1])
+        z = top(ahead[:, -1], 1)
+        p = np.exp(ahead + behind - z[:, None, None]) * inside[:, :, None]
+        pairs = np.exp(ahead[:, :-1, :, None] + self.t + (e[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None]) * inside[:, 1:, None, None]
+        return z, p, pairs.sum((0, 1))
+
+    def fit(self, feats: np.ndarray, tags: np.ndarray, size: np.ndarray, rounds: int = 80, rate: float = 0.2, decay: float = 1e-3) -> Crf:
+        """feats (n, LENGTH, features), tags (n, LENGTH), of which size[i] tokens count: full-batch ascent of the likelihood."""
         n, length, width = feats.shape
+        inside = np.arange(length)[None, :] < size[:, None]
         gold = np.zeros((Tokens.N, 3))
         for f in range(width):
-            np.add.at(gold, (feats[:, :, f].ravel(), tags.ravel()), 1)
+            np.add.at(gold, (feats[:, :, f][inside], tags[inside]), 1)
         gold_t = np.zeros((3, 3))
-        np.add.at(gold_t, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
+        np.add.at(gold_t, (tags[:, :-1][inside[:, 1:]], tags[:, 1:][inside[:, 1:]]), 1)
         opt = Adam([self.w, self.t], rate)
-        top = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
         for k in range(rounds):
             opt.rate = rate * (1 - 0.9 * k / rounds)
-            e = self.w[feats].sum(2)
-            ahead, behind = np.empty_like(e), np.zeros_like(e)
-            ahead[:, 0] = e[:, 0]
-            for i in range(1, length):
-                ahead[:, i] = e[:, i] + top(ahead[:, i - 1, :, None] + self.t, 1)
-            for i in range(length - 2, -1, -1):
-                behind[:, i] = top(self.t + (e[:, i + 1] + behind[:, i + 1])[:, None, :], 2)
-            z = top(ahead[:, -1], 1)
-            p = np.exp(ahead + behind - z[:, None, None])
-            pairs = np.exp(ahead[:, :-1, :, None] + self.t + (e[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
+            _, p, pairs = self.sums(feats, size)
             model = np.stack([np.bincount(feats.ravel(), np.repeat(p[:, :, tag].ravel(), width), Tokens.N) for tag in range(3)], axis=1)
             opt.step([(model - gold) / n + decay * self.w, (pairs - gold_t) / n + decay * self.t])
         return self
@@ -171,50 +181,87 @@ class Crf:
         return tags
 
 
-def _teach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Training sequences: around base spans, around other tokens with digits, and one anywhere in each text."""
-    for pdf in batches:
-        for first, last, texts in chunks(pdf["text"].tolist()):
-            t = Tokens(texts)
-            cut = np.searchsorted(t.owner, np.arange(len(texts) + 1))
-            feats, tags = [], []
-            for k, text in enumerate(pdf["text"].iloc[first:last]):
-                lo, hi = cut[k], cut[k + 1]
-                if hi - lo < LENGTH:
-                    continue
-                gold = np.zeros(hi - lo, dtype=np.int8)
-                for start, kind, end in base_spans(text or ""):
-                    inside = np.flatnonzero((t.start[lo:hi] < end) & (t.end[lo:hi] > start))
-                    if kind == 0:
-                        inside = inside[-1:]
-                    gold[inside] = I
-                    gold[inside[:1]] = B
-                digit = np.flatnonzero((t.feats[lo:hi, 2] - Tokens.BASE[2]) > 0)
-                centres = {*np.flatnonzero(gold == B)[:20].tolist(), *digit[:20].tolist(), int(mixed(np.array([hi - lo], dtype=np.uint64))[0] % np.uint64(hi - lo))}
-                for c in sorted(centres):
-                    s = min(max(0, c - LENGTH // 2), hi - lo - LENGTH)
-                    feats.append(t.feats[lo + s : lo + s + LENGTH].ravel())
-                    tags.append(gold[s : s + LENGTH].astype(np.int32))
-            if feats:
-                yield pd.DataFrame({"feats": feats, "tags": tags})
+def _sequences(text: str, t: Tokens, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first tokens, tags) of a text's sequences: around each base span, around each other token with digits, and one anywhere."""
+    gold = np.zeros(hi - lo, dtype=np.int8)
+    for start, kind, end in base_spans(text):
+        a, b = np.searchsorted(t.end[lo:hi], start, side="right"), np.searchsorted(t.start[lo:hi], end)
+        if kind == 0:
+            a = max(a, b - 1)
+        gold[a:b] = I
+        gold[a : min(a + 1, b)] = B
+    digit = np.flatnonzero((t.feats[lo:hi, 2] - Tokens.BASE[2]) > 0)
+    anywhere = int(mixed(np.array([hi - lo], dtype=np.uint64))[0] % np.uint64(hi - lo))
+    centres = np.unique(np.concatenate([np.flatnonzero(gold == B), digit, [anywhere]]))
+    return np.unique(np.clip(centres - LENGTH // 2, 0, max(0, hi - lo - LENGTH))), gold
+
+
+def _teach(shares: tuple[float, float] | None):
+    """text -> (key, some), a row for each training sequence; with shares (of those without and with a secret), the sequences whose key falls into them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for first, last, texts in chunks(pdf["text"].tolist()):
+                t = Tokens(texts)
+                cut = np.searchsorted(t.owner, np.arange(len(texts) + 1))
+                weight = mixed(np.arange(1, LENGTH * t.feats.shape[1] + 1, dtype=np.uint64)).reshape(LENGTH, -1)
+                for k, text in enumerate(pdf["text"].iloc[first:last]):
+                    lo, hi = cut[k], cut[k + 1]
+                    if lo == hi:
+                        continue
+                    starts, gold = _sequences(text, t, lo, hi)
+                    size = min(LENGTH, hi - lo)
+                    for a in range(0, len(starts), 2000):
+                        at = lo + starts[a : a + 2000, None] + np.arange(size)
+                        feats, tags = t.feats[at], gold[at - lo]
+                        key = mixed((feats.astype(np.uint64) * weight[:size]).sum((1, 2)) + np.uint64(size))
+                        some = (tags == B).any(1)
+                        if shares is None:
+                            yield pd.DataFrame({"key": key.view(np.int64), "some": some})
+                            continue
+                        keep = np.flatnonzero((key >> np.uint64(11)).astype(float) / (1 << 53) < np.where(some, shares[1], shares[0]))
+                        if len(keep):
+                            yield pd.DataFrame({"key": key[keep].view(np.int64), "some": some[keep], "feats": [x.ravel() for x in feats[keep]], "tags": [x.astype(np.int32) for x in tags[keep]]})
+
+    return run
 
 
 def train(docs: DataFrame, most_docs: int = MOST_DOCS, most_sequences: int = MOST_SEQUENCES, seed: int = 7) -> Crf:
-    """Fit to the rules' spans in bounded samples of documents and of sequences, taken by hashes."""
-    rows = sampled(docs.select("doc_id", "text"), most_docs, seed).select("text").mapInPandas(_teach, "feats array<int>, tags array<int>")
-    rows = settle(rows.withColumn("key", F.xxhash64("feats")).dropDuplicates(["key"]).withColumn("some", F.array_contains("tags", B)))
-    parts = []
-    for some in (True, False):
-        part = rows.filter(F.col("some") == some)
-        share = most_sequences / max(1, part.count())
-        parts.append(part.filter(F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20))).select("feats", "tags"))
-    rows = parts[0].unionByName(parts[1]).toPandas()
-    if not len(rows):
+    """Fit to the rules' spans in bounded samples: about most_docs documents and, of the different sequences around their spans and numbers, about most_sequences with a secret and as many without.
+
+    Both samples are taken by hashes, whatever the length of the texts, and put
+    in the order of the hashes, so that the fit depends on the rows alone.
+    """
+    rows = docs.select("text").filter("text is not null")
+    rank, span = F.xxhash64(F.lit(seed), F.col("text")), 1 << 20
+    rows = rows.filter(F.pmod(rank, F.lit(span)) < min(span, int(span * most_docs / max(1, rows.count())))).groupBy("text").agg(F.count("*").alias("n")).select("text")
+    counted = {r.some: r.n for r in rows.mapInPandas(_teach(None), "key long, some boolean").groupBy("some").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    shares = tuple(most_sequences / max(1, counted.get(some, 0)) for some in (False, True))
+    made = rows.mapInPandas(_teach(shares), "key long, some boolean, feats array<int>, tags array<int>")
+    # Where equal sequences differ in tags, the one a rule has tagged counts: that no rule knows the other is no evidence.
+    made = made.groupBy("key").agg(F.min("feats").alias("feats"), F.max_by("tags", F.struct("some", "tags")).alias("tags")).toPandas().sort_values("key")
+    if not len(made):
         crf = Crf()
         crf.w[:, O] = 1.0
         return crf
-    feats = np.stack(rows["feats"].to_list()).reshape(len(rows), LENGTH, -1)
-    return Crf().fit(feats, np.stack(rows["tags"].to_list()))
+    size = made["tags"].map(len).to_numpy()
+    width = len(Tokens.SIZES)
+    feats, tags = np.zeros((len(made), LENGTH, width), dtype=np.int32), np.zeros((len(made), LENGTH), dtype=np.int32)
+    for i, (f, x) in enumerate(zip(made["feats"], made["tags"])):
+        feats[i, : size[i]], tags[i, : size[i]] = np.asarray(f).reshape(-1, width), x
+    return Crf().fit(feats, tags, size)
+
+
+def _apart(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans (start, kind, end) that overlap none of base; spans are sorted and don't overlap."""
+    if not base or not spans:
+        return spans
+    first = np.array([b[0] for b in base])
+    reach = np.maximum.accumulate([b[2] for b in base])
+    start, end = np.array([s[0] for s in spans]), np.array([s[2] for s in spans])
+    before = np.searchsorted(first, end)  # base spans that begin before a span ends
+    clear = (before == 0) | (reach[np.maximum(before - 1, 0)] <= start)
+    return [s for s, ok in zip(spans, clear) if ok]
 
 
 def find_secrets(docs: DataFrame, **options) -> DataFrame:
@@ -243,7 +290,7 @@ def find_secrets(docs: DataFrame, **options) -> DataFrame:
                 rows = []
                 for k, text in enumerate(pdf["text"].iloc[first:last]):
                     base = base_spans(text) if isinstance(text, str) else []
-                    more = [s for s in added.get(k, []) if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+                    more = _apart(added.get(k, []), base)
                     listed = lambda spans: ",".join(f"{KINDS[x]}:{a}:{b}" for a, x, b in spans)
                     rows.append((*(sum(b[1] == x for b in base) for x in range(3)), sha256(listed(base).encode()).hexdigest(), listed(sorted(base + more))))
                 out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])

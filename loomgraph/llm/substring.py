@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_unique, settle
 
 #: Units of fewer words are left alone: they recur by chance.
 MIN_WORDS = 5
@@ -69,6 +69,28 @@ def _read(min_words: int):
     return run
 
 
+def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
+    """(rid, doc_id, unit, start, end, first_doc_id, first_start) of docs(rid, doc_id, text)."""
+    kind = docs.schema["doc_id"].dataType
+    read = docs.select("rid", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(_read(min_words), _SCHEMA)
+    units = settle(read.withColumn("doc_id", F.col("doc_id").cast(kind)))
+    once = units.filter("own_start is null")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
+    if kind.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    # Ties in the rank, rows with one id, are settled by the row number, which every aggregate reads alike.
+    rank = F.struct(rank.alias("rank"), "rid", "start")
+    firsts = once.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min_by(F.struct("rid", "doc_id", "start"), rank).alias("first")).filter("n > 1")
+    firsts = settle(firsts.select("d1", "d2", F.col("first.rid").alias("first_rid"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")))
+    across = join_unique(once, firsts, ["d1", "d2"]).filter("rid <> first_rid")
+    # A repeat inside a document: the kept one is elsewhere if the document's own first one goes too.
+    within = join_unique(units.filter("own_start is not null"), firsts, ["d1", "d2"], "left")
+    elsewhere = F.col("first_rid").isNotNull()
+    within = within.withColumns({"first_doc_id": F.when(elsewhere, F.col("first_doc_id")).otherwise(F.col("doc_id")), "first_start": F.coalesce("first_start", "own_start")})
+    columns = ["rid", "doc_id", "unit", "start", "end", "first_doc_id", "first_start"]
+    return across.select(columns).unionByName(within.select(columns))
+
+
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (doc_id, unit, start, end, first_doc_id, first_start): what dedup takes out.
 
@@ -80,31 +102,27 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     a line and a sentence that are equal are repeats of each other. A run that
     begins or ends within a sentence is no unit.
 
-    Null and empty texts have no units, nor do units of fewer than min_words
-    words count; null ids rank last; of rows with one id either may be the first.
-    Digests are counted before rows meet, and a common line's rows are dealt
-    out by the join, not gathered. Other columns are ignored.
+    Null and empty texts have no units. What counts as a unit is a choice of
+    the caller: one of fewer than min_words words recurs by chance, and taking
+    it out would cut into texts that copy nothing; min_words=1 takes all lines
+    and sentences that have words. Null ids rank last; of rows with one id
+    either may be the first, but one is. Digests are counted before rows meet,
+    and a common line's rows are dealt out by the join, not gathered. Other
+    columns are ignored; an empty table gives no row.
     """
-    kind = docs.schema["doc_id"].dataType
-    read = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(_read(min_words), _SCHEMA)
-    units = settle(read.withColumn("doc_id", F.col("doc_id").cast(kind)))
-    once = units.filter("own_start is null")
-    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
-    if kind.simpleString() in ("bigint", "int", "smallint", "tinyint"):
-        rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    firsts = once.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min_by("rid", rank).alias("first_rid"), F.min_by("doc_id", rank).alias("first_doc_id"), F.min_by("start", rank).alias("first_start")).filter("n > 1").drop("n")
-    across = once.join(settle(firsts), ["d1", "d2"]).filter("rid <> first_rid").select("doc_id", "unit", "start", "end", "first_doc_id", "first_start")
-    # A repeat inside a document: the kept one is elsewhere only if the document's own first one goes too.
-    within = units.filter("own_start is not null").select("doc_id", "unit", "start", "end", F.col("doc_id").alias("first_doc_id"), F.col("own_start").alias("first_start"))
-    return across.unionByName(within)
+    return _repeats(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), min_words).drop("rid")
 
 
 def remove_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated units cut out of text; all rows and columns stay, and removed lists the cut spans (start, end).
 
-    Needs unique doc_id values; spans of a line and its sentences are merged.
+    Rows are told apart by where they stand, so repeated and null ids don't
+    matter; null and empty texts stay as they are, with null for removed, as do
+    texts without repeats. Spans of a line and its sentences are merged. A
+    column named removed is replaced; __rid is reserved.
     """
-    spans = repeated_units(docs, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    docs = settle(docs.drop("removed").withColumn("__rid", F.monotonically_increasing_id()))
+    spans = _repeats(docs.select(F.col("__rid").alias("rid"), "doc_id", "text"), min_words).groupBy(F.col("rid").alias("__rid")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, removed: pd.Series) -> pd.Series:
@@ -120,4 +138,4 @@ def remove_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out.append("".join([*parts, t[at:]]))
         return pd.Series(out)
 
-    return docs.drop("removed").join(spans, "doc_id", "left").withColumn("text", cut("text", "removed"))
+    return docs.join(spans, "__rid", "left").drop("__rid").withColumn("text", cut("text", "removed"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import drop_settled, settle
 from .fitting import Adam, held_out, sampled, sigmoid
 from .packed import Packed, chunks, mixed
 
@@ -20,6 +20,8 @@ PREFIXES = (4, 5, 6, 7)
 KEYS = 5
 #: Bounds of the samples the model is fitted on.
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 12000
+#: Positives a feature must occur in, and how rare a chance feature must be among those tested.
+MIN_SUPPORT, CERTAIN = 5, 3.0
 FOLDS, HELD_OUT = 3, 1
 CUT = 0.7
 
@@ -62,7 +64,7 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cut = np.searchsorted(pairs, np.arange(len(texts) + 1) * DIMS)
             rows = [(pairs[a:b] % DIMS).astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
             pairs = copy_keys(p)
-            yield pd.DataFrame({"pos": pdf["pos"].to_numpy()[first:last], **{f"k{k}": np.ascontiguousarray(pairs[:, k]).view(np.int64) for k in range(KEYS)}, "ids": rows})
+            yield pd.DataFrame({"rank": pdf["rank"].to_numpy()[first:last], "pos": pdf["pos"].to_numpy()[first:last], **{f"k{k}": np.ascontiguousarray(pairs[:, k]).view(np.int64) for k in range(KEYS)}, "ids": rows})
 
 
 def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior: float, steps: int = 800, rate: float = 0.1, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -94,31 +96,41 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior: fl
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature ids, weights, bias), fitted on bounded samples outside the held-out fold.
 
-    The samples are confirmed toxic texts, and texts of any kind taken as
-    unlabelled; near copies count once. Features are those in five positives and
-    in one of a hundred that are so frequent there, against the unlabelled, that by the prior
-    half of the texts with them are toxic (and at least twice as frequent), with
-    a Poisson likelihood ratio of exp(14); only these reach the driver. The class
-    prior is the share of toxic rows among the labels outside the fold, or, if
-    larger, the median ratio of these features' frequencies in the two samples: a prior
-    that is too low would turn unlabelled toxic texts into counter-examples.
+    The samples are confirmed toxic texts, about most_positive of them, one for
+    each labelled id, and about most_unlabelled texts of any kind taken as
+    unlabelled; both are chosen by hashes, and near copies count once. Features
+    are those in MIN_SUPPORT positives that are so frequent there, against the
+    unlabelled, that by the prior half of the texts with them are toxic (and at
+    least twice as frequent), with a Poisson likelihood ratio that less than one
+    in exp(CERTAIN) of the features tested reaches by chance; only these reach
+    the driver. The class prior is the share of toxic rows among the labels
+    outside the fold, or, if larger, the median ratio of these features'
+    frequencies in the two samples: a prior that is too low would turn
+    unlabelled toxic texts into counter-examples. All orders are those of
+    hashes, so that the fit depends on the rows alone, not on how they are stored.
     """
     known = labels.filter(~held_out(FOLDS, HELD_OUT) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0))).first()
     prior = min(0.9, max(1e-3, toxic / n)) if n else 0.05
     pos = sampled(known.filter("toxic = 1").select("doc_id"), most_positive, seed)
-    unl = sampled(docs.filter(~held_out(FOLDS, HELD_OUT)).select("doc_id"), most_unlabelled, seed + 1)
-    chosen = pos.select("doc_id", F.lit(True).alias("pos")).unionByName(unl.select("doc_id", F.lit(False).alias("pos")))
-    encoded = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("pos", "text").mapInPandas(_encode, f"pos boolean, {', '.join(f'k{k} long' for k in range(KEYS))}, ids array<int>")
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    confirmed = texts.join(F.broadcast(pos), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    span, rank = 1 << 20, F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string"), F.col("text"))
+    others = texts.filter(~held_out(FOLDS, HELD_OUT))
+    others = others.filter(F.pmod(rank, F.lit(span)) < min(span, int(span * most_unlabelled / max(1, others.count()))))
+    chosen = confirmed.select("text", rank.alias("rank"), F.lit(True).alias("pos")).unionByName(others.select("text", rank.alias("rank"), F.lit(False).alias("pos")))
+    encoded = chosen.mapInPandas(_encode, f"rank long, pos boolean, {', '.join(f'k{k} long' for k in range(KEYS))}, ids array<int>")
+    columns = ["rank", "pos", *(f"k{k}" for k in range(KEYS)), "ids"]
     for k in range(KEYS):
-        encoded = encoded.dropDuplicates(["pos", f"k{k}"])
+        encoded = encoded.groupBy("pos", F.col(f"k{k}").alias("same")).agg(F.min_by(F.struct(*columns), F.col("rank")).alias("kept")).select("kept.*")
     encoded = settle(encoded)
     n_pos, n_unl = encoded.agg(F.count_if("pos"), F.count_if(~F.col("pos"))).first()
     if not n_pos or not n_unl:
         return np.zeros(0, np.int64), *fit_nnpu([], [], 0, prior)
-    seen = encoded.select("pos", F.explode("ids").alias("id")).groupBy("id").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("u"))
+    seen = settle(encoded.select("pos", F.explode("ids").alias("id")).groupBy("id").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("u")).filter(F.col("p") >= MIN_SUPPORT))
+    least = CERTAIN + float(np.log(max(1, seen.count())))
     expected = F.lit(float(n_pos)) * (F.col("u") + 0.5) / F.lit(float(n_unl))
-    telling = seen.filter((F.col("p") >= max(5.0, n_pos / 100)) & (F.col("p") >= max(2.0, 0.5 / prior) * expected) & (F.col("p") * F.log(F.greatest(F.col("p"), F.lit(1)) / expected) - F.col("p") + expected >= 14))
+    telling = seen.filter((F.col("p") >= max(2.0, 0.5 / prior) * expected) & (F.col("p") * F.log(F.greatest(F.col("p"), F.lit(1)) / expected) - F.col("p") + expected >= least))
     telling = telling.toPandas().sort_values("id")
     kept = telling["id"].to_numpy(dtype=np.int64)
     if len(kept):
@@ -128,9 +140,10 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [np.searchsorted(kept, x[np.isin(x, kept)]).astype(np.int32) for x in pdf["ids"]]
-            yield pd.DataFrame({"pos": pdf["pos"], "ids": rows})
+            yield pd.DataFrame({"rank": pdf["rank"], "pos": pdf["pos"], "ids": rows})
 
-    rows = encoded.select("pos", "ids").mapInPandas(narrow, "pos boolean, ids array<int>").toPandas()
+    rows = encoded.select("rank", "pos", "ids").mapInPandas(narrow, "rank long, pos boolean, ids array<int>").toPandas().sort_values(["pos", "rank"])
+    drop_settled(encoded, seen)
     texts = lambda keep: [np.asarray(x) for x in rows["ids"][rows["pos"] == keep]]
     return kept, *fit_nnpu(texts(True), texts(False), len(kept), prior)
 

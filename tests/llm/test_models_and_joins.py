@@ -5,13 +5,15 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_text_operators import ODD, docs_of
 
 from loomgraph.llm.common import components
-from loomgraph.llm.embedding import near_vectors
+from loomgraph.llm.embedding import near_vectors, range_search, robust_prune
 from loomgraph.llm.ngram_join import bands_for, one_of_each, similar_documents
 from loomgraph.llm.packed import Packed
 from loomgraph.llm.quality import WIDTH, GatedAttention, accepted, judge_quality, passages
+from loomgraph.llm.secrets import find_secrets
 from loomgraph.llm.toxicity import fit_nnpu, score_toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -61,6 +63,18 @@ def test_toxicity(spark, labelled):
     assert np.mean([r.predicted == truth[r.doc_id][1] for r in held]) > 0.95
 
 
+def test_fits_depend_on_the_rows_alone(spark, labelled):
+    """The same rows in another order and partitioning give the same scores and spans."""
+    docs, labels, _ = labelled
+    docs, turned = docs.limit(300).persist(), labels.repartition(7)
+    other = docs.orderBy(F.desc("doc_id")).repartition(5, "source").union(docs.limit(0))
+    for judge in (judge_quality, score_toxicity):
+        a, b = ({r.doc_id: r.score for r in judge(d, x).collect()} for d, x in ((docs, labels), (other, turned)))
+        assert max(abs(a[i] - b[i]) for i in a) < 1e-9
+    a, b = ({r.doc_id: r.spans for r in find_secrets(d).collect()} for d in (docs, other))
+    assert a == b
+
+
 def test_classifiers_on_odd_tables(spark):
     docs = docs_of(spark, ODD)
     none = spark.createDataFrame([], LABELS)
@@ -131,8 +145,11 @@ def test_ngram_join(spark, monkeypatch):
                 w[rng.randrange(len(w))] = f"new{rng.randrange(99)}"
             rows.append(" ".join(w) + ("." if c % 2 else ""))
     rows += ["one two three", "One, two three!", "one two", "", None, "word"]
-    monkeypatch.setattr("loomgraph.llm.ngram_join.BLOCK", 3)
+    monkeypatch.setattr("loomgraph.llm.ngram_join.BLOCK", 7)
+    monkeypatch.setattr("loomgraph.llm.ngram_join.TILE", 3)
     monkeypatch.setattr("loomgraph.llm.ngram_join.BUCKET", 4)
+    monkeypatch.setattr("loomgraph.llm.common.MOST_BROADCAST", 10)
+    monkeypatch.setattr("loomgraph.llm.common.HEAVY", 5)
     out = {r.doc_id: r for r in similar_documents(docs_of(spark, [(i, t, "s") for i, t in enumerate(rows)])).collect()}
     g = [grams(t) for t in rows]
     links, comp = linked_brute(rows, lambda i, j: bool(g[i]) and len(g[i] & g[j]) >= 0.8 * len(g[i] | g[j]))
@@ -143,6 +160,22 @@ def test_ngram_join(spark, monkeypatch):
     assert (1 - 0.8**5) ** bands_for(0.8, 0.9999) <= 1e-4
 
 
+def test_one_of_each_against_brute_force(spark):
+    """Rows that share an id, or have none, go only if they have a copy of their own."""
+    rng = random.Random(12)
+    texts = [prose(rng, 40) for _ in range(12)]
+    near = texts[3].split()
+    near[20] = "changed"
+    rows = [(1, texts[0]), (2, texts[1]), (2, texts[2]), (None, texts[3]), (None, texts[4]), (None, texts[5]), (3, texts[6]), (3, texts[1] + "."), (9, " ".join(near)), (5, texts[7]), (5, texts[7]), (None, texts[8]), (None, texts[8]), (None, ""), (None, None), (4, "!"), (4, "!"), (0, texts[9]), (0, texts[10])]
+    docs = docs_of(spark, [(i, t, f"s{k}") for k, (i, t) in enumerate(rows)])
+    g = [grams(t) for _, t in rows]
+    links, comp = linked_brute(rows, lambda i, j: bool(g[i]) and len(g[i] & g[j]) >= 0.8 * len(g[i] | g[j]))
+    rank = lambda k: (rows[k][0] is None, rows[k][0] or 0, k)
+    want = sorted(map(str, (rows[k] for k in range(len(rows)) if min(comp[k], key=rank) == k)))
+    left = one_of_each(docs).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in left) == want and len(left[0]) == len(docs.columns)
+
+
 def test_one_of_each(spark):
     docs = docs_of(spark, ODD)
     out = similar_documents(docs).collect()
@@ -178,6 +211,23 @@ def test_embeddings(spark, monkeypatch):
     links = np.array([out[r[0]].n_links for r in rows])
     assert (links <= close.sum(1)).all() and links.sum() >= 0.97 * close.sum()
     assert near_vectors(frame.limit(0)).count() == 0
+    if (links == close.sum(1)).all():
+        _, comp = linked_brute(rows, lambda i, j: close[i, j])
+        assert all((out[i].component_id, out[i].kept) == (min(comp[i]), min(comp[i]) == i) for i in range(len(rows)))
+    again = {r.vec_id: r for r in near_vectors(frame.repartition(5)).collect()}
+    assert {i: r.n_links for i, r in again.items()} == {i: r.n_links for i, r in out.items()} and {i: r.component_id for i, r in again.items()} == {i: r.component_id for i, r in out.items()}
+
+
+def test_range_search_against_all_pairs():
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(40, 12)), 20, axis=0) + 0.05 * rng.normal(size=(800, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    out = robust_prune(x)
+    lists = [np.unique(np.concatenate([r[r >= 0], np.flatnonzero((out == i).any(1))])) for i, r in enumerate(out)]
+    hit = range_search(x, lists, np.array([0, 400]), 0.98)
+    close = x @ x.T >= 0.98
+    np.fill_diagonal(close, False)
+    assert not (hit & ~close).any() and hit.sum() >= 0.99 * close.sum()
 
 
 def test_large_near_group_is_linked_whole(spark, monkeypatch):
@@ -233,3 +283,13 @@ def test_pipeline(spark, labelled, tmp_path):
         ids = now
     assert {"shard", "slot"} <= set(held.columns)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == held.count()
+
+
+def test_pipeline_on_empty_tables(spark, labelled, tmp_path):
+    import corpus_pipeline
+
+    docs = labelled[0].select("doc_id", "text", "lang", "source", "n_chars")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    labelled[1].limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -1,16 +1,23 @@
 """Operators on documents: brute force, and the cases that must not crash."""
 
 import hashlib
+import itertools
+import math
+import random
 import re
+import time
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import shared_dir
 from loomgraph.llm.decontam import decontaminate, without_contaminated
-from loomgraph.llm.mix import MOST_EPOCHS, mix, plan_mix
-from loomgraph.llm.pii import KINDS, find_pii
-from loomgraph.llm.secrets import base_spans, find_secrets
+from loomgraph.llm.mix import MOST_EPOCHS, mix, plan_mix, split_tree
+from loomgraph.llm.pii import KINDS, _candidates, base_spans as pii_spans, bootstrap, find_pii
+from loomgraph.llm.secrets import LENGTH, Crf, Tokens, _sequences, base_spans, find_secrets
 from loomgraph.llm.shard import shard_interleaved
 from loomgraph.llm.substring import remove_units, repeated_units
 
@@ -71,6 +78,59 @@ def test_pii_rules(spark, odd):
     assert len(got) == len(ODD) and all(not r.base and not r.spans for r in got)
 
 
+def test_pii_in_a_long_text(spark):
+    """100,000 tokens: the spans are those of brute force, and context is found near each."""
+    text = " ".join(f"10.{k % 256}.1.{k % 300} x{k} 555{k}" if k % 3 else f"é{k} a{k}@b.c" for k in range(33_334))
+    r = find_pii(docs_of(spark, [(1, text, "s")])).collect()[0]
+    assert [(s["kind"], s["start"], s["end"]) for s in r.base] == pii_brute(text)
+
+
+def test_pii_candidates_touch_no_base_span(spark):
+    texts = [f"a{k} 1.2.3.{k} x1.2.3.4y b{k}@c.de 4111 1111 1111 1111 z9 (q7) +1 (234) 555-6789, n{k}" * 40 for k in range(3)]
+    df = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    for r in df.select("text", pii_spans(F.col("text")).alias("b")).select("text", "b", _candidates(F.col("text"), F.col("b")).alias("c")).collect():
+        taken = {x for s in r.b for x in range(s.start, s.end)}
+        want = []
+        for m in re.finditer(r"\S*[0-9@]\S*", r.text):
+            core = re.search(r"[A-Za-z0-9].*[A-Za-z0-9]|[A-Za-z0-9]", m[0])
+            if core and not taken & set(range(m.start() + core.start(), m.start() + core.end())):
+                want.append((m.start() + core.start(), m.start() + core.end()))
+        assert want and [(s.start, s.end) for s in r.c] == want
+
+
+def test_pii_scores_against_brute_force(spark):
+    """Patterns and values passed to and fro by plain Python."""
+    rng = random.Random(2)
+    values = [rng.randrange(60) for _ in range(400)]
+    edges = {(f"p{3 * rng.randrange(6) + (v % 3 if rng.random() < 0.8 else rng.randrange(3))}", v): (v % 3 if v % 2 and v < 40 else None) for v in values}
+    seeds = {v: k for (_, v), k in edges.items() if k is not None}
+    known = {v: (k, 1.0) for v, k in seeds.items()}
+    for _ in range(20):
+        by = {}
+        for p, v in edges:
+            s = by.setdefault(p, [0.0] * 5)
+            k, x = known.get(v, (4, 1.0))
+            s[k] += x
+        conf = {}
+        for p, s in by.items():
+            best, k = max((x, k) for k, x in enumerate(s[:4]))
+            c = best / (sum(s[:4]) + 0.5 * s[4] + 1e-9)
+            if best >= 2 and c >= 0.3:
+                conf[p] = (k, min(c, 0.999))
+        votes = {}
+        for p, v in edges:
+            if v not in seeds and p in conf:
+                votes[v, conf[p][0]] = votes.get((v, conf[p][0]), 0.0) + math.log1p(-conf[p][1])
+        best = {}
+        for (v, k), x in votes.items():
+            best[v] = max(best.get(v, (-1, 0)), (1 - math.exp(x), -k))
+        known = {v: (k, 1.0) for v, k in seeds.items()} | {v: (-k, x) for v, (x, k) in best.items() if x >= 0.6}
+    table = spark.createDataFrame([(p, v, k) for (p, v), k in edges.items()], "pattern string, value long, kind int")
+    got = {r.value: (r.kind, r.score) for r in bootstrap(table, 20, 2.0, 0.3, 0.6).collect()}
+    want = {v: x for v, x in known.items() if v not in seeds}
+    assert got and got.keys() == want.keys() and all(got[v][0] == k and abs(got[v][1] - x) < 1e-6 for v, (k, x) in want.items())
+
+
 def test_pii_empty(none):
     assert find_pii(none).count() == 0
 
@@ -102,6 +162,34 @@ def test_sharding(spark, odd, none):
     assert shard_interleaved(odd, 24).count() == len(ODD) and shard_interleaved(none, 24).count() == 0
 
 
+def test_tree_draws_are_the_blocks_of_the_shards(spark):
+    """Each shard takes its share of blocks, of every source the drawn number, and the next ones of the source's sequence."""
+    rows = [(i, "w " * (1 + i * 13 % 30), f"s{i % 4}" if i % 3 else "hot") for i in range(900)]
+    got = plan_mix(docs_of(spark, rows), n_shards=8).collect()
+    draws = [(r.source, d.epoch, d.shard, r["size"]) for r in got for d in r.draws]
+    words = {s: sum(x[3] for x in draws if x[2] == s) for s in range(8)}
+    assert max(words.values()) - min(words.values()) < 0.4 * max(words.values())
+    for source in {r.source for r in got}:
+        own = sorted((x for x in draws if x[0] == source), key=lambda x: x[1])
+        assert [x[1] for x in own] == sorted(x[1] for x in own) and {x[1] for x in own} == set(range(max(x[1] for x in own) + 1))
+        # the sequence runs through the epochs, and shards follow each other along it
+        ends = {}
+        for r in sorted((r for r in got if r.source == source), key=lambda r: hashlib.md5(f"23:{r.doc_id}".encode()).hexdigest()):
+            for d in r.draws:
+                ends.setdefault(d.epoch, []).append(d.shard)
+        along = [s for e in sorted(ends) for s in ends[e]]
+        assert along == sorted(along)
+    quotas = np.random.default_rng(1).integers(0, 50, 6)
+    pdf = pd.DataFrame({"place": range(6), "quota": quotas, "total": int(quotas.sum())})
+    for seed in range(5):
+        cuts = np.array(next(split_tree(5, seed)(iter([pdf])))["cuts"].tolist())
+        each = np.diff(cuts, axis=1, prepend=0)
+        assert (each >= 0).all() and (cuts[:, -1] == quotas).all()
+        assert each.sum(0).max() - each.sum(0).min() <= 2
+    mixed = mix(docs_of(spark, rows), n_shards=8).collect()
+    assert sorted((r.doc_id, r.mix_epoch, r.mix_shard) for r in mixed) == sorted((r.doc_id, d.epoch, d.shard) for r in got for d in r.draws)
+
+
 def test_mixing(spark, odd, none):
     rows = [(i, "w " * (1 + i * 7 % 40), f"s{i % 5}" if i % 3 else "hot") for i in range(600)] + [(1000, "tiny", "s9"), (1001, None, "s9"), (1002, "x y", None)]
     got = plan_mix(docs_of(spark, rows)).collect()
@@ -123,7 +211,6 @@ def test_mixing(spark, odd, none):
     assert sorted(map(str, got)) == sorted(map(str, again))
     shards = [d["shard"] for r in got for d in r.draws]
     assert set(shards) <= set(range(16))
-    assert mix(docs_of(spark, rows)).count() == len(shards)
     assert plan_mix(odd).count() == len(ODD) and plan_mix(none).count() == 0
 
 
@@ -163,6 +250,30 @@ def test_decontamination(spark, odd, none):
     assert {r.contaminated for r in decontaminate(odd, bench.limit(0)).collect()} == {False}
 
 
+def test_long_item_and_half_of_the_texts_empty(spark, monkeypatch):
+    """An item of 20,000 words takes seconds; joins on the text don't gather the rows of one key."""
+    monkeypatch.setattr("loomgraph.llm.common.MOST_BROADCAST", 1)
+    monkeypatch.setattr("loomgraph.llm.common.HEAVY", 10)
+    run = [f"tok{i}" for i in range(20_000)]
+    leak = " ".join(run[700:711])
+    bench = spark.createDataFrame([(1, " ".join(run)), (2, leak)], "item_id long, text string")
+    rows = [(i, (None, "", leak, f"clean text number {i}")[i % 4], "s") for i in range(200)]
+    began = time.perf_counter()
+    out = decontaminate(docs_of(spark, rows), bench).collect()
+    assert time.perf_counter() - began < 120
+    assert len(out) == 200 and all((r.n_hit, r.n_items) == ((11, 2) if r.doc_id % 4 == 2 else (0, 0)) for r in out)
+    left = without_contaminated(docs_of(spark, rows), bench)
+    assert left.count() == 150 and left.columns == docs_of(spark, rows).columns
+
+
+def test_many_short_items_are_joined(spark, monkeypatch):
+    monkeypatch.setattr("loomgraph.llm.decontam.MOST_LITERALS", 1)
+    items = [(1, "red fox"), (2, "blue fox"), (3, "word"), (4, "one two three four five six")]
+    texts = ["a red fox and a blue fox", "zero one two three four five six seven", "red", "a word", ""]
+    for r in decontaminate(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), spark.createDataFrame(items, "item_id long, text string")).collect():
+        assert tuple(r)[1:] == leaks_brute(texts[r.doc_id], items), texts[r.doc_id]
+
+
 def secrets_brute(t):
     a = [(m.start(), 0, m.end()) for m in re.finditer(r'((?ai:password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', t) if len(m[2]) >= 6]
     b = [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
@@ -180,11 +291,54 @@ SECRETS = [
 def test_secret_rules(spark, odd, none):
     for t in SECRETS:
         assert base_spans(t) == secrets_brute(t)
+    rows = {r.doc_id: r for r in find_secrets(docs_of(spark, [(i, t, "s") for i, t in enumerate(SECRETS)])).collect()}
+    for i, t in enumerate(SECRETS):
+        base = secrets_brute(t)
+        listed = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base)
+        assert rows[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [rows[i].n_assign, rows[i].n_access, rows[i].n_hex] == [sum(k == x for _, k, _ in base) for x in range(3)]
+        assert set(listed.split(",")) <= set(rows[i].spans.split(",")) | {""}
     out = find_secrets(odd).collect()
     assert len(out) == len(ODD) and {r.base_sha256 for r in out} == {hashlib.sha256(b"").hexdigest()}
     assert find_secrets(none).count() == 0
 
 
+def test_field_against_enumeration():
+    """Sums, probabilities, transitions and best tags of short sequences, against all taggings."""
+    rng = np.random.default_rng(3)
+    crf = Crf()
+    crf.w, crf.t = rng.normal(size=crf.w.shape), rng.normal(size=(3, 3)) * 2
+    sizes = np.array([5, 3, 1])
+    feats = rng.integers(0, Tokens.N, (3, 5, len(Tokens.SIZES)))
+    z, p, pairs = crf.sums(feats, sizes)
+    expected = np.zeros((3, 3))
+    for i, n in enumerate(sizes):
+        e = crf.w[feats[i, :n]].sum(1)
+        scores = {y: e[range(n), y].sum() + sum(crf.t[a, b] for a, b in zip(y, y[1:])) for y in itertools.product(range(3), repeat=int(n))}
+        total = math.log(sum(map(math.exp, scores.values())))
+        assert math.isclose(total, z[i])
+        for k in range(n):
+            for tag in range(3):
+                assert math.isclose(p[i, k, tag], sum(math.exp(s - total) for y, s in scores.items() if y[k] == tag), abs_tol=1e-9)
+        assert not p[i, n:].any()
+        for y, s in scores.items():
+            for a, b in zip(y, y[1:]):
+                expected[a, b] += math.exp(s - total)
+        assert tuple(crf.decode(feats[i, :n], np.zeros(n, dtype=int))) == max(scores, key=scores.get)
+    assert np.allclose(pairs, expected)
+
+
+def test_short_and_crowded_texts_teach(spark):
+    """A text of fewer tokens than a sequence teaches, and so does what comes after many spans."""
+    short = Tokens([b'token = "abcdef123456"'])
+    starts, gold = _sequences('token = "abcdef123456"', short, 0, len(short.b0))
+    assert starts.tolist() == [0] and gold.tolist() == [0, 1]
+    text = " ".join(f'w{k} secret = "{hashlib.md5(str(k).encode()).hexdigest()}"' for k in range(60))
+    t = Tokens([text.encode()])
+    starts, gold = _sequences(text, t, 0, len(t.b0))
+    assert (gold == 1).sum() == 60 and starts.max() == len(t.b0) - LENGTH
+
+
 def test_field_finds_what_no_rule_knows(spark):
     filler = [f"plain{'abcdefgh'[k % 8]} words go on" for k in range(12)]
     pad = " ".join(filler)
@@ -219,7 +373,27 @@ def test_lone_line_meets_the_sentence_inside_a_line(spark):
     rows = [(1, f"{alone}.", "s"), (2, f"Something else comes first in this. {alone}. And more follows after that too", "s"), (3, alone, "s"), (4, f"{alone}. Once more\n{alone}", "s")]
     texts = {i: t for i, t, _ in rows}
     got = sorted((r.doc_id, r.unit, texts[r.doc_id][r.start : r.end], r.first_doc_id, r.first_start) for r in repeated_units(docs_of(spark, rows)).collect())
-    assert got == [(2, "sentence", alone, 1, 0), (3, "line", alone, 1, 0), (4, "line", alone, 4, 0), (4, "sentence", alone, 1, 0)]
+    assert got == [(2, "sentence", alone, 1, 0), (3, "line", alone, 1, 0), (4, "line", alone, 1, 0), (4, "sentence", alone, 1, 0)]
+
+
+def test_repeated_and_missing_ids_keep_their_own_spans(spark):
+    line = "the very same line of words here"
+    rows = [(1, f"{line}\nown words of the first of them", "a"), (1, f"other words in front of it all\n{line}", "b"), (None, line, "c"), (None, "nothing in this one is repeated", "d"), (2, None, "e"), (3, f"{line}\n{line}", "f")]
+    out = remove_units(docs_of(spark, rows)).collect()
+    assert len(out) == len(rows)
+    text = {r.source: r.text for r in out}
+    assert {text["a"], text["b"]} in ({rows[0][1], "other words in front of it all\n"}, {"\nown words of the first of them", rows[1][1]})
+    assert (text["c"], text["d"], text["e"], text["f"]) == ("", rows[3][1], None, "\n")
+    firsts = {(r.first_doc_id, r.first_start) for r in repeated_units(docs_of(spark, rows)).collect()}
+    assert len(firsts) == 1 and firsts <= {(1, 0), (1, 31)}
+
+
+def test_no_folder_of_this_machine_on_a_cluster():
+    from types import SimpleNamespace
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster)
 
 
 def test_checksums(spark, odd):
