@@ -105,6 +105,22 @@ def edge_map(graph: Graph, state: DataFrame, fn: EdgeFn, frontier: DataFrame | N
     return out.join(to, "dst").select(F.col("dst").alias("id"), "value", fn.activate.alias("active"))
 
 
+@dataclass(frozen=True)
+class EdgeMapStats:
+    """What an edge map was chosen by: the frontier's vertices and their out-edges, and whether it was pushed."""
+
+    size: int
+    out_edges: int
+    pushed: bool
+
+
+def edge_map_counted(graph: Graph, state: DataFrame, fn: EdgeFn, frontier: DataFrame) -> tuple[DataFrame, EdgeMapStats]:
+    """edge_map over a frontier that is counted first: it is pushed if it and its out-edges are few, else all edges are read."""
+    size, out_edges = frontier_stats(graph, frontier).first()
+    pushed = is_sparse(graph, size, out_edges)
+    return edge_map(graph, state, fn, frontier, pushed), EdgeMapStats(size, out_edges, pushed)
+
+
 def vertex_map(state: DataFrame, frontier: DataFrame | None = None, **columns: Column) -> DataFrame:
     """state with columns set, on the whole graph or on the frontier alone."""
     if frontier is None:

@@ -6,35 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..operators.edge_map import EdgeFn, edge_map, is_sparse, single
+from ..operators.edge_map import MOST_PUSHED, EdgeFn, edge_map, single
 from .loop import Rounds, written
 
 #: What stands for no path, and for a distance below all bounds.
 INFINITE = (2**31 - 1) // 2
 
 
-def _pushed(graph: Graph, frontier: DataFrame, size: int) -> bool:
-    return is_sparse(graph, size, 0)
+def _meet(edges: DataFrame, state: DataFrame, rows: int, on: str = "src") -> DataFrame:
+    """Edges joined with the state of one end. A state counted to be small is broadcast, so that the edges stay where they are."""
+    return edges.join(F.broadcast(state) if rows <= MOST_PUSHED else state, on)
+
+
+def _placed(edges: DataFrame, n: int, on: str = "src") -> DataFrame:
+    """Edges held in memory; by their source once and for all if the state of n vertices is too large to be broadcast each round."""
+    return (edges if n <= MOST_PUSHED else edges.repartition(on)).persist()
 
 
 def bfs(graph: Graph, source: int, with_unreached: bool = False) -> DataFrame:
     """(id, level, parent): hops from the source; the least neighbour on the level before is the parent, the source its own.
 
     Vertices out of reach have no row, or level and parent -1 if with_unreached.
+    What is reached and what the frontier reaches are merged by one aggregation
+    a level, which is all that is shuffled while the frontier is small.
     """
     rounds = Rounds()
-    frontier = single(graph, source).select("id", F.lit(0).alias("level"), F.col("id").alias("parent"))
-    reached, size, level = frontier, 1, 0
+    reached = single(graph, source).select("id", F.lit(0).alias("level"), F.col("id").alias("parent"))
+    size, level = 1, 0
+    edges = _placed(graph.edges.select("src", "dst"), graph.n)
     while size:
+        front = reached.filter(F.col("level") == level).select(F.col("id").alias("src"))
         level += 1
-        ids = frontier.select(F.col("id").alias("src"))
-        edges = graph.edges.select("src", "dst").join(F.broadcast(ids) if _pushed(graph, ids, size) else ids, "src", "left_semi")
-        new = edges.groupBy("dst").agg(F.min("src").alias("parent")).join(reached.select(F.col("id").alias("dst")), "dst", "left_anti")
-        frontier, (size,) = rounds.hold(new.select(F.col("dst").alias("id"), F.lit(level).alias("level"), "parent"))
-        if size:
-            reached = reached.unionByName(frontier)
-            if level % 8 == 0:
-                reached = written(reached)
+        found = _meet(edges, front, size).select(F.col("dst").alias("id"), F.lit(level).alias("level"), F.col("src").alias("parent"))
+        old, new = F.max(F.when(F.col("level") < level, F.col("parent"))), F.min(F.when(F.col("level") == level, F.col("parent")))
+        merged = reached.unionByName(found).groupBy("id").agg(F.min("level").alias("level"), F.coalesce(old, new).alias("parent"))
+        reached, (size,) = rounds.hold(merged, F.count_if(F.col("level") == level))
     if with_unreached:
         return graph.vertices.join(reached, "id", "left").select("id", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("parent", F.lit(-1)).alias("parent"))
     return reached
@@ -44,32 +50,28 @@ def betweenness(graph: Graph, source: int) -> DataFrame:
     """(id, level, sigma, delta): shortest paths from the source and dependencies on it (Brandes), the source's own included.
 
     Vertices out of reach have nulls. Parallel edges count as paths of their own.
+    One table holds levels, paths and dependencies; each level is one aggregation, there and back.
     """
-    rounds = Rounds()
-    frontier = single(graph, source).select("id", F.lit(0).alias("level"), F.lit(1.0).alias("sigma"))
-    reached, levels, size = frontier, [frontier], 1
+    rounds, n = Rounds(), graph.n
+    edges = _placed(graph.edges.select("src", "dst"), n)
+    reached = single(graph, source).select("id", F.lit(0).alias("level"), F.lit(1.0).alias("sigma"))
+    size, level = 1, 0
     while size:
-        new = graph.edges.join(frontier.select(F.col("id").alias("src"), "sigma"), "src").groupBy("dst").agg(F.sum("sigma").alias("sigma"))
-        new = new.join(reached.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("id"), F.lit(len(levels)).alias("level"), "sigma")
-        frontier, (size,) = rounds.hold(new)
-        if size:
-            levels.append(frontier)
-            reached = reached.unionByName(frontier)
-    reached = written(reached)
-    at = lambda k: reached.filter(F.col("level") == k)
-    deltas = [at(len(levels) - 1).select("id", F.lit(0.0).alias("delta"))]
-    rounds = Rounds()
-    for k in range(len(levels) - 2, -1, -1):
-        child = at(k + 1).join(deltas[-1], "id").select(F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
-        own = at(k).select(F.col("id").alias("src"), "sigma")
-        sums = graph.edges.select("src", "dst").join(child, "dst").groupBy("src").agg(F.sum("share").alias("share"))
-        delta = own.join(sums, "src", "left").select(F.col("src").alias("id"), (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta"))
-        delta, _ = rounds.hold(delta)
-        deltas.append(delta)
-    every = deltas[0]
-    for d in deltas[1:]:
-        every = every.unionByName(d)
-    return graph.vertices.join(reached.join(written(every), "id"), "id", "left").select("id", "level", "sigma", "delta")
+        front = reached.filter(F.col("level") == level).select(F.col("id").alias("src"), "sigma")
+        level += 1
+        found = _meet(edges, front, size).select(F.col("dst").alias("id"), F.lit(level).alias("level"), "sigma")
+        own, sent = F.max(F.when(F.col("level") < level, F.col("sigma"))), F.sum(F.when(F.col("level") == level, F.col("sigma")))
+        merged = reached.unionByName(found).groupBy("id").agg(F.min("level").alias("level"), F.coalesce(own, sent).alias("sigma"))
+        reached, (size,) = rounds.hold(merged, F.count_if(F.col("level") == level))
+    state = reached.withColumn("delta", F.lit(0.0))
+    edges = _placed(edges, n, "dst")
+    for k in range(level - 2, -1, -1):
+        child = state.filter(F.col("level") == k + 1).select(F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+        back = _meet(edges, child, n, "dst").select(F.col("src").alias("id"), *[F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("sigma", "double"), ("delta", "double"))], "share")
+        merged = state.withColumn("share", F.lit(0.0)).unionByName(back).groupBy("id").agg(F.max("level").alias("level"), F.max("sigma").alias("sigma"), F.max("delta").alias("delta"), F.sum("share").alias("share"))
+        delta = F.when(F.col("level") == k, F.col("sigma") * F.col("share")).otherwise(F.col("delta"))
+        state, _ = rounds.hold(merged.filter("level is not null").select("id", "level", "sigma", delta.alias("delta")))
+    return graph.vertices.join(state, "id", "left").select("id", "level", "sigma", "delta")
 
 
 def components(graph: Graph, mode: str | None = None) -> DataFrame:
@@ -83,37 +85,42 @@ def components(graph: Graph, mode: str | None = None) -> DataFrame:
     if mode not in (None, "propagate", "undirected"):
         raise ValueError(mode)
     edges = (graph.symmetrize() if mode == "undirected" else graph).edges.select("src", "dst").filter("src <> dst").distinct()
-    rounds, changed = Rounds(every=3), 1
-    edges, _ = Rounds().hold(edges)
+    rounds, changed, n = Rounds(), 1, graph.n
+    edges = _placed(edges, n)
     labels = graph.vertices.select("id", F.col("id").alias("label"))
     while changed:
-        near = edges.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy("dst").agg(F.min("label").alias("near"))
-        spread = labels.join(near, F.col("id") == F.col("dst"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        near = _meet(edges, labels.select(F.col("id").alias("src"), "label"), n).select(F.col("dst").alias("id"), "label", F.lit(None).cast("long").alias("old"))
+        spread = labels.withColumn("old", F.col("label")).unionByName(near).groupBy("id").agg(F.max("old").alias("old"), F.min("label").alias("label"))
         spread, (first,) = rounds.hold(spread, F.count_if(F.col("label") < F.col("old")))
         if not first:
             return spread.select("id", "label")
         jump = spread.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        labels, (changed,) = rounds.hold(spread.join(jump, "label").select("id", "old", F.least("label", "further").alias("label")), F.count_if(F.col("label") < F.col("old")))
+        jumped = _meet(spread, jump, n, "label")
+        labels, (changed,) = rounds.hold(jumped.select("id", "old", F.least("label", "further").alias("label")), F.count_if(F.col("label") < F.col("old")))
         labels = labels.select("id", "label")
     return labels
 
 
 def _spread_by_degree(graph: Graph) -> DataFrame:
-    """edges(src, dst, share): 1 / out-degree of the source."""
-    return graph.edges.select("src", "dst").join(graph.out_degrees().select(F.col("id").alias("src"), (1.0 / F.col("degree")).alias("share")), "src")
+    """edges(src, dst, share): 1 / out-degree of the source; held in memory."""
+    share = graph.out_degrees().select(F.col("id").alias("src"), (1.0 / F.col("degree")).alias("share"))
+    return _placed(_meet(graph.edges.select("src", "dst"), share, graph.n), graph.n)
 
 
 def pagerank(graph: Graph, damping: float = 0.85, most_rounds: int = 10, tolerance: float = 1e-7) -> DataFrame:
-    """(id, rank). The mass of vertices without out-edges is dropped; stops after most_rounds, or when the sum of changes is below tolerance."""
+    """(id, rank). The mass of vertices without out-edges is dropped; stops after most_rounds, or when the sum of changes is below tolerance.
+
+    A round is one aggregation by destination, of the edges' shares and the old ranks together.
+    """
     n = graph.n
     if not n:
         return graph.vertices.select("id", F.lit(0.0).alias("rank"))
-    edges, _ = Rounds().hold(_spread_by_degree(graph))
+    edges = _spread_by_degree(graph)
     rounds, ranks = Rounds(), graph.vertices.select("id", F.lit(1.0 / n).alias("rank"))
     for _ in range(most_rounds):
-        got = edges.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = ranks.join(got, F.col("id") == F.col("dst"), "left").select("id", F.col("rank").alias("old"), (damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) / n).alias("rank"))
-        held, (moved,) = rounds.hold(new, F.sum(F.abs(F.col("rank") - F.col("old"))))
+        got = _meet(edges, ranks.select(F.col("id").alias("src"), "rank"), n).select(F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("got"), F.lit(None).cast("double").alias("old"))
+        both = got.unionByName(ranks.select("id", F.lit(0.0).alias("got"), F.col("rank").alias("old"))).groupBy("id").agg(F.max("old").alias("old"), F.sum("got").alias("got"))
+        held, (moved,) = rounds.hold(both.select("id", "old", (damping * F.col("got") + (1 - damping) / n).alias("rank")), F.sum(F.abs(F.col("rank") - F.col("old"))))
         ranks = held.select("id", "rank")
         if moved < tolerance:
             break
@@ -129,15 +136,15 @@ def pagerank_delta(graph: Graph, damping: float = 0.85, tolerance: float = 1e-7,
     n = graph.n
     if not n:
         return graph.vertices.select("id", F.lit(0.0).alias("rank"), F.lit(0.0).alias("delta"), F.lit(False).alias("active"))
-    edges, _ = Rounds().hold(_spread_by_degree(graph))
+    edges = _spread_by_degree(graph)
     state = graph.vertices.select("id", F.lit(0.0).alias("rank"), F.lit(1.0 / n).alias("delta"), F.lit(True).alias("active"))
     rounds, k = Rounds(), 0
     while most_rounds is None or k < most_rounds:
         k += 1
         sent = state.filter("active").select(F.col("id").alias("src"), "delta")
-        got = edges.join(sent, "src").groupBy("dst").agg(F.sum(F.col("delta") * F.col("share")).alias("got"))
-        both = state.join(got, F.col("id") == F.col("dst"), "left")
-        got = F.coalesce("got", F.lit(0.0))
+        sent = _meet(edges, sent, n).select(F.col("dst").alias("id"), (F.col("delta") * F.col("share")).alias("got"), F.lit(None).cast("double").alias("rank"))
+        both = sent.unionByName(state.select("id", F.lit(0.0).alias("got"), "rank")).groupBy("id").agg(F.max("rank").alias("rank"), F.sum("got").alias("got"))
+        got = F.col("got")
         if k == 1:
             step = damping * (F.col("rank") + got) + (1 - damping) / n - F.col("rank")
             new = both.select("id", (F.col("rank") + step).alias("rank"), (step - 1.0 / n).alias("delta"))
@@ -180,7 +187,7 @@ def bellman_ford(graph: Graph, source: int, with_unreached: bool = False) -> Dat
             return graph.vertices.select("id", F.lit(-INFINITE).cast(weight).alias("dist"))
         k += 1
         front = dist.filter("changed").select(F.col("id").alias("src"), "dist")
-        got = graph.edges.join(F.broadcast(front) if _pushed(graph, front, size) else front, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("got"), (F.min_by("src", F.col("dist") + F.col("w")) if traced else F.lit(None).cast("long")).alias("by"))
+        got = graph.edges.join(F.broadcast(front) if size <= MOST_PUSHED else front, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("got"), (F.min_by("src", F.col("dist") + F.col("w")) if traced else F.lit(None).cast("long")).alias("by"))
         better = F.col("dist").isNull() | (F.col("got") < F.col("dist"))
         new = dist.join(got, "id", "full").select("id", F.least("dist", "got").alias("dist"), F.when(better, F.col("by")).otherwise(F.col("parent")).alias("parent"), better.alias("better"))
         dist, (size,) = rounds.hold(new.select("id", "dist", "parent", F.coalesce("better", F.lit(False)).alias("changed")), F.count_if("changed"))
@@ -210,7 +217,7 @@ def belief_propagation(graph: Graph, vertex_potentials: DataFrame, edge_potentia
     don't underflow; potentials must then be positive.
     """
     held, state = Rounds(), vertex_potentials.select("id", "psi0", "psi1", F.lit(0.0 if logs else 1.0).alias("a"), F.lit(0.0 if logs else 1.0).alias("b"))
-    edges = edge_potentials.select("dst", "psi00", "psi01", "psi10", "psi11")
+    edges, n = edge_potentials.select("dst", "psi00", "psi01", "psi10", "psi11"), graph.n
 
     def belief(i: int) -> Column:
         if not logs:
@@ -220,7 +227,7 @@ def belief_propagation(graph: Graph, vertex_potentials: DataFrame, edge_potentia
 
     fold, empty = (F.sum, 0.0) if logs else (F.product, 1.0)
     for _ in range(rounds):
-        beliefs = edges.join(state, F.col("dst") == F.col("id")).select("dst", belief(0).alias("b0"), belief(1).alias("b1"))
+        beliefs = _meet(edges, state.withColumnRenamed("id", "dst"), n, "dst").select("dst", belief(0).alias("b0"), belief(1).alias("b1"))
         got = beliefs.groupBy("dst").agg(fold("b0").alias("p0"), fold("b1").alias("p1"))
         new = state.join(got, F.col("id") == F.col("dst"), "left")
         state, _ = held.hold(new.select("id", "psi0", "psi1", F.coalesce("p0", F.lit(empty)).alias("a"), F.coalesce("p1", F.lit(empty)).alias("b")))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; one of our own only where none is set."""
+    """The folder the cluster names for checkpoints; one of our own only where none is set and all work is done on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -32,10 +34,11 @@ class Rounds:
     """Holds the state of a loop.
 
     A held table that loses an executor is made again from the last written
-    one, at most `every` rounds back.
+    one, at most `every` rounds back. A round reads the state twice, as what is
+    sent and as what is kept, so a plan doubles with every held round: hold few.
     """
 
-    def __init__(self, every: int = 4):
+    def __init__(self, every: int = 2):
         self.every, self.count, self.live = every, 0, []
 
     def hold(self, df: DataFrame, *metrics: Column) -> tuple[DataFrame, list]:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions.scalar import hash_long, hash_unsigned, hilbert_key, reciprocal, round_up_pow2
 from .graph import Graph, from_edges
 from .operators import partition, sequence
-from .operators.edge_map import EdgeFn, active_edges, edge_map, everything, frontier_stats, nothing, rem_duplicates, vertex_filter, vertex_map, where
+from .operators.edge_map import EdgeFn, active_edges, edge_map, edge_map_counted, everything, frontier_stats, nothing, rem_duplicates, vertex_filter, vertex_map, where
 from .plans import algorithms
+from .plans.loop import shared_dir
 from .sources import derived
-from .sources.files import csr_offsets
+from .sources.files import csr_offsets, read_adjacency_text, with_transpose_checked, write_adjacency_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -182,9 +185,9 @@ def _potentials(g: Graph) -> tuple[DataFrame, DataFrame]:
     return v, g.edges.select("src", "dst", "eid", F.lit(0.55).alias("psi00"), F.lit(0.45).alias("psi01"), F.lit(0.35).alias("psi10"), F.lit(0.65).alias("psi11"))
 
 
-@_query("belief_propagation", "ps", _POT + _chain("SELECT id, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM v", _BP_STEP, 3, "SELECT id, round(a, 5) AS product0, round(b, 5) AS product1 FROM {x}"))
+@_query("belief_propagation", "ps", _POT + _chain("SELECT id, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM v", _BP_STEP, 10, "SELECT id, round(a, 5) AS product0, round(b, 5) AS product1 FROM {x}"))
 def belief_propagation(g: Graph) -> DataFrame:
-    out = algorithms.belief_propagation(g, *_potentials(g), rounds=3, logs=True)
+    out = algorithms.belief_propagation(g, *_potentials(g), rounds=10, logs=True)
     return out.select("id", F.round("product0", 5).alias("product0"), F.round("product1", 5).alias("product1"))
 
 
@@ -259,6 +262,37 @@ def edge_map_pushed(g: Graph) -> DataFrame:
     return active_edges(g, where(g.vertices, F.col("id") == _first(g)), pushed=True).select("src", "dst")
 
 
+_FEW, _MANY = "src = (SELECT min(id) FROM v)", "src % 2 = 0"
+
+
+def _counted(where_sql: str) -> str:
+    return f" SELECT dst AS id, sum(src * w + src)::BIGINT AS value, (SELECT count(DISTINCT src) FROM e WHERE {where_sql}) AS size, (SELECT count(*) FROM e WHERE {where_sql}) AS out_edges, (SELECT count(DISTINCT src) + count(*) FROM e WHERE {where_sql}) <= (SELECT count(*) FROM e) // 20 AS pushed FROM e WHERE {where_sql} GROUP BY dst"
+
+
+def _dispatched(g: Graph, frontier: DataFrame) -> DataFrame:
+    state = g.vertices.withColumn("x", F.col("id"))
+    out, stats = edge_map_counted(g, state, EdgeFn(F.col("s_x") * F.col("w") + F.col("s_x")), frontier)
+    return out.select("id", "value", F.lit(stats.size).cast("long").alias("size"), F.lit(stats.out_edges).cast("long").alias("out_edges"), F.lit(stats.pushed).alias("pushed"))
+
+
+@_em("edge_map_dispatch_sparse", "cs", _counted(_FEW))
+def edge_map_dispatch_sparse(g: Graph) -> DataFrame:
+    return _dispatched(g, where(g.vertices, F.col("id") == _first(g)))
+
+
+@_em("edge_map_dispatch_dense", "cs", _counted(_MANY))
+def edge_map_dispatch_dense(g: Graph) -> DataFrame:
+    return _dispatched(g, where(g.vertices, F.col("id") % 2 == 0))
+
+
+@_em("edge_map_any", "cs", " SELECT DISTINCT dst AS id, true AS value FROM e WHERE src % 10 = 0")
+def edge_map_any(g: Graph) -> DataFrame:
+    """Any one of the messages; here it must be a neighbour of the frontier, whichever it is."""
+    out = edge_map(g, g.vertices, EdgeFn(F.col("src"), "any", needs_source=False), where(g.vertices, F.col("id") % 10 == 0)).select("id", F.col("value").alias("src"))
+    pairs = g.edges.select("src", F.col("dst").alias("id"), F.lit(True).alias("edge")).distinct()
+    return out.join(pairs, ["src", "id"], "left").select("id", (F.coalesce("edge", F.lit(False)) & (F.col("src") % 10 == 0)).alias("value"))
+
+
 @_em("vertex_map", "ps", " SELECT id, CASE WHEN id % 2 = 0 THEN id * 10 ELSE -1 END AS x FROM v")
 def vertex_map_query(g: Graph) -> DataFrame:
     return vertex_map(g.vertices.withColumn("x", F.lit(-1).cast("long")), where(g.vertices, F.col("id") % 2 == 0), x=F.col("id") * 10)
@@ -350,13 +384,25 @@ def partition_sizes(g: Graph) -> DataFrame:
     return partition.part_sizes(g, partition.degree_parts(g, 4))
 
 
-def _conserved(name: str, deal: Callable[[Graph], Graph]) -> None:
-    _query(name, "cs", " SELECT count(*) AS edges, sum(src)::BIGINT AS sources, sum(dst)::BIGINT AS destinations FROM e")(lambda g: deal(g).edges.agg(F.count("*").alias("edges"), F.sum("src").alias("sources"), F.sum("dst").alias("destinations")))
+def _dealt(name: str, deal: Callable[[Graph], Graph], key: str, values: str, parts: int) -> None:
+    """For each value of the key: its edges, in how many partitions they lie, and whether the number of partitions is kept."""
+
+    def run(g: Graph) -> DataFrame:
+        lies = deal(g).edges.select("*", F.spark_partition_id().alias("__p"))
+        return lies.groupBy(F.expr(key).alias("key")).agg(F.count("*").alias("edges"), F.sum(values).cast("long").alias("others"), F.count_distinct("__p").alias("partitions"), (F.max("__p") < parts).alias("in_range"))
+
+    _query(name, "cs", f" SELECT {key} AS key, count(*) AS edges, sum({values})::BIGINT AS others, 1::BIGINT AS partitions, true AS in_range FROM e GROUP BY 1")(run)
+
 
+_dealt("partition_by_source", lambda g: partition.by_source(g, 4), "src", "dst", 4)
+_dealt("partition_by_destination", lambda g: partition.by_destination(g, 4), "dst", "src", 4)
 
-_conserved("partition_by_source", lambda g: partition.by_source(g, 4))
-_conserved("partition_by_destination", lambda g: partition.by_destination(g, 4))
-_conserved("partition_two_d", lambda g: partition.two_d(g, 8))
+
+@_em("partition_two_d", "cs", " SELECT src AS id, count(*) AS edges, true AS within FROM e GROUP BY src")
+def partition_two_d(g: Graph) -> DataFrame:
+    """The edges of a source lie in one row of blocks: in as many partitions as there are blocks of destinations, at most."""
+    lies = partition.two_d(g, 8).edges.select("src", F.spark_partition_id().alias("__p"))
+    return lies.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("edges"), (F.count_distinct("__p") <= 4).alias("within"))
 
 
 @_em("graph_filter", "cs", " SELECT src, dst FROM e WHERE src % 3 <> 0 AND dst % 3 <> 0")
@@ -388,15 +434,61 @@ def hilbert_key_query(g: Graph) -> DataFrame:
     return g.edges.select("src", "dst", hilbert_key(F.col("src"), F.col("dst"), _HILBERT_BITS).alias("h"))
 
 
-QUERIES["hilbert_order"] = lambda spark, sf_dir: partition.hilbert_order(derived.part_supplier(spark, sf_dir), 8, _HILBERT_BITS).select("src", "dst", "h")
-ORACLE["hilbert_order"] = ORACLE["hilbert_key"]
-QUERIES["destination_order"] = lambda spark, sf_dir: partition.destination_order(derived.part_supplier(spark, sf_dir), 8).select("src", "dst")
-ORACLE["destination_order"] = f"WITH {_GRAPHS['ps'][1]} SELECT src, dst FROM e"
+
+
+def _in_order(edges: DataFrame, key: str) -> DataFrame:
+    """edges with whether each stands after the one before in its partition, and whether partitions follow each other."""
+    numbered = edges.select("src", "dst", F.expr(key).alias("h"), F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i"))
+    bounds = numbered.groupBy("__p").agg(F.min("h").alias("__lo"), F.max("h").alias("__hi"))
+    apart = bounds.select("__p", (F.coalesce(F.max("__hi").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)) <= F.col("__lo"), F.lit(True))).alias("apart"))
+    before = F.lag("h").over(Window.partitionBy("__p").orderBy("__i"))
+    return numbered.withColumn("sorted", F.coalesce(before <= F.col("h"), F.lit(True))).join(F.broadcast(apart), "__p").select("src", "dst", "h", "sorted", "apart")
+
+
+QUERIES["hilbert_order"] = lambda spark, sf_dir: _in_order(partition.hilbert_order(derived.part_supplier(spark, sf_dir), 8, _HILBERT_BITS), "h")
+ORACLE["hilbert_order"] = ORACLE["hilbert_key"].replace("d AS h FROM", "d AS h, true AS sorted, true AS apart FROM")
+QUERIES["destination_order"] = lambda spark, sf_dir: _in_order(partition.destination_order(derived.part_supplier(spark, sf_dir), 8), "dst").drop("h")
+ORACLE["destination_order"] = f"WITH {_GRAPHS['ps'][1]} SELECT src, dst, true AS sorted, true AS apart FROM e"
+
+
+# Files: a graph is written to the shared folder and read back.
+
+
+def _written_and_read(g: Graph, weighted: bool) -> Graph:
+    spark = g.vertices.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    write_adjacency_text(g, path, weighted)
+    return read_adjacency_text(spark, path, weighted=weighted)
+
+
+@_em("file_adjacency_text", "nn", " SELECT src, dst, 1::BIGINT AS w, row_number() OVER (ORDER BY src, dst) - 1 AS eid FROM e")
+def file_adjacency_text(g: Graph) -> DataFrame:
+    return _written_and_read(g, False).edges
+
+
+@_em("file_weighted_text", "nn", " SELECT src, dst, w, row_number() OVER (ORDER BY src, dst) - 1 AS eid FROM e")
+def file_weighted_text(g: Graph) -> DataFrame:
+    return _written_and_read(g, True).edges
+
+
+@_em("file_companion", "nn", " SELECT src, dst, w FROM e")
+def file_companion(g: Graph) -> DataFrame:
+    """The graph read from its file, having been held against the file of its transpose."""
+    return with_transpose_checked(_written_and_read(g, True), _written_and_read(g.transpose(), True)).edges.select("src", "dst", "w")
 
 
 # Scalars and derived tables.
 
 _M = "18446744073709551616::HUGEINT"
+_HASH64_SQL = f"""WITH a0 AS (SELECT o_orderkey AS k, ((o_orderkey::HUGEINT % {_M}) + {_M}) % {_M} AS a FROM orders),
+a1 AS (SELECT k, (a + {0x7ED55D166BEF7A1D}::HUGEINT + (a % 4503599627370496) * 4096) % {_M} AS a FROM a0),
+a2 AS (SELECT k, xor(xor(a, {0xC761C23C510FA2DD}::HUGEINT), a // 512) AS a FROM a1),
+a3 AS (SELECT k, (a + {0x165667B183A9C0E1}::HUGEINT + (a % 32) * 576460752303423488::HUGEINT) % {_M} AS a FROM a2),
+a4 AS (SELECT k, xor((a + {0xD3A2646CAB3487E3}::HUGEINT) % {_M}, (a % 32768) * 562949953421312::HUGEINT) AS a FROM a3),
+a5 AS (SELECT k, (a + {0xFD7046C5EF9AB54C}::HUGEINT + (a % 2305843009213693952) * 8) % {_M} AS a FROM a4),
+a6 AS (SELECT k, xor(xor(a, {0xB55A4F090DD4A67B}::HUGEINT), a // 4294967296) AS a FROM a5)
+SELECT k, (CASE WHEN a >= 9223372036854775808::HUGEINT THEN a - {_M} ELSE a END)::BIGINT AS h FROM a6"""
+ORACLE["hash_long"] = _HASH64_SQL
 _HASH32_SQL = """WITH a0 AS (SELECT o_orderkey AS k, o_orderkey & 4294967295 AS a FROM orders),
 a1 AS (SELECT k, (a + 2127912214 + (a << 12)) & 4294967295 AS a FROM a0), a2 AS (SELECT k, xor(xor(a, 3345072700), a >> 19) & 4294967295 AS a FROM a1),
 a3 AS (SELECT k, (a + 374761393 + (a << 5)) & 4294967295 AS a FROM a2), a4 AS (SELECT k, xor(a + 3550635116, a << 9) & 4294967295 AS a FROM a3),

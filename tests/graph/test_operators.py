@@ -9,7 +9,7 @@ from loomgraph import queries
 from loomgraph.functions.scalar import hash_long, hash_unsigned, hilbert_key, reciprocal, round_up_pow2
 from loomgraph.graph import from_edges
 from loomgraph.operators import partition, sequence
-from loomgraph.operators.edge_map import EdgeFn, edge_map, everything, vertex_filter
+from loomgraph.operators.edge_map import EdgeFn, edge_map, edge_map_counted, everything, vertex_filter
 
 M64 = (1 << 64) - 1
 
@@ -94,3 +94,12 @@ def test_plans_push_and_prune(spark, tmp_path):
     g = from_edges(spark.read.parquet(str(tmp_path / "e")))
     plan = edge_map(g, g.vertices, EdgeFn(F.col("src"), "min", needs_source=False))._jdf.queryExecution().executedPlan().toString()
     assert "extra" not in plan and "ReadSchema: struct<src:bigint,dst:bigint>" in plan
+
+
+def test_counted_edge_map_and_own_order(spark):
+    g = from_edges(spark.createDataFrame([(0, k % 7 + 1) for k in range(60)] + [(9, 1)], "src long, dst long"), spark.range(10))
+    few, stats = edge_map_counted(g, g.vertices, EdgeFn(F.lit(1), "count", needs_source=False), spark.range(9, 10))
+    assert (stats.size, stats.out_edges, stats.pushed) == (1, 1, True) and [tuple(r)[:2] for r in few.collect()] == [(1, 1)]
+    many, stats = edge_map_counted(g, g.vertices, EdgeFn(F.lit(1), "count", needs_source=False), spark.range(1))
+    assert (stats.size, stats.out_edges, stats.pushed) == (1, 60, False) and many.count() == 7
+    assert not queries._in_order(g.edges.select("src", "dst").coalesce(1).orderBy(F.desc("dst")), "dst").filter("not sorted").isEmpty()
