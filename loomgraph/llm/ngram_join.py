@@ -20,6 +20,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BAND_ROWS = 5
 #: Documents and n-grams of a block of a cluster, documents of a tile of it, and of a bucket that is looked into.
 BLOCK, BLOCK_GRAMS, TILE, BUCKET = 4096, 1 << 20, 512, 512
+#: Blocks a smaller cluster is spread over, and documents of such a block at least.
+SPREAD, LEAST_BLOCK = 8, 256
 #: Columns of the incidence matrix held at once, and rows a task of sketches aims at.
 COLUMNS, TASK_ROWS = 4096, 100_000
 
@@ -287,7 +289,7 @@ def _judged(docs: DataFrame, threshold: float, n_words: int, recall: float) -> D
     clusters = components(edges)
 
     of_node = clusters.join(nodes.select("node", "t1", "t2", "n", "copies"), "node")
-    size = settle(of_node.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.sum("n").alias("grams")))
+    size = settle(of_node.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS), F.least(F.ceil(F.count("*") / LEAST_BLOCK), F.lit(SPREAD))).cast("int").alias("blocks"), F.sum("n").alias("grams")))
     placed = join_unique(of_node, size.select("label", "blocks"), ["label"])
     placed = settle(placed.select("node", "t1", "t2", "n", "copies", F.col("label").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
     texts = join_unique(docs.select(*key, "text"), placed.select("t1", "t2").distinct(), ["t1", "t2"]).groupBy("t1", "t2").agg(F.min("text").alias("text"))
