@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_unique, settle
+from .common import settle
 
 #: Units of fewer words are left alone: they recur by chance.
 MIN_WORDS = 5
-#: Units handed on at once.
-BATCH = 20_000
+#: Units handed on at once, and rows of a digest beyond which it is set apart in the join.
+BATCH, HEAVY = 20_000, 1_000_000
 _SCHEMA = "rid long, doc_id string, unit string, start int, end int, d1 long, d2 long, own_start int"
 
 
@@ -74,21 +74,20 @@ def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     read = docs.select("rid", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(_read(min_words), _SCHEMA)
     units = settle(read.withColumn("doc_id", F.col("doc_id").cast(kind)))
-    once = units.filter("own_start is null")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
     if kind.simpleString() in ("bigint", "int", "smallint", "tinyint"):
         rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    # Ties in the rank, rows with one id, are settled by the row number, which every aggregate reads alike.
-    rank = F.struct(rank.alias("rank"), "rid", "start")
-    firsts = once.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min_by(F.struct("rid", "doc_id", "start"), rank).alias("first")).filter("n > 1")
-    firsts = settle(firsts.select("d1", "d2", F.col("first.rid").alias("first_rid"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")))
-    across = join_unique(once, firsts, ["d1", "d2"]).filter("rid <> first_rid")
-    # A repeat inside a document: the kept one is elsewhere if the document's own first one goes too.
-    within = join_unique(units.filter("own_start is not null"), firsts, ["d1", "d2"], "left")
-    elsewhere = F.col("first_rid").isNotNull()
-    within = within.withColumns({"first_doc_id": F.when(elsewhere, F.col("first_doc_id")).otherwise(F.col("doc_id")), "first_start": F.coalesce("first_start", "own_start")})
-    columns = ["rid", "doc_id", "unit", "start", "end", "first_doc_id", "first_start"]
-    return across.select(columns).unionByName(within.select(columns))
+    rank = F.when(F.col("own_start").isNull(), rank)  # the first in its document; others never lead
+    firsts = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), *[F.min_by(c, rank).alias(f"first_{c}") for c in ("rid", "doc_id", "start")])
+    firsts = settle(firsts.filter("n > 1"))
+    # The digests with most rows are few, and known from the counts: their rows meet a broadcast.
+    heavy = firsts.filter(F.col("n") > HEAVY).drop("n")
+    if heavy.isEmpty():
+        met = units.join(firsts.drop("n"), ["d1", "d2"])
+    else:
+        rest = units.join(F.broadcast(heavy.select("d1", "d2")), ["d1", "d2"], "left_anti").join(firsts.drop("n"), ["d1", "d2"])
+        met = rest.unionByName(units.join(F.broadcast(heavy), ["d1", "d2"]))
+    return met.filter("own_start is not null or rid <> first_rid").select("rid", "doc_id", "unit", "start", "end", "first_doc_id", "first_start")
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -376,7 +376,9 @@ def test_lone_line_meets_the_sentence_inside_a_line(spark):
     assert got == [(2, "sentence", alone, 1, 0), (3, "line", alone, 1, 0), (4, "line", alone, 1, 0), (4, "sentence", alone, 1, 0)]
 
 
-def test_repeated_and_missing_ids_keep_their_own_spans(spark):
+@pytest.mark.parametrize("heavy", [1, 10**6])
+def test_repeated_and_missing_ids_keep_their_own_spans(spark, monkeypatch, heavy):
+    monkeypatch.setattr("loomgraph.llm.substring.HEAVY", heavy)
     line = "the very same line of words here"
     rows = [(1, f"{line}\nown words of the first of them", "a"), (1, f"other words in front of it all\n{line}", "b"), (None, line, "c"), (None, "nothing in this one is repeated", "d"), (2, None, "e"), (3, f"{line}\n{line}", "f")]
     out = remove_units(docs_of(spark, rows)).collect()
