@@ -1,7 +1,11 @@
 """The corpus pipeline: five stages, each on all rows its predecessor kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents.
+return the columns of documents. Rows are told by their id and text together,
+so nulls and ties in doc_id, repeated rows, null, empty and very long texts are
+no error in any stage; an empty table stays empty, and so does the result.
+Columns of documents beyond the five stay, unless a stage's own columns have
+their names (shard, slot) or they begin with two underscores.
 """
 
 from __future__ import annotations
@@ -19,22 +23,25 @@ N_SHARDS = 24
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality classifier rejects go."""
+    """Documents the quality classifier rejects go; without labels of both kinds all share one verdict."""
     return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the least id; texts without words all stay."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; without items all stay."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights; a document comes as often as it is drawn, or not at all."""
+    """Sources are brought to their target weights; a document comes as often as it is drawn, or not at all.
+
+    Rows are laid out by the shard the tree draws them for and shuffled inside it.
+    """
     return mix(docs).select(docs.columns)
 
 
