@@ -34,13 +34,15 @@ class EdgeFn:
 
     message: Column over src, dst, w, eid and the state of the source as s_name
     (and of the destination as d_name, where cond or message needs it);
-    combine: a name in COMBINE; cond: predicate on d_name that a destination
+    combine: a name in COMBINE, or any aggregate of the message as a function of
+    a column (structs of several folds too), of which Spark makes partial ones
+    before the shuffle; cond: predicate on d_name that a destination
     must meet before messages are made; activate: predicate on value and d_name
     that puts a destination into the next frontier (default: any message does).
     """
 
     message: Column
-    combine: str = "sum"
+    combine: str | Callable[[Column], Column] = "sum"
     cond: Column | None = None
     activate: Column | None = None
     needs_source: bool = True
@@ -99,7 +101,8 @@ def edge_map(graph: Graph, state: DataFrame, fn: EdgeFn, frontier: DataFrame | N
         edges = edges.join(to, "dst")
     if fn.cond is not None:
         edges = edges.filter(fn.cond)
-    out = edges.select("dst", fn.message.alias("message")).groupBy("dst").agg(COMBINE[fn.combine](F.col("message")).alias("value"))
+    fold = fn.combine if callable(fn.combine) else COMBINE[fn.combine]
+    out = edges.select("dst", fn.message.alias("message")).groupBy("dst").agg(fold(F.col("message")).alias("value"))
     if fn.activate is None:
         return out.select(F.col("dst").alias("id"), "value", F.lit(True).alias("active"))
     return out.join(to, "dst").select(F.col("dst").alias("id"), "value", fn.activate.alias("active"))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Blocks a sequence is cut into for a scan.
-BLOCKS = 256
+#: Rows a block of a scan aims at, and the most blocks there are.
+BLOCK_ROWS, MOST_BLOCKS = 100_000, 4096
 
 _FOLD: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
     "sum": (F.sum, lambda a, b: a + b),
@@ -18,21 +18,34 @@ _FOLD: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Co
 }
 
 
+def _block_of(column: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the column: a binary search."""
+    if not bounds:
+        return F.lit(0)
+    known = F.array(*[F.lit(b).cast("long") for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(known, at + step - 1) <= column), at + step).otherwise(at))
+
+
 def scan(df: DataFrame, order: str, value: str, op: str = "sum", inclusive: bool = False, back: bool = False, out: str = "scan", identity: int | None = None) -> DataFrame:
     """df with the fold of the values before each row (and its own, if inclusive), from the other end if back.
 
-    order: an integer column without repeats. Rows are dealt to blocks of
-    consecutive order; each block is folded alone, the folds of the blocks are
-    scanned (BLOCKS rows), and the two are combined. What precedes the first
-    row is identity (0 for sums, null otherwise).
+    order: an integer column without repeats. Rows are counted and dealt to
+    blocks of consecutive order, cut at quantiles so that clustered values don't
+    meet in one block; each block is folded alone, the folds of the blocks are
+    scanned (MOST_BLOCKS rows at most), and the two are combined. What precedes
+    the first row is identity (0 for sums, null otherwise).
     """
     fold, both = _FOLD[op]
     identity = 0 if op == "sum" and identity is None else identity
-    ends = df.agg(F.min(order), F.max(order)).first()
-    if ends[0] is None:
+    blocks = min(MOST_BLOCKS, -(-df.count() // BLOCK_ROWS))
+    if not blocks:
         return df.withColumn(out, F.col(value))
-    width = max(1, -(-(ends[1] - ends[0] + 1) // BLOCKS))
-    df = df.withColumn("__block", F.expr(f"({order} - {ends[0]}L) div {width}L"))
+    bounds = []
+    if blocks > 1:
+        shares = [k / blocks for k in range(1, blocks)]
+        bounds = sorted(set(df.agg(F.percentile_approx(order, shares, 4 * blocks)).first()[0]))
+    df = df.withColumn("__block", _block_of(F.col(order), bounds))
     key = lambda c: F.col(c).desc() if back else F.col(c)
     over_blocks = Window.orderBy(key("__block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = df.groupBy("__block").agg(fold(F.col(value)).alias("__fold")).select("__block", fold(F.col("__fold")).over(over_blocks).alias("__carried"))

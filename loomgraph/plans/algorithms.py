@@ -41,6 +41,7 @@ def bfs(graph: Graph, source: int, with_unreached: bool = False) -> DataFrame:
         old, new = F.max(F.when(F.col("level") < level, F.col("parent"))), F.min(F.when(F.col("level") == level, F.col("parent")))
         merged = reached.unionByName(found).groupBy("id").agg(F.min("level").alias("level"), F.coalesce(old, new).alias("parent"))
         reached, (size,) = rounds.hold(merged, F.count_if(F.col("level") == level))
+    edges.unpersist()
     if with_unreached:
         return graph.vertices.join(reached, "id", "left").select("id", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("parent", F.lit(-1)).alias("parent"))
     return reached
@@ -64,13 +65,16 @@ def betweenness(graph: Graph, source: int) -> DataFrame:
         merged = reached.unionByName(found).groupBy("id").agg(F.min("level").alias("level"), F.coalesce(own, sent).alias("sigma"))
         reached, (size,) = rounds.hold(merged, F.count_if(F.col("level") == level))
     state = reached.withColumn("delta", F.lit(0.0))
-    edges = _placed(edges, n, "dst")
+    if n > MOST_PUSHED:
+        edges.unpersist()
+        edges = _placed(graph.edges.select("src", "dst"), n, "dst")
     for k in range(level - 2, -1, -1):
         child = state.filter(F.col("level") == k + 1).select(F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
         back = _meet(edges, child, n, "dst").select(F.col("src").alias("id"), *[F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("sigma", "double"), ("delta", "double"))], "share")
         merged = state.withColumn("share", F.lit(0.0)).unionByName(back).groupBy("id").agg(F.max("level").alias("level"), F.max("sigma").alias("sigma"), F.max("delta").alias("delta"), F.sum("share").alias("share"))
         delta = F.when(F.col("level") == k, F.col("sigma") * F.col("share")).otherwise(F.col("delta"))
         state, _ = rounds.hold(merged.filter("level is not null").select("id", "level", "sigma", delta.alias("delta")))
+    edges.unpersist()
     return graph.vertices.join(state, "id", "left").select("id", "level", "sigma", "delta")
 
 
@@ -93,11 +97,13 @@ def components(graph: Graph, mode: str | None = None) -> DataFrame:
         spread = labels.withColumn("old", F.col("label")).unionByName(near).groupBy("id").agg(F.max("old").alias("old"), F.min("label").alias("label"))
         spread, (first,) = rounds.hold(spread, F.count_if(F.col("label") < F.col("old")))
         if not first:
-            return spread.select("id", "label")
+            labels = spread.select("id", "label")
+            break
         jump = spread.select(F.col("id").alias("label"), F.col("label").alias("further"))
         jumped = _meet(spread, jump, n, "label")
         labels, (changed,) = rounds.hold(jumped.select("id", "old", F.least("label", "further").alias("label")), F.count_if(F.col("label") < F.col("old")))
         labels = labels.select("id", "label")
+    edges.unpersist()
     return labels
 
 
@@ -124,6 +130,7 @@ def pagerank(graph: Graph, damping: float = 0.85, most_rounds: int = 10, toleran
         ranks = held.select("id", "rank")
         if moved < tolerance:
             break
+    edges.unpersist()
     return ranks
 
 
@@ -153,6 +160,7 @@ def pagerank_delta(graph: Graph, damping: float = 0.85, tolerance: float = 1e-7,
         state, (moved,) = rounds.hold(new.withColumn("active", F.abs("delta") > threshold * F.col("rank")), F.sum(F.abs("delta")))
         if moved < tolerance:
             break
+    edges.unpersist()
     return state
 
 

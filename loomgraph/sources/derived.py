@@ -47,7 +47,15 @@ def nation_nation(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src_type, dst_type, w): how often one event type follows another with the same user."""
-    events = _table(spark, sf_dir, "events")
-    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return events.select(F.col("event_type").alias("src_type"), after.alias("dst_type")).filter("dst_type is not null").groupBy("src_type", "dst_type").agg(F.count("*").alias("w"))
+    """(src_type, dst_type, w): how often one event type follows another with the same user.
+
+    Events are put in order by user and hour, so that a busy user's are no
+    single group; the last of an hour is followed by the first of the user's next.
+    """
+    events = _table(spark, sf_dir, "events").select("user_id", F.date_trunc("hour", "ts").alias("hour"), "ts", "event_id", "event_type")
+    after = F.lead("event_type").over(Window.partitionBy("user_id", "hour").orderBy("ts", "event_id"))
+    inside = events.select(F.col("event_type").alias("src_type"), after.alias("dst_type"))
+    order = F.struct("ts", "event_id")
+    hours = events.groupBy("user_id", "hour").agg(F.min_by("event_type", order).alias("first"), F.max_by("event_type", order).alias("last"))
+    between = hours.select(F.col("last").alias("src_type"), F.lead("first").over(Window.partitionBy("user_id").orderBy("hour")).alias("dst_type"))
+    return inside.unionByName(between).filter("dst_type is not null").groupBy("src_type", "dst_type").agg(F.count("*").alias("w"))

@@ -14,15 +14,19 @@ from ..graph import Graph
 
 HEADERS = {"AdjacencyGraph": False, "WeightedAdjacencyGraph": True}
 _EDGES = "kind int, at long, value long"
+#: Places of a list that are made at once, and lines of a written file.
+STRETCH, FILE_LINES = 1 << 16, 10_000_000
 
 
 def tokens(spark: SparkSession, path: str) -> DataFrame:
     """(i, token): the tokens of a text file in order, split at blanks and NULs.
 
     The file is read in splits; tokens are counted by split and numbered
-    inside, so a large file is never in one task.
+    inside, so a large file is never in one task. A folder is read as its files
+    one after the other, by name.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+    split = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", split.alias("at"), F.monotonically_increasing_id().alias("line"))
     words = lines.select("at", "line", F.posexplode(F.filter(F.split("value", r"[\s\x00]+"), lambda x: x != "")).alias("pos", "token"))
     starts = words.groupBy("at").agg(F.count("*").alias("n")).select("at", F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     inside = Window.partitionBy("at").orderBy("line", "pos")
@@ -30,10 +34,14 @@ def tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _from_offsets(spark: SparkSession, n: int, m: int, starts: DataFrame, targets: DataFrame, weights: DataFrame | None, symmetric: bool) -> Graph:
-    """starts(v, o), targets(eid, dst), weights(eid, w): a vertex's list ends where the next one's begins."""
+    """starts(v, o), targets(eid, dst), weights(eid, w): a vertex's list ends where the next one's begins.
+
+    Places in a list are made in stretches, so a hub's are never one array.
+    """
     following = starts.select((F.col("v") - 1).alias("v"), F.col("o").alias("end"))
     lists = starts.join(following, "v", "left").select("v", "o", F.coalesce("end", F.lit(m)).alias("end")).filter("o < end")
-    edges = lists.select(F.col("v").alias("src"), F.explode(F.sequence("o", F.col("end") - 1)).alias("eid")).join(targets, "eid")
+    stretches = lists.select("v", "end", F.explode(F.sequence("o", F.col("end") - 1, F.lit(STRETCH).cast("long"))).alias("o"))
+    edges = stretches.select(F.col("v").alias("src"), F.explode(F.sequence("o", F.least(F.col("o") + STRETCH, "end") - 1)).alias("eid")).join(targets, "eid")
     edges = edges.join(weights, "eid") if weights is not None else edges.withColumn("w", F.lit(1).cast("long"))
     return Graph(spark.range(n), edges.select("src", "dst", "w", "eid"), symmetric)
 
@@ -112,9 +120,24 @@ def read_csr(spark: SparkSession, stem: str, symmetric: bool = False, wide: bool
     return _from_offsets(spark, n, targets.count(), load("idx", np.dtype(np.int64 if wide else np.int32), "v", "o").filter(F.col("v") < n), targets, None, symmetric)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_graph(spark: SparkSession, path: str, fmt: str = "text", symmetric: bool = False) -> Graph:
-    """fmt: text, gr or csr."""
-    return {"text": read_adjacency_text, "gr": read_gr, "csr": read_csr}[fmt](spark, path, symmetric=symmetric)
+    """fmt: text, gr or csr. Where a directed graph in text or gr has a companion beside it, path_t, both must have the same size.
+
+    The in-edges are those of the file itself, turned round; with_transpose_checked
+    holds the companion's edges against them.
+    """
+    read = {"text": read_adjacency_text, "gr": read_gr, "csr": read_csr}[fmt]
+    graph = read(spark, path, symmetric=symmetric)
+    if fmt != "csr" and not symmetric and _exists(spark, f"{path}_t"):
+        other = read(spark, f"{path}_t")
+        if (graph.n, graph.m) != (other.n, other.m):
+            raise ValueError(f"{path}_t: {other.n} vertices and {other.m} edges, not {graph.n} and {graph.m}")
+    return graph
 
 
 def csr_offsets(graph: Graph) -> DataFrame:
@@ -125,12 +148,19 @@ def csr_offsets(graph: Graph) -> DataFrame:
 
 
 def write_adjacency_text(graph: Graph, path: str, weighted: bool = False) -> None:
-    """A text file in a folder, with ids from 0 to n - 1. The format is one sequence, so one task writes it."""
-    number = Window.orderBy("src", "dst", "w")
-    edges = graph.edges.select("dst", "w", (F.row_number().over(number) - 1).alias("at"))
+    """A folder of text files that follow each other by name; ids must run from 0 to n - 1.
+
+    An edge's place is its source's offset and its rank among the source's
+    edges, so that lines are ranged and written by many tasks.
+    """
+    offsets = csr_offsets(graph)
+    number = Window.partitionBy("src").orderBy("dst", "w")
+    edges = graph.edges.select("src", "dst", "w", (F.row_number().over(number) - 1).alias("rank"))
+    edges = edges.join(offsets.withColumnRenamed("id", "src"), "src").select("dst", "w", (F.col("offset") + F.col("rank")).alias("at"))
     head = graph.vertices.sparkSession.createDataFrame([(0, 0, "WeightedAdjacencyGraph" if weighted else "AdjacencyGraph"), (0, 1, str(graph.n)), (0, 2, str(graph.m))], "part int, at long, line string")
-    out = head.unionByName(csr_offsets(graph).select(F.lit(1).alias("part"), F.col("id").alias("at"), F.col("offset").cast("string").alias("line")))
+    out = head.unionByName(offsets.select(F.lit(1).alias("part"), F.col("id").alias("at"), F.col("offset").cast("string").alias("line")))
     out = out.unionByName(edges.select(F.lit(2).alias("part"), "at", F.col("dst").cast("string").alias("line")))
     if weighted:
         out = out.unionByName(edges.select(F.lit(3).alias("part"), "at", F.col("w").cast("string").alias("line")))
-    out.repartition(1).sortWithinPartitions("part", "at").select("line").write.mode("overwrite").text(path)
+    files = -(-(3 + graph.n + (1 + weighted) * graph.m) // FILE_LINES)
+    out.repartitionByRange(files, "part", "at").sortWithinPartitions("part", "at").select("line").write.mode("overwrite").text(path)

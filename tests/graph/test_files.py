@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from loomgraph.graph import from_edges
+from loomgraph.plans.run import main, run
 from loomgraph.sources.files import read_csr, read_gr, read_graph, with_transpose_checked, write_adjacency_text
 
 EDGES = [(0, 1, 3), (0, 2, 1), (2, 0, 5), (2, 2, 7), (2, 1, 2)]
@@ -76,3 +77,32 @@ def test_round_trip_and_companion(spark, tmp_path, weighted):
     with_transpose_checked(back, read_graph(spark, str(tmp_path / "out_t")))
     with pytest.raises(ValueError):
         with_transpose_checked(back, back)
+
+
+def test_written_over_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("loomgraph.sources.files.FILE_LINES", 300)
+    monkeypatch.setattr("loomgraph.sources.files.STRETCH", 4)
+    n = 200
+    edges = [(v, (v * 7 + k) % n, k) for v in range(n) for k in range(3)] + [(5, d, 9) for d in range(0, n, 2)]
+    g = from_edges(spark.createDataFrame(edges, "src long, dst long, w long"), spark.range(n))
+    write_adjacency_text(g, str(tmp_path / "out"), True)
+    assert len(list((tmp_path / "out").glob("part-*"))) > 3
+    assert edges_of(read_graph(spark, str(tmp_path / "out"))) == sorted(edges)
+
+
+def test_companion_is_found(spark, tmp_path):
+    (tmp_path / "g").write_text(text(False))
+    (tmp_path / "g_t").write_text("AdjacencyGraph\n4\n1\n0\n1\n1\n1\n2\n")
+    with pytest.raises(ValueError, match="g_t"):
+        read_graph(spark, str(tmp_path / "g"))
+    assert read_graph(spark, str(tmp_path / "g"), symmetric=True).n == N
+
+
+def test_run(spark, tmp_path):
+    (tmp_path / "g").write_text(text(True))
+    out, took = run(spark, "bfs", str(tmp_path / "g"), source=0, rounds=2, num_partitions=3, partition_by="source")
+    assert len(took) == 2 and sorted((r.id, r.level) for r in out.collect()) == [(0, 0), (1, 1), (2, 1)]
+    with pytest.raises(ValueError, match="vertex 100"):
+        run(spark, "bfs", str(tmp_path / "g"))
+    main(["spmv", str(tmp_path / "g"), str(tmp_path / "y"), "-rounds", "1", "-P", "dest"])
+    assert spark.read.parquet(str(tmp_path / "y")).count() == N

@@ -103,3 +103,20 @@ def test_counted_edge_map_and_own_order(spark):
     many, stats = edge_map_counted(g, g.vertices, EdgeFn(F.lit(1), "count", needs_source=False), spark.range(1))
     assert (stats.size, stats.out_edges, stats.pushed) == (1, 60, False) and many.count() == 7
     assert not queries._in_order(g.edges.select("src", "dst").coalesce(1).orderBy(F.desc("dst")), "dst").filter("not sorted").isEmpty()
+
+
+def test_scan_of_clustered_order(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "BLOCK_ROWS", 50)
+    ids = sorted({*range(400), 10**15, *range(10**17, 10**17 + 300)})
+    values = [(i * 31) % 17 - 5 for i in range(len(ids))]
+    df = spark.createDataFrame(list(zip(ids, values)), "id long, x long")
+    got = [r.scan for r in sequence.plus_scan(df, "id", "x").orderBy("id").collect()]
+    assert got == [sum(values[:k]) for k in range(len(ids))]
+    got = [r.scan for r in sequence.scan_inclusive_back(df, "id", "x").orderBy("id").collect()]
+    assert got == [min(values[k:]) for k in range(len(ids))]
+
+
+def test_fold_of_the_callers_own(spark):
+    g = from_edges(spark.createDataFrame([(0, 2, 3), (1, 2, 5), (2, 0, 7)], "src long, dst long, w long"))
+    out = edge_map(g, g.vertices, EdgeFn(F.struct("src", "w"), lambda m: F.sum(m["w"] * m["src"]) + F.max(m["w"]), needs_source=False))
+    assert {r.id: r.value for r in out.collect()} == {2: 10, 0: 21}
