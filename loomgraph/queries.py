@@ -457,8 +457,6 @@ def hilbert_key_query(g: Graph) -> DataFrame:
     return g.edges.select("src", "dst", hilbert_key(F.col("src"), F.col("dst"), _HILBERT_BITS).alias("h"))
 
 
-
-
 def _in_order(edges: DataFrame, key: str) -> DataFrame:
     """edges with whether each stands after the one before in its partition, and whether partitions follow each other."""
     numbered = edges.select("src", "dst", F.expr(key).alias("h"), F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i"))
