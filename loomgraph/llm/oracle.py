@@ -51,4 +51,29 @@ f AS (SELECT *, first_value(doc_id) OVER g AS gd, first_value(start) OVER g AS g
 SELECT doc_id, unit, start::INTEGER AS start, stop::INTEGER AS "end", gd AS first_doc_id, gs::INTEGER AS first_start
 FROM f WHERE own <> start OR gd <> doc_id"""
 
-ORACLE = {"op8_substrings": OP8, "op2_sharding": OP2, "mixing_quotas": OP6, "op9_decontamination": OP9}
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+l AS (SELECT r, doc_id, p, a[p] AS x, translate(trim(a[p], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT *, unnest(range(1, len(a) + 1)) AS p FROM d)),
+g AS (SELECT k, min(doc_id) AS keeper FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INTEGER) >= 2),
+m AS (SELECT l.*, coalesce(g.keeper IS NOT NULL AND l.doc_id IS DISTINCT FROM g.keeper, false) AS gone FROM l LEFT JOIN g ON l.k = g.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id"""
+
+
+def _lloyd(rounds: int = 10, k: int = 8) -> str:
+    """Rounds of exact assignment and floored means, one after the other."""
+    parts = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), x) - 1)::INTEGER AS k, x AS c FROM v QUALIFY k < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, x, k, d FROM (SELECT *, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)")
+        if i < rounds:
+            parts.append(f"m{i} AS (SELECT k, p, sum(e) AS s, count(*) AS n FROM (SELECT k, unnest(x) AS e, generate_subscripts(x, 1) AS p FROM a{i}) GROUP BY k, p)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(f, c) AS c FROM c{i} LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS f FROM m{i} GROUP BY k) AS q ON c{i}.k = q.k)")
+    parts.append(f"i AS (SELECT k, sum(d)::BIGINT AS own, (sum(sum(d)) OVER ())::BIGINT AS every FROM a{rounds} GROUP BY k)")
+    last = f"SELECT vec_id, a.k AS cluster, d AS distance, own AS cluster_inertia, every AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} AS a JOIN i ON a.k = i.k JOIN c{rounds} AS c ON a.k = c.k"
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
+ORACLE = {"op11_clustering": _lloyd(), "op13_line_dedup": OP13, "op8_substrings": OP8, "op2_sharding": OP2, "mixing_quotas": OP6, "op9_decontamination": OP9}

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cluster import clusters
 from .common import table
 from .decontam import decontaminate
 from .embedding import near_vectors
+from .line_dedup import dedup_lines
 from .mix import plan_mix
 from .ngram_join import similar_documents
 from .oracle import ORACLE
@@ -17,6 +19,7 @@ from .secrets import find_secrets
 from .shard import shard_interleaved
 from .substring import repeated_units
 from .toxicity import score_toxicity
+from .whiten import whiten
 
 N_SHARDS = 24
 
@@ -78,6 +81,20 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept", F.round("recall", 3).alias("audited_recall"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact deviation must fit into a long here; that of the operator is a decimal."""
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
@@ -90,6 +107,9 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_decontamination": op9_decontamination,
     "op10_embeddings": op10_embeddings,
+    "op11_clustering": op11_clustering,
+    "op12_whitening": op12_whitening,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 
