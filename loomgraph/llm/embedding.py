@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, drop_settled, join_unique, settle
+from .fitting import chosen
 from .ngram_join import _groups
 
 COSINE = 0.98
@@ -283,10 +284,9 @@ def _links(nodes: DataFrame, least: float, overlap: int | None, beam: int) -> Da
 
 def _medoids(nodes: DataFrame, n: int, least: float) -> dict:
     """grp -> (number of its first shard, medoids), from a hashed sample that is bounded in vectors and in bytes."""
-    span = 1 << 20
     widest = nodes.agg(F.max(F.size("v"))).first()[0] or 1
     most = min(MOST_SAMPLED, max(1, MOST_BYTES // (8 * widest)))
-    sample = nodes.filter(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(span)) < min(span, int(span * most / max(n, 1)))).select("node", "grp", "v").toPandas().sort_values(["grp", "node"])
+    sample = nodes.filter(chosen(F.xxhash64(F.lit(3), "node"), most, n)).select("node", "grp", "v").toPandas().sort_values(["grp", "node"])
     medoids, base = {}, 0
     for grp, g in sample.groupby("grp"):
         k = max(1, min(round(n * len(g) / max(len(sample), 1) / PER_MEDOID), max(1, MOST_MEDOIDS * len(g) // len(sample))))
@@ -296,8 +296,8 @@ def _medoids(nodes: DataFrame, n: int, least: float) -> dict:
     return medoids
 
 
-def audit_recall(nodes: DataFrame, links: DataFrame, least: float) -> float:
-    """The share of the links of the audited nodes, counted by brute force, that the search found.
+def audit_recall(nodes: DataFrame, links: DataFrame, least: float) -> float | None:
+    """The share of the links of the audited nodes, counted by brute force, that the search found; None where they have none.
 
     The queries are compared with all nodes in blocks of bounded bytes, one block after the other.
     """
@@ -323,7 +323,7 @@ def audit_recall(nodes: DataFrame, links: DataFrame, least: float) -> float:
         total += truth.count()
         right += truth.join(found, ["node", "hit"], "left_semi").count()
         drop_settled(truth)
-    return right / total if total else 1.0
+    return right / total if total else None
 
 
 def near_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERLAP, beam: int = BEAM) -> DataFrame:
@@ -336,8 +336,9 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERL
     for from the medoids. Larger shards are cut into blocks that are searched
     two by two, so no task holds more than two blocks. No two medoids are in
     range of each other, so vectors in range of each other meet in few shards.
-    The recall of every vector whose id is divisible by AUDITED is measured by
-    brute force; below LEAST_RECALL the search is repeated, wider, and at last
+    The recall of every vector whose id is divisible by AUDITED, or whose hash
+    is where no such vector can be compared, is measured by brute force, and
+    null where those have no links to find; below LEAST_RECALL the search is repeated, wider, and at last
     with each group as one shard, whose blocks all meet. If that falls short
     too, it is an error. Only pairs at the threshold are linked.
 
@@ -353,10 +354,12 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERL
     rows = settle(rows.withColumns({"d1": F.xxhash64("grp", "v"), "d2": F.xxhash64(F.lit(1), F.reverse("v"), F.col("grp"))}))
     asked = F.coalesce(F.max(F.pmod(F.col("vec_id").cast("long"), F.lit(AUDITED)) == 0), F.lit(False))
     nodes = settle(rows.filter("good").groupBy("grp", "d1", "d2").agg(F.min("rid").alias("node"), F.min("vec_id").alias("low"), F.count("*").alias("copies"), asked.alias("audited"), F.min("v").alias("v")))
+    if nodes.filter("audited").isEmpty():
+        nodes = nodes.withColumn("audited", F.pmod(F.xxhash64(F.lit(11), "d1", "d2"), F.lit(AUDITED)) == 0)
     for times in (1, 2, 4, None):
         links = _links(nodes, least, times and overlap * times, beam * (times or 8))
         recall = audit_recall(nodes, links, least)
-        if recall >= LEAST_RECALL:
+        if recall is None or recall >= LEAST_RECALL:
             break
         drop_settled(links)
     else:
@@ -371,4 +374,4 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERL
     bad = rows.filter("not good").select("vec_id", F.lit(None).cast("long").alias("copies"), F.lit(None).cast("long").alias("links"), F.col("vec_id").alias("component_id"))
     n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
     component = F.coalesce("component_id", "vec_id")
-    return out.unionByName(bad).select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).alias("recall"))
+    return out.unionByName(bad).select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("recall"))

@@ -12,13 +12,16 @@ def held_out(modulus: int, rest: int, ident: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary")) % modulus == rest
 
 
-def sampled(ids: DataFrame, most: int, seed: int) -> DataFrame:
-    """About `most` rows at most, chosen by a hash of doc_id; all of them if they are fewer."""
-    n = ids.count()
+def chosen(key: Column, most: int, n: int) -> Column:
+    """Whether a row of n is one of about `most`, by a 64-bit hash: its upper 63 bits are held against most / n, so the share is never rounded to nothing."""
     if n <= most:
-        return ids
-    span = 1 << 20
-    return ids.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(span)) < int(span * most / n))
+        return F.lit(True)
+    return F.shiftrightunsigned(key, 1) < F.lit((most << 63) // n).cast("long")
+
+
+def sampled(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """About `most` rows, chosen by a hash of doc_id; all of them if they are fewer."""
+    return ids.filter(chosen(F.xxhash64(F.lit(seed), F.col("doc_id")), most, ids.count()))
 
 
 class Adam:

@@ -99,9 +99,9 @@ def split_tree(n_shards: int, seed: int):
 
 
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with size, and the seeded order of the rows of a source."""
+    """docs with __size, and the seeded order of the rows of a source."""
     crc = F.coalesce(F.crc32(F.col("text")), F.lit(-1).cast("long"))
-    return docs.drop("size").withColumns({"size": words(), "__key": shuffle_key(seed, F.col("doc_id")), "__crc": crc})
+    return docs.withColumns({"__size": words(), "__key": shuffle_key(seed, F.col("doc_id")), "__crc": crc})
 
 
 class _Plan:
@@ -109,11 +109,11 @@ class _Plan:
 
     def __init__(self, keyed: DataFrame, n_shards: int, seed: int, weights: tuple[int, ...]):
         self.seed, self.bucket = seed, key_bucket(F.col("__key"), bucket_count(keyed.count()))
-        self.offsets = settle(offsets_of(with_bucket(keyed, "source", self.bucket, F.col("size"))))
-        sources = settle(keyed.groupBy("source").agg(F.sum("size").alias("source_size")))
+        self.offsets = settle(offsets_of(with_bucket(keyed, "source", self.bucket, F.col("__size"))))
+        sources = settle(keyed.groupBy("source").agg(F.sum("__size").alias("source_size")))
         self.blocks = max(1, min(BLOCKS, MOST_BLOCKS // (MOST_EPOCHS * max(1, sources.count()))))
         aims = settle(targets(sources, weights))
-        blocks = self._placed(keyed).groupBy("source", "source_size", "__block").agg(F.sum("size").alias("__words"))
+        blocks = self._placed(keyed).groupBy("source", F.col("__source_size").alias("source_size"), "__block").agg(F.sum("__size").alias("__words"))
         in_source = Window.partitionBy("place").orderBy("__block")
         aimed = blocks.join(small(aims.drop("source_size").withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
         so_far = F.sum("__words").over(in_source.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__words")
@@ -127,23 +127,23 @@ class _Plan:
         cuts = small(settle(cuts.join(quotas.select("place", "n_blocks"), "place")))
         # A block's draw of an epoch is a place in the source's sequence; its shard is the first whose cut lies beyond it.
         dealt = aimed.join(cuts, "place").withColumn("dealt", F.expr("if(__times = 0, cast(array() as array<struct<epoch:int,shard:int>>), transform(sequence(0L, greatest(__times, 1L) - 1), e -> struct(cast(e as int) as epoch, cast(size(filter(cuts, x -> x <= e * n_blocks + __seq)) as int) as shard)))"))
-        self.dealt = settle(dealt.select(F.col("source").alias("__s"), F.col("__block").alias("__at"), "target", "dealt"))
+        self.dealt = settle(dealt.select(F.col("source").alias("__s"), F.col("__block").alias("__at"), F.col("target").alias("__target"), F.col("dealt").alias("__dealt")))
         drop_settled(sources, aims, aimed)
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         order = [F.col("__key"), F.col("doc_id"), F.col("__crc")]
-        block = F.expr(f"if(source_size > 0, least(__before * {self.blocks}L div source_size, {self.blocks - 1}L), 0L)")
-        return ranked(rows, "source", self.bucket, order, F.col("size"), self.offsets).withColumnRenamed("__group_weight", "source_size").withColumn("__block", block)
+        block = F.expr(f"if(__source_size > 0, least(__before * {self.blocks}L div __source_size, {self.blocks - 1}L), 0L)")
+        return ranked(rows, "source", self.bucket, order, F.col("__size"), self.offsets).withColumnRenamed("__group_weight", "__source_size").withColumn("__block", block)
 
     def apply(self, keyed: DataFrame) -> DataFrame:
-        """keyed with source_size, target and draws; every draw has its epoch, shard and place in the shard's local shuffle."""
+        """keyed with __source_size, __target and __draws; every draw has its epoch, shard and place in the shard's local shuffle."""
         out = self._placed(keyed)
         out = out.join(small(self.dealt), out.source.eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__at")))
-        draws = F.transform("dealt", lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.xxhash64(F.lit(self.seed), d["shard"], d["epoch"], F.col("doc_id"), F.col("__crc")).alias("order")))
-        return out.withColumn("draws", draws).drop("__at", "__block", "__s", "__rank", "__before", "__group_rows", "__key", "__crc", "dealt")
+        draws = F.transform("__dealt", lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.xxhash64(F.lit(self.seed), d["shard"], d["epoch"], F.col("doc_id"), F.col("__crc")).alias("order")))
+        return out.withColumn("__draws", draws).drop("__at", "__block", "__s", "__rank", "__before", "__group_rows", "__key", "__crc", "__dealt")
 
 
-_OWN = ("size", "source_size", "target", "draws", "dealt")
+_TOLD = ("size", "source_size", "target")
 
 
 def plan_mix(docs: DataFrame, n_shards: int = 16, seed: int = 23, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -165,21 +165,26 @@ def plan_mix(docs: DataFrame, n_shards: int = 16, seed: int = 23, weights: tuple
     no row.
     """
     keyed = settle(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"))
-    return _Plan(keyed, n_shards, seed, weights).apply(keyed).select("doc_id", "source", "size", "source_size", "target", "draws")
+    return _Plan(keyed, n_shards, seed, weights).apply(keyed).select("doc_id", "source", *[F.col(f"__{c}").alias(c) for c in (*_TOLD, "draws")])
 
 
-def mix(docs: DataFrame, n_shards: int = 16, seed: int = 23, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, n_shards: int = 16, seed: int = 23, weights: tuple[int, ...] = WEIGHTS, told: bool = True) -> DataFrame:
     """The mixture: a row of docs for each of its draws, with size, source_size, target, mix_shard, mix_epoch and mix_order.
 
     Rows are dealt out by shard and by a stretch of mix_order, of which a shard
     has 256, and sorted by both within a partition: the
     shard's local shuffle wants them. Nulls, ties and empty tables are treated
     as in plan_mix; columns of those names are replaced, names that begin with
-    two underscores reserved.
+    two underscores reserved and dropped. Without `told` all other columns are
+    those of docs, whatever their names, and only the layout shows the shards.
     """
-    docs = docs.drop(*_OWN, "mix_shard", "mix_epoch", "mix_order")
+    columns = [c for c in docs.columns if not c.startswith("__")]
+    docs = docs.select(columns)
     narrow = settle(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"))
-    drawn = _Plan(narrow, n_shards, seed, weights).apply(_keyed(docs, seed)).withColumn("__d", F.explode("draws"))
-    out = drawn.withColumns({"mix_shard": F.col("__d.shard"), "mix_epoch": F.col("__d.epoch"), "mix_order": F.col("__d.order")}).drop("__d", "draws")
+    drawn = _Plan(narrow, n_shards, seed, weights).apply(_keyed(docs, seed)).withColumn("__d", F.explode("__draws"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(parts, "mix_shard", F.shiftright("mix_order", 56)).sortWithinPartitions("mix_shard", "mix_order")
+    laid = drawn.repartition(parts, F.col("__d.shard"), F.shiftright("__d.order", 56)).sortWithinPartitions("__d.shard", "__d.order")
+    if not told:
+        return laid.select(columns)
+    own = {**{c: F.col(f"__{c}") for c in _TOLD}, **{f"mix_{c}": F.col(f"__d.{c}") for c in ("shard", "epoch", "order")}}
+    return laid.select(*[c for c in columns if c not in own], *[v.alias(k) for k, v in own.items()])

@@ -43,12 +43,12 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN s USING (r)"""
 OP8 = r"""
 WITH l AS (SELECT doc_id, unnest(list_zip(string_split(text, chr(10)), range(0, len(string_split(text, chr(10)))))) AS z, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
 ll AS (SELECT doc_id, z[1] AS x, (coalesce(list_sum(list_transform(a[1:z[2]], lambda y: length(y) + 1)), 0))::BIGINT AS start FROM l),
-s AS (SELECT doc_id, start AS base, unnest(list_zip(string_split(x, '. '), range(0, len(string_split(x, '. '))))) AS z, string_split(x, '. ') AS a FROM ll WHERE contains(x, '. ') AND len(string_split(rtrim(trim(regexp_replace(lower(x), '\s+', ' ', 'g')), '.'), ' ')) >= 5),
+s AS (SELECT doc_id, start AS base, unnest(list_zip(string_split(x, '. '), range(0, len(string_split(x, '. '))))) AS z, string_split(x, '. ') AS a FROM ll WHERE contains(x, '. ') AND rtrim(trim(regexp_replace(lower(x), '\s+', ' ', 'g')), '.') <> ''),
 u AS (SELECT doc_id, 'line' AS unit, x, start FROM ll UNION ALL SELECT doc_id, 'sentence', z[1], base + (coalesce(list_sum(list_transform(a[1:z[2]], lambda y: length(y) + 2)), 0))::BIGINT FROM s),
 n AS (SELECT doc_id, unit, start, start + length(x) AS stop, rtrim(trim(regexp_replace(lower(x), '\s+', ' ', 'g')), '.') AS k FROM u),
-w AS (SELECT * FROM n WHERE len(string_split(k, ' ')) >= 5),
+w AS (SELECT *, len(string_split(k, ' '))::INTEGER AS n_words FROM n WHERE k <> ''),
 f AS (SELECT *, first_value(doc_id) OVER g AS gd, first_value(start) OVER g AS gs, first_value(start) OVER (PARTITION BY k, doc_id ORDER BY start) AS own FROM w WINDOW g AS (PARTITION BY k ORDER BY doc_id, start))
-SELECT doc_id, unit, start::INTEGER AS start, stop::INTEGER AS "end", gd AS first_doc_id, gs::INTEGER AS first_start
+SELECT doc_id, unit, start::INTEGER AS start, stop::INTEGER AS "end", n_words, gd AS first_doc_id, gs::INTEGER AS first_start
 FROM f WHERE own <> start OR gd <> doc_id"""
 
 OP13 = r"""

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_settled, join_unique, let, settle
 
-#: Times scores are passed at most; they settle in three to five.
-ROUNDS = 12
+#: Times scores are passed at most before it is an error; they settle in three to five.
+ROUNDS = 50
 KINDS = ("email", "ip", "card", "phone")
 # The four rules. Possessive runs and the looks behind leave the matches as they are, but keep long runs linear.
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -160,8 +160,9 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_support: float = 5.0,
     values over the score of all its values, where an unknown value counts half;
     its support is the score of the kind's values, so copies of one value add
     nothing. A value's score is the noisy-or over its trusted patterns. Scores
-    are passed back and forth until they stay as they are, `rounds` times at
-    most. A pattern or value that holds a large part of the edges is spread
+    are passed back and forth until they stay as they are; if they don't in
+    `rounds` times, that is an error. Empty edges give no row; a null pattern or
+    value is one like any other to the sums and meets nothing. A pattern or value that holds a large part of the edges is spread
     over tasks (join_unique).
     """
     seeds = settle(edges.filter("kind is not null").groupBy("value").agg(F.min("kind").alias("seed"), F.lit(1.0).alias("score")))
@@ -184,6 +185,8 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_support: float = 5.0,
         if now == last:
             break
         known, last = seeds.unionByName(found.select("value", F.col("kind").alias("seed"), "score")), now
+    else:
+        raise RuntimeError(f"scores did not settle in {rounds} rounds")
     drop_settled(seeds, unknown)
     return found
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fitting import Adam
+from .fitting import Adam, chosen
 from .packed import Packed, chunks, mixed
 
 # The three rules, in the order that breaks ties.
@@ -233,8 +233,7 @@ def train(docs: DataFrame, most_docs: int = MOST_DOCS, most_sequences: int = MOS
     in the order of the hashes, so that the fit depends on the rows alone.
     """
     rows = docs.select("text").filter("text is not null")
-    rank, span = F.xxhash64(F.lit(seed), F.col("text")), 1 << 20
-    rows = rows.filter(F.pmod(rank, F.lit(span)) < min(span, int(span * most_docs / max(1, rows.count())))).groupBy("text").agg(F.count("*").alias("n")).select("text")
+    rows = rows.filter(chosen(F.xxhash64(F.lit(seed), F.col("text")), most_docs, rows.count())).groupBy("text").agg(F.count("*").alias("n")).select("text")
     counted = {r.some: r.n for r in rows.mapInPandas(_teach(None), "key long, some boolean").groupBy("some").agg(F.approx_count_distinct("key").alias("n")).collect()}
     shares = tuple(most_sequences / max(1, counted.get(some, 0)) for some in (False, True))
     made = rows.mapInPandas(_teach(shares), "key long, some boolean, feats array<int>, tags array<int>")

@@ -13,29 +13,31 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Units of fewer words are left alone: they recur by chance.
-MIN_WORDS = 5
+#: Words of the shortest unit: every line and sentence that has any. A caller who wants to leave short ones alone, which recur by chance, gives more.
+MIN_WORDS = 1
 #: Units handed on at once, and rows of a digest beyond which it is set apart in the join.
 BATCH, HEAVY = 20_000, 1_000_000
-_SCHEMA = "rid long, doc_id string, unit string, start int, end int, d1 long, d2 long, own_start int"
+_SCHEMA = "rid long, doc_id string, unit string, start int, end int, n_words int, d1 long, d2 long, own_start int"
 
 
-def units_of(text: str, min_words: int) -> Iterator[tuple[str, int, int, str]]:
-    """(unit, start, end, normalised) of the lines of a text, and of the stretches between '. ' in lines that have several.
+def units_of(text: str, min_words: int) -> Iterator[tuple[str, int, int, int, str]]:
+    """(unit, start, end, words, normalised) of the lines of a text, and of the stretches between '. ' in lines that have several.
 
     Normalised: lower case, blanks as single spaces, no full stops at the end.
     """
     at = 0
     for line in text.split("\n"):
         norm = " ".join(line.lower().split()).rstrip(".")
-        if norm.count(" ") + 1 >= min_words:
-            yield "line", at, at + len(line), norm
+        words = norm.count(" ") + 1
+        if norm and words >= min_words:
+            yield "line", at, at + len(line), words, norm
             if ". " in line:
                 start = at
                 for part in line.split(". "):
                     norm = " ".join(part.lower().split()).rstrip(".")
-                    if norm.count(" ") + 1 >= min_words:
-                        yield "sentence", start, start + len(part), norm
+                    words = norm.count(" ") + 1
+                    if norm and words >= min_words:
+                        yield "sentence", start, start + len(part), words, norm
                     start += len(part) + 2
         at += len(line) + 1
 
@@ -43,22 +45,22 @@ def units_of(text: str, min_words: int) -> Iterator[tuple[str, int, int, str]]:
 def _read(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
         def made(rows: list[tuple], digests: list[bytes]) -> pa.RecordBatch:
             d = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             cols = list(zip(*rows))
-            arrays = [pa.array(c, k) for c, k in zip([*cols[:5], d[:, 0], d[:, 1], cols[5]], kinds)]
+            arrays = [pa.array(c, k) for c, k in zip([*cols[:6], d[:, 0], d[:, 1], cols[6]], kinds)]
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
             rows, digests = [], []
             for rid, doc_id, text in zip(batch.column(0), batch.column(1), batch.column(2)):
                 rid, doc_id, seen = rid.as_py(), doc_id.as_py(), {}
-                for unit, start, end, norm in units_of(text.as_py() or "", min_words):
+                for unit, start, end, words, norm in units_of(text.as_py() or "", min_words):
                     digest = blake2b(norm.encode("utf-8", "replace"), digest_size=16, person=b"unit").digest()
                     own = seen.setdefault(digest, start)
-                    rows.append((rid, doc_id, unit, start, end, own if own != start else None))
+                    rows.append((rid, doc_id, unit, start, end, words, own if own != start else None))
                     digests.append(digest)
                 if len(rows) >= BATCH:
                     yield made(rows, digests)
@@ -70,7 +72,7 @@ def _read(min_words: int):
 
 
 def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
-    """(rid, doc_id, unit, start, end, first_doc_id, first_start) of docs(rid, doc_id, text)."""
+    """(rid, doc_id, unit, start, end, n_words, first_doc_id, first_start) of docs(rid, doc_id, text)."""
     kind = docs.schema["doc_id"].dataType
     read = docs.select("rid", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(_read(min_words), _SCHEMA)
     units = settle(read.withColumn("doc_id", F.col("doc_id").cast(kind)))
@@ -87,11 +89,11 @@ def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
     else:
         rest = units.join(F.broadcast(heavy.select("d1", "d2")), ["d1", "d2"], "left_anti").join(firsts.drop("n"), ["d1", "d2"])
         met = rest.unionByName(units.join(F.broadcast(heavy), ["d1", "d2"]))
-    return met.filter("own_start is not null or rid <> first_rid").select("rid", "doc_id", "unit", "start", "end", "first_doc_id", "first_start")
+    return met.filter("own_start is not null or rid <> first_rid").select("rid", "doc_id", "unit", "start", "end", "n_words", "first_doc_id", "first_start")
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, unit, start, end, first_doc_id, first_start): what dedup takes out.
+    """Rows (doc_id, unit, start, end, n_words, first_doc_id, first_start): what dedup takes out.
 
     Lines are normalised and grouped by a 128-bit digest over the whole corpus;
     the occurrence in the lowest doc_id, and there the first, is kept, all
@@ -101,10 +103,9 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     a line and a sentence that are equal are repeats of each other. A run that
     begins or ends within a sentence is no unit.
 
-    Null and empty texts have no units. What counts as a unit is a choice of
-    the caller: one of fewer than min_words words recurs by chance, and taking
-    it out would cut into texts that copy nothing; min_words=1 takes all lines
-    and sentences that have words. Null ids rank last; of rows with one id
+    Null and empty texts have no units, and lines without words are none. All
+    others count; n_words tells short ones, which recur by chance too, from
+    passages, and a caller who wants the latter alone gives a larger min_words. Null ids rank last; of rows with one id
     either may be the first, but one is. Digests are counted before rows meet,
     and a common line's rows are dealt out by the join, not gathered. Other
     columns are ignored; an empty table gives no row.

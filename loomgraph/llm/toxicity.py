@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_settled, settle
-from .fitting import Adam, held_out, sampled, sigmoid
+from .fitting import Adam, chosen, held_out, sampled, sigmoid
 from .packed import Packed, chunks, mixed
 
 DIMS = 1 << 20
@@ -115,11 +115,11 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     pos = sampled(known.filter("toxic = 1").select("doc_id"), most_positive, seed)
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     confirmed = texts.join(F.broadcast(pos), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    span, rank = 1 << 20, F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string"), F.col("text"))
+    rank = F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string"), F.col("text"))
     others = texts.filter(~held_out(FOLDS, HELD_OUT))
-    others = others.filter(F.pmod(rank, F.lit(span)) < min(span, int(span * most_unlabelled / max(1, others.count()))))
-    chosen = confirmed.select("text", rank.alias("rank"), F.lit(True).alias("pos")).unionByName(others.select("text", rank.alias("rank"), F.lit(False).alias("pos")))
-    encoded = chosen.mapInPandas(_encode, f"rank long, pos boolean, {', '.join(f'k{k} long' for k in range(KEYS))}, ids array<int>")
+    others = others.filter(chosen(rank, most_unlabelled, others.count()))
+    both = confirmed.select("text", rank.alias("rank"), F.lit(True).alias("pos")).unionByName(others.select("text", rank.alias("rank"), F.lit(False).alias("pos")))
+    encoded = both.mapInPandas(_encode, f"rank long, pos boolean, {', '.join(f'k{k} long' for k in range(KEYS))}, ids array<int>")
     columns = ["rank", "pos", *(f"k{k}" for k in range(KEYS)), "ids"]
     for k in range(KEYS):
         encoded = encoded.groupBy("pos", F.col(f"k{k}").alias("same")).agg(F.min_by(F.struct(*columns), F.col("rank")).alias("kept")).select("kept.*")

@@ -211,9 +211,10 @@ def test_embeddings(spark, monkeypatch):
     links = np.array([out[r[0]].n_links for r in rows])
     assert (links <= close.sum(1)).all() and links.sum() >= 0.97 * close.sum()
     assert near_vectors(frame.limit(0)).count() == 0
-    if (links == close.sum(1)).all():
-        _, comp = linked_brute(rows, lambda i, j: close[i, j])
-        assert all((out[i].component_id, out[i].kept) == (min(comp[i]), min(comp[i]) == i) for i in range(len(rows)))
+    # Components hold where links were missed too: one is a union of some of the true ones' parts, and most are whole.
+    _, comp = linked_brute(rows, lambda i, j: close[i, j])
+    assert all(out[i].component_id in comp[i] and out[i].kept == (out[i].component_id == i) for i in range(len(rows)))
+    assert np.mean([out[i].component_id == min(comp[i]) for i in range(len(rows))]) >= 0.99
     again = {r.vec_id: r for r in near_vectors(frame.repartition(5)).collect()}
     assert {i: r.n_links for i, r in again.items()} == {i: r.n_links for i, r in out.items()} and {i: r.component_id for i, r in again.items()} == {i: r.component_id for i, r in out.items()}
 
@@ -245,6 +246,17 @@ def test_large_near_group_is_linked_whole(spark, monkeypatch):
     assert (links <= close.sum(1)).all() and links.sum() >= 0.97 * close.sum() and out[0].recall >= 0.97
 
 
+def test_recall_is_told_only_where_it_was_measured(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 12))
+    rows = [(100 * k + 1, (base[k % 60] + 0.02 * rng.normal(size=12)).tolist(), 0) for k in range(900)]  # no id is divisible by 100
+    schema = "vec_id long, embedding array<double>, label int"
+    told = {r.recall for r in near_vectors(spark.createDataFrame(rows, schema)).collect()}
+    assert len(told) == 1 and 0.97 <= told.pop() <= 1
+    apart = [(100 * k, np.eye(12)[k].tolist(), 0) for k in range(12)]
+    assert {r.recall for r in near_vectors(spark.createDataFrame(apart, schema)).collect()} == {None}
+
+
 def test_search_that_falls_short_is_an_error(spark, monkeypatch):
     monkeypatch.setattr("loomgraph.llm.embedding.audit_recall", lambda *_: 0.5)
     with pytest.raises(RuntimeError):

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import shared_dir
+from loomgraph.llm.fitting import chosen
 from loomgraph.llm.decontam import decontaminate, without_contaminated
 from loomgraph.llm.mix import MOST_EPOCHS, mix, plan_mix, split_tree
 from loomgraph.llm.pii import KINDS, _candidates, base_spans as pii_spans, bootstrap, find_pii
@@ -190,6 +191,66 @@ def test_tree_draws_are_the_blocks_of_the_shards(spark):
     assert sorted((r.doc_id, r.mix_epoch, r.mix_shard) for r in mixed) == sorted((r.doc_id, d.epoch, d.shard) for r in got for d in r.draws)
 
 
+def test_draws_are_those_of_the_tree(spark, monkeypatch):
+    """Every draw, from sizes and keys alone: blocks of the source's order, times from the target, shards from split_tree's cuts."""
+    monkeypatch.setattr("loomgraph.llm.mix.BLOCKS", 40)
+    rows = [(i, "w " * (1 + i * 13 % 30), f"s{i % 4}" if i % 3 else None) for i in range(700)]
+    got = {r.doc_id: r for r in plan_mix(docs_of(spark, rows), n_shards=6).collect()}
+    sources = ["s0", "s1", "s2", "s3", None]
+    times, blocks = {}, {}
+    for source in sources:
+        own = sorted((r for r in got.values() if r.source == source), key=lambda r: hashlib.md5(f"23:{r.doc_id}".encode()).hexdigest())
+        size, target, before = own[0].source_size, own[0].target, 0
+        words_of = [0] * 40
+        for r in own:
+            blocks[r.doc_id] = min(39, before * 40 // size)
+            before += r["size"]
+            words_of[blocks[r.doc_id]] += r["size"]
+        used = [b for b in range(40) if words_of[b]]
+        full = min(MOST_EPOCHS, int(target // size))
+        so_far = np.cumsum([0] + [words_of[b] for b in used])
+        times[source] = {b: full + int(so_far[k] + words_of[b] / 2 <= target - full * size and full < MOST_EPOCHS) for k, b in enumerate(used)}
+    quota = [sum(times[s].values()) for s in sources]
+    pdf = pd.DataFrame({"place": range(5), "quota": quota, "total": sum(quota)})
+    cuts = dict(zip(sources, next(split_tree(6, 23)(iter([pdf])))["cuts"]))
+    for r in got.values():
+        order = sorted(times[r.source])
+        want = [(e, int(np.searchsorted(cuts[r.source], e * len(order) + order.index(blocks[r.doc_id]), side="right"))) for e in range(times[r.source][blocks[r.doc_id]])]
+        assert [(d.epoch, d.shard) for d in r.draws] == want
+    for name in ("order", "shard"):  # the local shuffle doesn't follow the ids
+        one = [d for r in sorted(got.values(), key=lambda r: r.doc_id) for d in r.draws if d.shard == 0]
+        assert name == "shard" or [d[name] for d in one] != sorted(d[name] for d in one)
+    assert len({(d.shard, d.epoch, d.order) for r in got.values() for d in r.draws}) == sum(len(r.draws) for r in got.values())
+
+
+def test_mixing_leaves_other_columns_alone(spark):
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(60)]
+    odd = docs_of(spark, rows).select("doc_id", "text", "source", *[F.concat(F.lit(f"{c}"), F.col("doc_id").cast("string")).alias(c) for c in ("draws", "dealt", "target", "size", "source_size", "mix_shard", "epoch")])
+    plain, told = mix(odd.withColumn("__size", F.lit("x")), told=False), mix(odd)
+    assert plain.columns == odd.columns and {str(r) for r in plain.collect()} <= {str(r) for r in odd.collect()}
+    assert plain.count() == told.count()
+    assert {r.draws == f"draws{r.doc_id}" and r.dealt == f"dealt{r.doc_id}" and r["size"] == 1 + r.doc_id % 9 for r in told.collect()} == {True}
+
+
+def test_samples_dont_vanish_at_any_count(spark):
+    keys = spark.range(1 << 20).select(F.xxhash64(F.lit(5), "id").alias("h"))
+    for most, n in ((1000, 1 << 20), (1 << 19, 1 << 20), (5, 3), (0, 9)):
+        assert abs(keys.filter(chosen(F.col("h"), most, n)).count() - min(1, most / n) * (1 << 20)) <= 4 * math.sqrt(most) + 1
+    # A share of 1e-9 and less can't be drawn from here: the bound that the hash is held against is looked at.
+    for most in (4000, 12000, 40000):
+        for n in (10**9, 25 * 10**9, 10**12):
+            bound = (most << 63) // n
+            inside = spark.createDataFrame([((bound - 1) * 2 - (1 << 64 if bound > 1 << 62 else 0),), (bound * 2,)], "h long").filter(chosen(F.col("h"), most, n)).count()
+            assert inside == 1 and abs(bound / 2**63 * n - most) < 0.001 * most
+
+
+def test_scores_that_dont_settle_are_an_error(spark):
+    edges = spark.createDataFrame([(p, k, 0 if k % 2 else None) for k in range(60) for p in "abcd"], "pattern string, value long, kind int")
+    assert bootstrap(edges, min_conf=0.3).count() > 0
+    with pytest.raises(RuntimeError, match="settle"):
+        bootstrap(edges, rounds=1, min_conf=0.3)
+
+
 def test_mixing(spark, odd, none):
     rows = [(i, "w " * (1 + i * 7 % 40), f"s{i % 5}" if i % 3 else "hot") for i in range(600)] + [(1000, "tiny", "s9"), (1001, None, "s9"), (1002, "x y", None)]
     got = plan_mix(docs_of(spark, rows)).collect()
@@ -356,13 +417,16 @@ def test_field_finds_what_no_rule_knows(spark):
 def test_substrings(spark, odd, none):
     passage = "A passage of many words. It has two sentences of some length here"
     rows = [(3, f"first own line of this text\n{passage}\nEnd", "s"), (1, f"{passage}.\nanother own line with enough words", "s"), (2, f"Begins here with five words. {passage}. Goes on with yet more words", "s"), (4, "x\nx\nfour words are few\nfour words are few", "s"), (5, "Twice in one text it is\n twice  in ONE text it is", "s")]
-    got = sorted(tuple(r) for r in repeated_units(docs_of(spark, rows)).collect())
+    got = sorted(tuple(r) for r in repeated_units(docs_of(spark, rows), 5).collect())
     texts = {i: t for i, t, _ in rows}
-    lines = [(r[0], texts[r[0]][r[2] : r[3]], r[4]) for r in got if r[1] == "line"]
+    lines = [(r[0], texts[r[0]][r[2] : r[3]], r[5]) for r in got if r[1] == "line"]
     assert lines == [(3, passage, 1), (5, " twice  in ONE text it is", 5)]
     assert {(r[0], texts[r[0]][r[2] : r[3]]) for r in got if r[1] == "sentence"} == {(d, s) for d in (2, 3) for s in passage.split(". ")}
-    kept = {r.doc_id: r.text for r in remove_units(docs_of(spark, rows)).collect()}
+    kept = {r.doc_id: r.text for r in remove_units(docs_of(spark, rows), 5).collect()}
     assert kept[3] == "first own line of this text\n\nEnd" and kept[1] == texts[1] and kept[4] == texts[4]
+    every = {(r.doc_id, texts[r.doc_id][r.start : r.end], r.n_words) for r in repeated_units(docs_of(spark, rows)).collect()}
+    assert {(r[0], texts[r[0]][r[2] : r[3]], r[4]) for r in got} | {(4, "x", 1), (4, "four words are few", 4)} == every
+    assert repeated_units(docs_of(spark, [(1, "\n \n. .\n", "s"), (2, "\n\n", "s")])).count() == 0
     out = repeated_units(odd).collect()
     assert {r.doc_id for r in out} <= {5, 6, None} and repeated_units(none).count() == 0
     assert remove_units(none).count() == 0
