@@ -4,8 +4,9 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Rows are told by their id and text together,
 so nulls and ties in doc_id, repeated rows, null, empty and very long texts are
 no error in any stage; an empty table stays empty, and so does the result.
-Columns of documents beyond the five stay, unless a stage's own columns have
-their names (shard, slot) or they begin with two underscores.
+Columns of documents beyond the five stay as they are, whatever their names,
+but for those of the result's own columns (shard, slot) and for names that
+begin with two underscores, which the mixing stage drops.
 """
 
 from __future__ import annotations
@@ -40,9 +41,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights; a document comes as often as it is drawn, or not at all.
 
-    Rows are laid out by the shard the tree draws them for and shuffled inside it.
+    Rows are laid out by the shard the tree draws them for and shuffled inside
+    it. A stage but the last returns the columns of documents, so the tree's
+    shard has no column here; the sharding stage deals the mixture out anew.
     """
-    return mix(docs).select(docs.columns)
+    return mix(docs, told=False)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
