@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +15,14 @@ class Graph:
     """vertices(id) holds every vertex, isolated ones too; edges(src, dst, w, eid) keeps loops and parallel edges.
 
     eid is the place of the edge in its source's list, where the source of the
-    data has one; null otherwise.
+    data has one; null otherwise. index, where there is one, reads the out-edges
+    of a few vertices without reading all (plans.layout.indexed).
     """
 
     vertices: DataFrame
     edges: DataFrame
     symmetric: bool = False
+    index: Any = None
 
     @cached_property
     def n(self) -> int:
@@ -53,12 +56,21 @@ class Graph:
         none = self.vertices.select("id", F.lit(0).alias("o"), F.lit(0).alias("i"))
         return ends.unionByName(none).groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
+    @cached_property
+    def held_degrees(self) -> DataFrame:
+        """degrees(), held in memory until unpersist()."""
+        return self.degrees().persist()
+
     def cached(self) -> Graph:
-        return Graph(self.vertices.persist(), self.edges.persist(), self.symmetric)
+        return Graph(self.vertices.persist(), self.edges.persist(), self.symmetric, self.index)
 
     def unpersist(self) -> None:
         self.vertices.unpersist()
         self.edges.unpersist()
+        if "held_degrees" in self.__dict__:
+            self.held_degrees.unpersist()
+        if self.index is not None:
+            self.index.free()
 
 
 def from_edges(edges: DataFrame, vertices: DataFrame | None = None, symmetric: bool = False) -> Graph:

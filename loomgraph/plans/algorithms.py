@@ -6,76 +6,126 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..operators.edge_map import MOST_PUSHED, EdgeFn, edge_map, single
-from .loop import Rounds, written
+from ..operators import edge_map
+from ..operators.edge_map import EdgeFn
+from .layout import Layout
+from .loop import Rounds
 
 #: What stands for no path, and for a distance below all bounds.
 INFINITE = (2**31 - 1) // 2
 
 
-def _meet(edges: DataFrame, state: DataFrame, rows: int, on: str = "src") -> DataFrame:
-    """Edges joined with the state of one end. A state counted to be small is broadcast, so that the edges stay where they are."""
-    return edges.join(F.broadcast(state) if rows <= MOST_PUSHED else state, on)
+def _start(graph: Graph, source: int | None = None) -> DataFrame:
+    """(id, out_degree, in_degree); an error if the source isn't in the graph."""
+    if source is not None and graph.vertices.filter(F.col("id") == source).isEmpty():
+        raise ValueError(f"vertex {source} is not in the graph")
+    return graph.held_degrees
 
 
-def _placed(edges: DataFrame, n: int, on: str = "src") -> DataFrame:
-    """Edges held in memory; by their source once and for all if the state of n vertices is too large to be broadcast each round."""
-    return (edges if n <= MOST_PUSHED else edges.repartition(on)).persist()
+class _Levels:
+    """Breadth-first levels: from the frontier's side while its out-edges are few, else from the side of what is not reached.
+
+    state(id, out_degree, in_degree, level, ...) has every vertex, level null
+    where it isn't reached. Both ways give the same pairs of a vertex on the
+    level before and an unreached one; the first reads the frontier's edges (by
+    the graph's index, if it has one), the second the in-edges of the unreached,
+    so that nothing is sent to vertices that have their level. Where states are
+    broadcast both ends are looked up in one pass over the edges.
+    """
+
+    def __init__(self, graph: Graph):
+        self.graph, self.forth, self._back = graph, Layout.of(graph), None
+        self.size, self.out_edges, self.left, self.left_edges = 1, 0, graph.n, 0
+
+    #: Vertices and out-edges of the frontier; unreached vertices and their in-edges.
+    @staticmethod
+    def counts(level: int) -> list[Column]:
+        front, rest = F.col("level") == level, F.col("level").isNull()
+        return [F.count_if(front), F.sum(F.when(front, F.col("out_degree"))), F.count_if(rest), F.sum(F.when(rest, F.col("in_degree")))]
+
+    def took(self, values: list) -> None:
+        self.size, self.out_edges, self.left, self.left_edges = (x or 0 for x in values)
+
+    @property
+    def sparse(self) -> bool:
+        return edge_map.is_sparse(self.graph, self.size, self.out_edges)
+
+    @property
+    def pulls(self) -> bool:
+        return not self.sparse and (self.forth.small or self.left_edges < self.out_edges)
+
+    def found(self, state: DataFrame, level: int, *columns: str) -> DataFrame:
+        """(dst, src, columns of the source): edges from the frontier, of `level`, into what isn't reached."""
+        front = state.filter(F.col("level") == level).select(F.col("id").alias("src"), *columns)
+        rest = state.filter("level is null").select(F.col("id").alias("dst"))
+        few = self.size <= edge_map.MOST_PUSHED
+        if self.pulls and not self.forth.small:
+            if self._back is None:
+                self._back = Layout.of(self.graph, on="dst")
+            return self._back.meet(rest, self.left).join(F.broadcast(front) if few else front, "src")
+        met = self.forth.meet(front, self.size, self.sparse)
+        return met.join(F.broadcast(rest), "dst") if self.pulls else met
+
+    def free(self) -> None:
+        self.forth.free()
+        if self._back is not None:
+            self._back.free()
 
 
 def bfs(graph: Graph, source: int, with_unreached: bool = False) -> DataFrame:
     """(id, level, parent): hops from the source; the least neighbour on the level before is the parent, the source its own.
 
     Vertices out of reach have no row, or level and parent -1 if with_unreached.
-    What is reached and what the frontier reaches are merged by one aggregation
-    a level, which is all that is shuffled while the frontier is small.
     """
-    rounds = Rounds()
-    reached = single(graph, source).select("id", F.lit(0).alias("level"), F.col("id").alias("parent"))
-    size, level = 1, 0
-    edges = _placed(graph.edges.select("src", "dst"), graph.n)
-    while size:
-        front = reached.filter(F.col("level") == level).select(F.col("id").alias("src"))
+    own = F.when(F.col("id") == source, F.lit(0))
+    state = _start(graph, source).withColumns({"level": own, "parent": F.when(F.col("id") == source, F.col("id"))})
+    rounds, levels, level = Rounds(), _Levels(graph), 0
+    while levels.size and levels.left:
+        sent = levels.found(state, level).select(F.col("dst").alias("id"), F.col("src").alias("by"))
         level += 1
-        found = _meet(edges, front, size).select(F.col("dst").alias("id"), F.lit(level).alias("level"), F.col("src").alias("parent"))
-        old, new = F.max(F.when(F.col("level") < level, F.col("parent"))), F.min(F.when(F.col("level") == level, F.col("parent")))
-        merged = reached.unionByName(found).groupBy("id").agg(F.min("level").alias("level"), F.coalesce(old, new).alias("parent"))
-        reached, (size,) = rounds.hold(merged, F.count_if(F.col("level") == level))
-    edges.unpersist()
+        merged = levels.forth.merged(state, sent, by=F.min("by"))
+        new = F.col("level").isNull() & F.col("by").isNotNull()
+        merged = merged.select("id", "out_degree", "in_degree", F.when(new, F.lit(level)).otherwise(F.col("level")).alias("level"), F.when(new, F.col("by")).otherwise(F.col("parent")).alias("parent"))
+        state, values = rounds.hold(merged, *levels.counts(level))
+        levels.took(values)
+    levels.free()
     if with_unreached:
-        return graph.vertices.join(reached, "id", "left").select("id", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("parent", F.lit(-1)).alias("parent"))
-    return reached
+        return state.select("id", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("parent", F.lit(-1)).alias("parent"))
+    return state.filter("level is not null").select("id", "level", "parent")
 
 
 def betweenness(graph: Graph, source: int) -> DataFrame:
     """(id, level, sigma, delta): shortest paths from the source and dependencies on it (Brandes), the source's own included.
 
     Vertices out of reach have nulls. Parallel edges count as paths of their own.
-    One table holds levels, paths and dependencies; each level is one aggregation, there and back.
+    One table holds levels, paths and dependencies; each level is one
+    aggregation there, and one back, of what the level below sends to this one.
     """
-    rounds, n = Rounds(), graph.n
-    edges = _placed(graph.edges.select("src", "dst"), n)
-    reached = single(graph, source).select("id", F.lit(0).alias("level"), F.lit(1.0).alias("sigma"))
-    size, level = 1, 0
-    while size:
-        front = reached.filter(F.col("level") == level).select(F.col("id").alias("src"), "sigma")
+    own = F.col("id") == source
+    state = _start(graph, source).withColumns({"level": F.when(own, F.lit(0)), "sigma": F.when(own, F.lit(1.0))})
+    rounds, levels, level, sizes = Rounds(), _Levels(graph), 0, [1]
+    while levels.size and levels.left:
+        sent = levels.found(state, level, "sigma").select(F.col("dst").alias("id"), F.col("sigma").alias("part"))
         level += 1
-        found = _meet(edges, front, size).select(F.col("dst").alias("id"), F.lit(level).alias("level"), "sigma")
-        own, sent = F.max(F.when(F.col("level") < level, F.col("sigma"))), F.sum(F.when(F.col("level") == level, F.col("sigma")))
-        merged = reached.unionByName(found).groupBy("id").agg(F.min("level").alias("level"), F.coalesce(own, sent).alias("sigma"))
-        reached, (size,) = rounds.hold(merged, F.count_if(F.col("level") == level))
-    state = reached.withColumn("delta", F.lit(0.0))
-    if n > MOST_PUSHED:
-        edges.unpersist()
-        edges = _placed(graph.edges.select("src", "dst"), n, "dst")
-    for k in range(level - 2, -1, -1):
+        new = F.col("level").isNull() & F.col("part").isNotNull()
+        merged = levels.forth.merged(state, sent, part=F.sum("part"))
+        merged = merged.select("id", "out_degree", "in_degree", F.when(new, F.lit(level)).otherwise(F.col("level")).alias("level"), F.when(new, F.col("part")).otherwise(F.col("sigma")).alias("sigma"))
+        state, values = rounds.hold(merged, *levels.counts(level))
+        levels.took(values)
+        sizes.append(levels.size)
+    levels.forth.free()
+    state = state.select("id", "level", "sigma", F.when(F.col("level").isNotNull(), F.lit(0.0)).alias("delta"))
+    back = Layout.of(graph, on="dst")
+    last = max(k for k, size in enumerate(sizes) if size)
+    for k in range(last - 1, -1, -1):
         child = state.filter(F.col("level") == k + 1).select(F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
-        back = _meet(edges, child, n, "dst").select(F.col("src").alias("id"), *[F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("sigma", "double"), ("delta", "double"))], "share")
-        merged = state.withColumn("share", F.lit(0.0)).unionByName(back).groupBy("id").agg(F.max("level").alias("level"), F.max("sigma").alias("sigma"), F.max("delta").alias("delta"), F.sum("share").alias("share"))
-        delta = F.when(F.col("level") == k, F.col("sigma") * F.col("share")).otherwise(F.col("delta"))
-        state, _ = rounds.hold(merged.filter("level is not null").select("id", "level", "sigma", delta.alias("delta")))
-    edges.unpersist()
-    return graph.vertices.join(state, "id", "left").select("id", "level", "sigma", "delta")
+        parent = state.filter(F.col("level") == k).select(F.col("id").alias("src"))
+        sent = back.meet(child, sizes[k + 1]).join(F.broadcast(parent) if sizes[k] <= edge_map.MOST_PUSHED else parent, "src").select(F.col("src").alias("id"), "share")
+        merged = back.merged(state, sent, share=F.sum("share"))
+        delta = F.when(F.col("share").isNotNull(), F.col("sigma") * F.col("share")).otherwise(F.col("delta"))
+        state, _ = rounds.hold(merged.select("id", "level", "sigma", delta.alias("delta")))
+    back.free()
+    return state
 
 
 def components(graph: Graph, mode: str | None = None) -> DataFrame:
@@ -83,55 +133,49 @@ def components(graph: Graph, mode: str | None = None) -> DataFrame:
 
     mode 'propagate' follows edges as they are directed, 'undirected' ignores
     direction; the default is the former, which for a symmetric graph is its
-    connected components. A label's own label is taken each round, so long
-    chains need few rounds.
+    connected components. Only labels that changed are sent. A label's own label
+    is taken each round, so long chains need few rounds.
     """
     if mode not in (None, "propagate", "undirected"):
         raise ValueError(mode)
-    edges = (graph.symmetrize() if mode == "undirected" else graph).edges.select("src", "dst").filter("src <> dst").distinct()
-    rounds, changed, n = Rounds(), 1, graph.n
-    edges = _placed(edges, n)
-    labels = graph.vertices.select("id", F.col("id").alias("label"))
+    edges = (graph.symmetrize() if mode == "undirected" else graph).edges.select("src", "dst").filter("src <> dst")
+    rounds, layout, n = Rounds(), Layout(edges, graph.n), graph.n
+    state, changed = graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("changed")), n
     while changed:
-        near = _meet(edges, labels.select(F.col("id").alias("src"), "label"), n).select(F.col("dst").alias("id"), "label", F.lit(None).cast("long").alias("old"))
-        spread = labels.withColumn("old", F.col("label")).unionByName(near).groupBy("id").agg(F.max("old").alias("old"), F.min("label").alias("label"))
-        spread, (first,) = rounds.hold(spread, F.count_if(F.col("label") < F.col("old")))
-        if not first:
-            labels = spread.select("id", "label")
-            break
-        jump = spread.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        jumped = _meet(spread, jump, n, "label")
-        labels, (changed,) = rounds.hold(jumped.select("id", "old", F.least("label", "further").alias("label")), F.count_if(F.col("label") < F.col("old")))
-        labels = labels.select("id", "label")
-    edges.unpersist()
-    return labels
-
-
-def _spread_by_degree(graph: Graph) -> DataFrame:
-    """edges(src, dst, share): 1 / out-degree of the source; held in memory."""
-    share = graph.out_degrees().select(F.col("id").alias("src"), (1.0 / F.col("degree")).alias("share"))
-    return _placed(_meet(graph.edges.select("src", "dst"), share, graph.n), graph.n)
+        front = state.filter("changed").select(F.col("id").alias("src"), F.col("label").alias("near"))
+        sent = layout.meet(front, changed).select(F.col("dst").alias("id"), "near")
+        lower = F.least("label", "near")
+        spread = layout.merged(state.select("id", "label"), sent, near=F.min("near")).select("id", lower.alias("label"), (lower < F.col("label")).alias("changed"))
+        spread, (changed,) = rounds.hold(spread, F.count_if("changed"))
+        state = spread
+        if changed:
+            jump = spread.select(F.col("id").alias("label"), F.col("label").alias("further"))
+            jumped = spread.join(F.broadcast(jump) if layout.small else jump, "label")
+            lower = F.least("label", "further")
+            jumped = jumped.select("id", lower.alias("label"), (F.col("changed") | (lower < F.col("label"))).alias("changed"))
+            state, (changed,) = rounds.hold(layout.placed(jumped), F.count_if("changed"))
+    layout.free()
+    return state.select("id", "label")
 
 
 def pagerank(graph: Graph, damping: float = 0.85, most_rounds: int = 10, tolerance: float = 1e-7) -> DataFrame:
-    """(id, rank). The mass of vertices without out-edges is dropped; stops after most_rounds, or when the sum of changes is below tolerance.
-
-    A round is one aggregation by destination, of the edges' shares and the old ranks together.
-    """
+    """(id, rank). The mass of vertices without out-edges is dropped; stops after most_rounds, or when the sum of changes is below tolerance."""
     n = graph.n
     if not n:
         return graph.vertices.select("id", F.lit(0.0).alias("rank"))
-    edges = _spread_by_degree(graph)
-    rounds, ranks = Rounds(), graph.vertices.select("id", F.lit(1.0 / n).alias("rank"))
+    rounds, layout = Rounds(), Layout.of(graph)
+    state = _start(graph).select("id", "out_degree", F.lit(1.0 / n).alias("rank"))
     for _ in range(most_rounds):
-        got = _meet(edges, ranks.select(F.col("id").alias("src"), "rank"), n).select(F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("got"), F.lit(None).cast("double").alias("old"))
-        both = got.unionByName(ranks.select("id", F.lit(0.0).alias("got"), F.col("rank").alias("old"))).groupBy("id").agg(F.max("old").alias("old"), F.sum("got").alias("got"))
-        held, (moved,) = rounds.hold(both.select("id", "old", (damping * F.col("got") + (1 - damping) / n).alias("rank")), F.sum(F.abs(F.col("rank") - F.col("old"))))
-        ranks = held.select("id", "rank")
+        shares = state.filter("out_degree > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("out_degree")).alias("got"))
+        sent = layout.meet(shares).select(F.col("dst").alias("id"), "got")
+        new = damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) / n
+        moved = layout.merged(state, sent, got=F.sum("got")).select("id", "out_degree", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
+        held, (moved,) = rounds.hold(moved, F.sum("moved"))
+        state = held.select("id", "out_degree", "rank")
         if moved < tolerance:
             break
-    edges.unpersist()
-    return ranks
+    layout.free()
+    return state.select("id", "rank")
 
 
 def pagerank_delta(graph: Graph, damping: float = 0.85, tolerance: float = 1e-7, threshold: float = 0.01, most_rounds: int | None = None) -> DataFrame:
@@ -143,25 +187,26 @@ def pagerank_delta(graph: Graph, damping: float = 0.85, tolerance: float = 1e-7,
     n = graph.n
     if not n:
         return graph.vertices.select("id", F.lit(0.0).alias("rank"), F.lit(0.0).alias("delta"), F.lit(False).alias("active"))
-    edges = _spread_by_degree(graph)
-    state = graph.vertices.select("id", F.lit(0.0).alias("rank"), F.lit(1.0 / n).alias("delta"), F.lit(True).alias("active"))
-    rounds, k = Rounds(), 0
+    layout = Layout.of(graph)
+    state = _start(graph).select("id", "out_degree", F.lit(0.0).alias("rank"), F.lit(1.0 / n).alias("delta"), F.lit(True).alias("active"))
+    rounds, k, size, out_edges = Rounds(), 0, n, graph.m
     while most_rounds is None or k < most_rounds:
         k += 1
-        sent = state.filter("active").select(F.col("id").alias("src"), "delta")
-        sent = _meet(edges, sent, n).select(F.col("dst").alias("id"), (F.col("delta") * F.col("share")).alias("got"), F.lit(None).cast("double").alias("rank"))
-        both = sent.unionByName(state.select("id", F.lit(0.0).alias("got"), "rank")).groupBy("id").agg(F.max("rank").alias("rank"), F.sum("got").alias("got"))
-        got = F.col("got")
+        sparse = edge_map.is_sparse(graph, size, out_edges)
+        shares = state.filter("active and out_degree > 0").select(F.col("id").alias("src"), (F.col("delta") / F.col("out_degree")).alias("part"))
+        sent = layout.meet(shares, size, sparse).select(F.col("dst").alias("id"), "part")
+        both = layout.merged(state.select("id", "out_degree", "rank"), sent, part=F.sum("part"))
+        got = F.coalesce("part", F.lit(0.0))
         if k == 1:
             step = damping * (F.col("rank") + got) + (1 - damping) / n - F.col("rank")
-            new = both.select("id", (F.col("rank") + step).alias("rank"), (step - 1.0 / n).alias("delta"))
+            new = both.select("id", "out_degree", (F.col("rank") + step).alias("rank"), (step - 1.0 / n).alias("delta"))
         else:
-            new = both.select("id", (F.col("rank") + damping * got).alias("rank"), (damping * got).alias("delta"))
-        state, (moved,) = rounds.hold(new.withColumn("active", F.abs("delta") > threshold * F.col("rank")), F.sum(F.abs("delta")))
+            new = both.select("id", "out_degree", (F.col("rank") + damping * got).alias("rank"), (damping * got).alias("delta"))
+        state, (moved, size, out_edges) = rounds.hold(new.withColumn("active", F.abs("delta") > threshold * F.col("rank")), F.sum(F.abs("delta")), F.count_if("active"), F.coalesce(F.sum(F.when(F.col("active"), F.col("out_degree"))), F.lit(0)))
         if moved < tolerance:
             break
-    edges.unpersist()
-    return state
+    layout.free()
+    return state.select("id", "rank", "delta", "active")
 
 
 def _has_cycle(parents: DataFrame, n: int) -> bool:
@@ -172,6 +217,7 @@ def _has_cycle(parents: DataFrame, n: int) -> bool:
         on = jumps.select(F.col("id").alias("parent"), F.col("parent").alias("further"))
         jumps, (left,) = rounds.hold(jumps.join(on, "parent").select("id", F.col("further").alias("parent")))
         covered *= 2
+    rounds.free()
     return left > 0
 
 
@@ -188,21 +234,28 @@ def bellman_ford(graph: Graph, source: int, with_unreached: bool = False) -> Dat
     n, rounds = graph.n, Rounds()
     weight = dict(graph.edges.dtypes)["w"]
     traced = weight in ("tinyint", "smallint", "int", "bigint") and not graph.edges.filter("w < 0").isEmpty()
-    dist = single(graph, source).select("id", F.lit(0).cast(weight).alias("dist"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("changed"))
-    size, k = 1, 0
+    layout = Layout.of(graph, "w")
+    own = F.col("id") == source
+    state = _start(graph, source).select("id", "out_degree", F.when(own, F.lit(0)).cast(weight).alias("dist"), F.lit(None).cast("long").alias("parent"), own.alias("changed"))
+    size, out_edges, k = 1, 0, 0
     while size:
-        if k == n or (traced and k > 1 and k & (k - 1) == 0 and _has_cycle(dist.select("id", "parent"), n)):
+        if k == n or (traced and k > 1 and k & (k - 1) == 0 and _has_cycle(state.select("id", "parent"), n)):
+            layout.free()
+            rounds.free()
             return graph.vertices.select("id", F.lit(-INFINITE).cast(weight).alias("dist"))
         k += 1
-        front = dist.filter("changed").select(F.col("id").alias("src"), "dist")
-        got = graph.edges.join(F.broadcast(front) if size <= MOST_PUSHED else front, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("got"), (F.min_by("src", F.col("dist") + F.col("w")) if traced else F.lit(None).cast("long")).alias("by"))
-        better = F.col("dist").isNull() | (F.col("got") < F.col("dist"))
-        new = dist.join(got, "id", "full").select("id", F.least("dist", "got").alias("dist"), F.when(better, F.col("by")).otherwise(F.col("parent")).alias("parent"), better.alias("better"))
-        dist, (size,) = rounds.hold(new.select("id", "dist", "parent", F.coalesce("better", F.lit(False)).alias("changed")), F.count_if("changed"))
-    dist = dist.select("id", "dist")
+        front = state.filter("changed").select(F.col("id").alias("src"), F.col("dist").alias("so_far"))
+        sent = layout.meet(front, size, edge_map.is_sparse(graph, size, out_edges)).select(F.col("dst").alias("id"), (F.col("so_far") + F.col("w")).alias("way"), *([F.col("src").alias("by")] if traced else []))
+        folds = {"best": F.min("way")} | ({"from": F.min_by("by", "way")} if traced else {})
+        new = layout.merged(state.drop("changed"), sent, **folds)
+        better = F.col("best").isNotNull() & (F.col("dist").isNull() | (F.col("best") < F.col("dist")))
+        parent = F.when(better, F.col("from")).otherwise(F.col("parent")) if traced else F.col("parent")
+        new = new.select("id", "out_degree", F.least("dist", "best").alias("dist"), parent.alias("parent"), better.alias("changed"))
+        state, (size, out_edges) = rounds.hold(new, F.count_if("changed"), F.coalesce(F.sum(F.when(F.col("changed"), F.col("out_degree"))), F.lit(0)))
+    layout.free()
     if with_unreached:
-        return graph.vertices.join(dist, "id", "left").select("id", F.coalesce("dist", F.lit(INFINITE).cast(weight)).alias("dist"))
-    return dist
+        return state.select("id", F.coalesce("dist", F.lit(INFINITE).cast(weight)).alias("dist"))
+    return state.filter("dist is not null").select("id", "dist")
 
 
 def spmv(graph: Graph, x: DataFrame | None = None) -> DataFrame:
@@ -210,7 +263,7 @@ def spmv(graph: Graph, x: DataFrame | None = None) -> DataFrame:
     if x is None:
         got = graph.edges.groupBy(F.col("dst").alias("id")).agg((F.sum("w") / F.lit(float(max(graph.n, 1)))).alias("y"))
     else:
-        got = edge_map(graph, x, EdgeFn(F.col("s_x") * F.col("w"))).select("id", F.col("value").alias("y"))
+        got = edge_map.edge_map(graph, x, EdgeFn(F.col("s_x") * F.col("w"))).select("id", F.col("value").alias("y"))
     return graph.vertices.join(got, "id", "left").select("id", F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y"))
 
 
@@ -225,7 +278,7 @@ def belief_propagation(graph: Graph, vertex_potentials: DataFrame, edge_potentia
     don't underflow; potentials must then be positive.
     """
     held, state = Rounds(), vertex_potentials.select("id", "psi0", "psi1", F.lit(0.0 if logs else 1.0).alias("a"), F.lit(0.0 if logs else 1.0).alias("b"))
-    edges, n = edge_potentials.select("dst", "psi00", "psi01", "psi10", "psi11"), graph.n
+    layout = Layout(edge_potentials.select("dst", "psi00", "psi01", "psi10", "psi11"), graph.n, "dst")
 
     def belief(i: int) -> Column:
         if not logs:
@@ -235,8 +288,9 @@ def belief_propagation(graph: Graph, vertex_potentials: DataFrame, edge_potentia
 
     fold, empty = (F.sum, 0.0) if logs else (F.product, 1.0)
     for _ in range(rounds):
-        beliefs = _meet(edges, state.withColumnRenamed("id", "dst"), n, "dst").select("dst", belief(0).alias("b0"), belief(1).alias("b1"))
-        got = beliefs.groupBy("dst").agg(fold("b0").alias("p0"), fold("b1").alias("p1"))
-        new = state.join(got, F.col("id") == F.col("dst"), "left")
+        met = layout.meet(state.withColumnRenamed("id", "dst"))
+        sent = met.select(F.col("dst").alias("id"), belief(0).alias("b0"), belief(1).alias("b1"))
+        new = layout.merged(state, sent, p0=fold("b0"), p1=fold("b1"))
         state, _ = held.hold(new.select("id", "psi0", "psi1", F.coalesce("p0", F.lit(empty)).alias("a"), F.coalesce("p1", F.lit(empty)).alias("b")))
+    layout.free()
     return state.select("id", F.col("a").alias("product0"), F.col("b").alias("product1"))
