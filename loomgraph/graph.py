@@ -23,6 +23,8 @@ class Graph:
     edges: DataFrame
     symmetric: bool = False
     index: Any = None
+    #: Tables held for as long as the graph is read.
+    owned: tuple[DataFrame, ...] = ()
 
     @cached_property
     def n(self) -> int:
@@ -62,13 +64,15 @@ class Graph:
         return self.degrees().persist()
 
     def cached(self) -> Graph:
-        return Graph(self.vertices.persist(), self.edges.persist(), self.symmetric, self.index)
+        return Graph(self.vertices.persist(), self.edges.persist(), self.symmetric, self.index, self.owned)
 
     def unpersist(self) -> None:
         self.vertices.unpersist()
         self.edges.unpersist()
         if "held_degrees" in self.__dict__:
             self.held_degrees.unpersist()
+        for x in self.owned:
+            x.unpersist()
         if self.index is not None:
             self.index.free()
 

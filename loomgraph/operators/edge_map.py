@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from ..graph import Graph
 SPARSE_SHARE = 20
 #: Rows a pushed frontier has at most, whatever the number of edges.
 MOST_PUSHED = 1_000_000
+#: Destinations whose states a task holds at once in a fold of the caller's own.
+MOST_FOLDED = 200_000
 
 #: Commutative monoids messages are combined with. Each has partial aggregation.
 COMBINE: dict[str, Callable[[Column], Column]] = {
@@ -124,6 +127,85 @@ def edge_map_counted(graph: Graph, state: DataFrame, fn: EdgeFn, frontier: DataF
     return edge_map(graph, state, fn, frontier, pushed), EdgeMapStats(size, out_edges, pushed)
 
 
+@dataclass(frozen=True)
+class Fold:
+    """A fold with a state of its own, as functions of pandas tables.
+
+    update: rows (dst, message) of a batch -> rows (dst, state columns), one
+    for each dst; merge: rows (dst, state columns), several for a dst -> one
+    for each; commit: rows (dst, state columns) -> rows (dst, value columns).
+    state and value name the columns and types between dst and the end, as in
+    'a long, b double'. merge must be associative and commutative.
+    """
+
+    update: Callable[[pd.DataFrame], pd.DataFrame]
+    merge: Callable[[pd.DataFrame], pd.DataFrame]
+    commit: Callable[[pd.DataFrame], pd.DataFrame]
+    state: str
+    value: str
+
+
+def fold_edges(graph: Graph, state: DataFrame, message: Column, fold: Fold, frontier: DataFrame | None = None) -> DataFrame:
+    """Rows (id, value columns) of the destinations that got a message.
+
+    A task folds its edges batch by batch and hands on one state for each of
+    its destinations (more only where it holds more than MOST_FOLDED of them);
+    states meet by destination and are merged in order of it, a batch at a
+    time, so a hub is no more than the states of all tasks. message: a column
+    over src, dst, w, eid and the source's state as s_name. A null message is
+    handed to update like any other.
+    """
+    edges = active_edges(graph, frontier).join(state.select(*[F.col(c).alias("src" if c == "id" else f"s_{c}") for c in state.columns]), "src")
+    names = [x.split()[0] for x in fold.state.split(",")]
+
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            new = fold.update(pdf)
+            held = new if held is None else fold.merge(pd.concat([held, new], ignore_index=True))
+            if len(held) > MOST_FOLDED:
+                yield held[["dst", *names]]
+                held = None
+        if held is not None:
+            yield held[["dst", *names]]
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            held = fold.merge(held).sort_values("dst", ignore_index=True)
+            rest = held.iloc[-1:]  # may go on in the next batch
+            if len(held) > 1:
+                yield fold.commit(held.iloc[:-1].reset_index(drop=True))
+        if rest is not None:
+            yield fold.commit(rest.reset_index(drop=True))
+
+    parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partial = edges.select("dst", message.alias("message")).mapInPandas(gathered, f"dst long, {fold.state}")
+    together = partial.repartition(parts, "dst").sortWithinPartitions("dst")
+    return together.mapInPandas(merged, f"dst long, {fold.value}").withColumnRenamed("dst", "id")
+
+
+def vertex_apply(state: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, frontier: DataFrame | None = None) -> DataFrame:
+    """Rows that a vectorised function makes of batches of the state, or of the frontier's.
+
+    fn: rows with the state's columns -> rows of schema, which may be more, fewer
+    or none. It is never called without rows; nulls come as pandas has them.
+    """
+    rows = state if frontier is None else state.join(frontier.select("id"), "id", "left_semi")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield fn(pdf)
+
+    return rows.mapInPandas(run, schema)
+
+
 def vertex_map(state: DataFrame, frontier: DataFrame | None = None, **columns: Column) -> DataFrame:
     """state with columns set, on the whole graph or on the frontier alone."""
     if frontier is None:

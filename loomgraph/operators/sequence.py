@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 #: Rows a block of a scan aims at, and the most blocks there are.
 BLOCK_ROWS, MOST_BLOCKS = 100_000, 4096
+#: Rows that a fold by a caller's operation takes at once.
+FOLDED = 256
 
 _FOLD: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
     "sum": (F.sum, lambda a, b: a + b),
@@ -18,7 +20,7 @@ _FOLD: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Co
 }
 
 
-def _block_of(column: Column, bounds: list[int]) -> Column:
+def block_of(column: Column, bounds: list[int]) -> Column:
     """How many of the sorted bounds are at most the column: a binary search."""
     if not bounds:
         return F.lit(0)
@@ -27,6 +29,14 @@ def _block_of(column: Column, bounds: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(known, at + step - 1) <= column), at + step).otherwise(at))
 
 
+def quantiles(df: DataFrame, column: str, blocks: int) -> list[int]:
+    """Bounds that cut an integer column into `blocks` stretches of nearly as many rows, MOST_BLOCKS at most; fewer where values are few."""
+    blocks = min(MOST_BLOCKS, blocks)
+    if blocks < 2:
+        return []
+    return sorted(set(df.agg(F.percentile_approx(column, [k / blocks for k in range(1, blocks)], 4 * blocks)).first()[0] or []))
+
+
 def scan(df: DataFrame, order: str, value: str, op: str = "sum", inclusive: bool = False, back: bool = False, out: str = "scan", identity: int | None = None) -> DataFrame:
     """df with the fold of the values before each row (and its own, if inclusive), from the other end if back.
 
@@ -41,11 +51,8 @@ def scan(df: DataFrame, order: str, value: str, op: str = "sum", inclusive: bool
     blocks = min(MOST_BLOCKS, -(-df.count() // BLOCK_ROWS))
     if not blocks:
         return df.withColumn(out, F.col(value))
-    bounds = []
-    if blocks > 1:
-        shares = [k / blocks for k in range(1, blocks)]
-        bounds = sorted(set(df.agg(F.percentile_approx(order, shares, 4 * blocks)).first()[0]))
-    df = df.withColumn("__block", _block_of(F.col(order), bounds))
+    bounds = quantiles(df, order, blocks)
+    df = df.withColumn("__block", block_of(F.col(order), bounds))
     key = lambda c: F.col(c).desc() if back else F.col(c)
     over_blocks = Window.orderBy(key("__block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = df.groupBy("__block").agg(fold(F.col(value)).alias("__fold")).select("__block", fold(F.col("__fold")).over(over_blocks).alias("__carried"))
@@ -56,6 +63,47 @@ def scan(df: DataFrame, order: str, value: str, op: str = "sum", inclusive: bool
     return joined.withColumn(out, F.coalesce(combined, F.lit(identity))).drop("__block", "__carried", "__own")
 
 
+def _folded(rows: DataFrame, both: Callable[[Column, Column], Column], kind: str) -> DataFrame:
+    """rows(__at, __v) -> (__at, __before): the fold of all earlier values, null for the first; in blocks of blocks."""
+    each = F.struct(F.col("__at"), F.col("__v"))
+    blocks = rows.groupBy(F.expr(f"__at div {FOLDED}L").alias("__block")).agg(F.array_sort(F.collect_list(each)).alias("__rows"))
+    join = lambda a, x: F.when(a.isNull(), x).when(x.isNull(), a).otherwise(both(a, x).cast(kind))
+    nothing = F.lit(None).cast(kind)
+    if rows.count() > FOLDED:
+        whole = blocks.select(F.col("__block").alias("__at"), F.aggregate("__rows", nothing, lambda a, x: join(a, x["__v"])).alias("__v"))
+        carried = _folded(whole, both, kind).select(F.col("__at").alias("__block"), F.col("__before").alias("__carried"))
+        blocks = blocks.join(carried, "__block")
+    else:
+        blocks = blocks.withColumn("__carried", nothing)
+    start = F.struct(F.col("__carried").alias("fold"), F.array().cast(f"array<struct<__at:bigint,__before:{kind}>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        before = F.array(F.struct(x["__at"].alias("__at"), a["fold"].alias("__before")))
+        return F.struct(join(a["fold"], x["__v"]).alias("fold"), F.concat(a["out"], before).alias("out"))
+
+    return blocks.select(F.explode(F.aggregate("__rows", start, step, lambda a: a["out"])).alias("r")).select("r.*")
+
+
+def scan_with(df: DataFrame, order: str, value: Column, both: Callable[[Column, Column], Column], inclusive: bool = False, back: bool = False, out: str = "scan") -> DataFrame:
+    """df with the fold of the values before each row by any associative operation, such as the composition of maps.
+
+    value: a column of any type, structs too; both(earlier, later) makes one of
+    the same type. The operation need not commute. Rows are numbered, folded in
+    blocks of FOLDED, and the folds of the blocks are scanned in the same way,
+    so no task holds more than a block, however long the sequence. What
+    precedes the first row is null; null values are passed over. order: an
+    integer column without repeats.
+    """
+    rows = scan(df.withColumns({"__v": value, "__one": F.lit(1).cast("long")}), order, "__one", back=back, out="__at").drop("__one")
+    kind = rows.schema["__v"].dataType.simpleString()
+    before = _folded(rows.select("__at", "__v"), both, kind)
+    done = rows.join(before, "__at")
+    if inclusive:
+        own = F.when(F.col("__v").isNull(), F.col("__before")).when(F.col("__before").isNull(), F.col("__v")).otherwise(both(F.col("__before"), F.col("__v")).cast(kind))
+        done = done.withColumn("__before", own)
+    return done.withColumn(out, F.col("__before")).drop("__v", "__at", "__before")
+
+
 def plus_scan(df: DataFrame, order: str, value: str, out: str = "scan") -> DataFrame:
     """Exclusive prefix sums: offsets from degrees."""
     return scan(df, order, value, "sum", out=out)

@@ -128,6 +128,37 @@ def betweenness(graph: Graph, source: int) -> DataFrame:
     return state
 
 
+def radii(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
+    """(id, radius): the hops from the farthest of up to 64 sources that reach a vertex, -1 where none does.
+
+    All sources are searched from at once: bit i of a vertex's mask is set once
+    source i reaches it, masks are merged by `or`, and only vertices whose mask
+    has changed send theirs. In a symmetric graph a vertex's eccentricity within
+    its component is the radius at least. sources(id) are 64 vertices at most,
+    64 by the hash of their id where not given; it is an error if they are more.
+    """
+    if sources is None:
+        sources = graph.vertices.orderBy(F.xxhash64("id"), "id").limit(64)
+    ids = sorted({r.id for r in sources.select("id").limit(65).collect()})
+    if len(ids) > 64:
+        raise ValueError("a mask has 64 bits")
+    bits = F.create_map(*[F.lit(x) for k, i in enumerate(ids) for x in (i, (1 << k) - (1 << 64 if k == 63 else 0))]) if ids else F.create_map().cast("map<bigint,bigint>")
+    rounds, layout, k = Rounds(), Layout.of(graph), 0
+    state = _start(graph).select("id", "out_degree", F.coalesce(F.try_element_at(bits, F.col("id")).cast("long"), F.lit(0).cast("long")).alias("mask"))
+    state = state.withColumns({"radius": F.when(F.col("mask") != 0, F.lit(0)).otherwise(-1), "changed": F.col("mask") != 0})
+    size, out_edges = len(ids), 0
+    while size:
+        k += 1
+        front = state.filter("changed").select(F.col("id").alias("src"), F.col("mask").alias("seen"))
+        sent = layout.meet(front, size, edge_map.is_sparse(graph, size, out_edges)).select(F.col("dst").alias("id"), "seen")
+        both = layout.merged(state.drop("changed"), sent, seen=F.bit_or("seen"))
+        new = F.col("mask").bitwiseOR(F.coalesce("seen", F.lit(0).cast("long")))
+        new = both.select("id", "out_degree", new.alias("mask"), F.when(new != F.col("mask"), F.lit(k)).otherwise(F.col("radius")).alias("radius"), (new != F.col("mask")).alias("changed"))
+        state, (size, out_edges) = rounds.hold(new, F.count_if("changed"), F.coalesce(F.sum(F.when(F.col("changed"), F.col("out_degree"))), F.lit(0)))
+    layout.free()
+    return state.select("id", "radius")
+
+
 def components(graph: Graph, mode: str | None = None) -> DataFrame:
     """(id, label): the least id among a vertex and all that reach it.
 

@@ -8,6 +8,8 @@ their states, which are few, are replicated there.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ class Index:
 
 def indexed(graph: Graph, ranges: int | None = None) -> Graph:
     """graph with an index of its out-edges, which the programs read where a frontier has few of them; free it with unpersist()."""
-    return Graph(graph.vertices, graph.edges, graph.symmetric, Index(graph.edges, ranges))
+    return replace(graph, index=Index(graph.edges, ranges))
 
 
 class Layout:

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions.scalar import hash_long, hash_unsigned, hilbert_key, reciprocal, round_up_pow2
 from .graph import Graph, from_edges
 from .operators import partition, sequence
-from .operators.edge_map import EdgeFn, active_edges, edge_map, edge_map_counted, everything, frontier_stats, nothing, rem_duplicates, vertex_filter, vertex_map, where
+from .operators.edge_map import EdgeFn, Fold, active_edges, edge_map, edge_map_counted, everything, fold_edges, frontier_stats, nothing, rem_duplicates, vertex_apply, vertex_filter, vertex_map, where
 from .plans import algorithms
-from .plans.loop import shared_dir
+from .plans.loop import new_path
 from .sources import derived
-from .sources.files import csr_offsets, read_adjacency_text, with_transpose_checked, write_adjacency_text
+from .sources.files import csr_offsets, read_adjacency_text, read_graph, with_transpose_checked, write_adjacency_text
+from .sources.numbers import opened
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +30,10 @@ _PS = "p AS (SELECT 2 * l_partkey AS a, 2 * l_suppkey + 1 AS b, min(l_linenumber
 _OP = "p AS (SELECT DISTINCT 2 * l_orderkey AS a, 2 * l_partkey + 1 AS b, 1::BIGINT AS w FROM lineitem WHERE l_quantity >= 50)"
 _BOTH = "e AS MATERIALIZED (SELECT a AS src, b AS dst, w FROM p UNION ALL SELECT b, a, w FROM p), v AS MATERIALIZED (SELECT DISTINCT src AS id FROM e)"
 _NN = "e AS MATERIALIZED (SELECT s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dst, count(*) AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL), v AS (SELECT n_nationkey::BIGINT AS id FROM nation)"
-_GRAPHS = {"cs": (derived.customer_supplier, f"{_CS}, {_BOTH}"), "ps": (derived.part_supplier, f"{_PS}, {_BOTH}"), "op": (derived.order_part, f"{_OP}, {_BOTH}"), "nn": (derived.nation_nation, _NN)}
+_PS_ALL = _PS.replace(" WHERE l_quantity >= 50 AND l_returnflag = 'R'", "")
+_OP_ALL = _OP.replace(" WHERE l_quantity >= 50", "")
+_TREE = "e AS MATERIALIZED (SELECT 4 * n_regionkey::BIGINT AS src, 4 * n_nationkey::BIGINT + 1 AS dst, 1::BIGINT AS w FROM nation UNION ALL SELECT 4 * c_nationkey::BIGINT + 1, 4 * c_custkey + 2, 1 FROM customer UNION ALL SELECT 4 * s_nationkey::BIGINT + 1, 4 * s_suppkey + 3, 1 FROM supplier), v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e)"
+_GRAPHS = {"cs": (derived.customer_supplier, f"{_CS}, {_BOTH}"), "ps": (derived.part_supplier, f"{_PS}, {_BOTH}"), "op": (derived.order_part, f"{_OP}, {_BOTH}"), "nn": (derived.nation_nation, _NN), "ps_all": (lambda spark, d: derived.part_supplier(spark, d, True), f"{_PS_ALL}, {_BOTH}"), "op_all": (lambda spark, d: derived.order_part(spark, d, True), f"{_OP_ALL}, {_BOTH}"), "tree": (derived.places, _TREE)}
 
 
 _held: list[Graph] = []
@@ -46,7 +51,7 @@ def _query(name: str, graph: str, sql: str | None, recursive: bool = False):
     """Registers fn(graph) over a derived graph; sql follows the graph's expressions."""
 
     def add(fn: Callable[[Graph], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(_hold(_GRAPHS[graph][0](spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir, fn=fn: fn(_hold(_GRAPHS[graph][0](spark, sf_dir)))
         if sql is not None:
             ORACLE[name] = f"WITH {'RECURSIVE ' if recursive else ''}{_GRAPHS[graph][1]}{sql}"
         return fn
@@ -89,9 +94,15 @@ FROM (SELECT v.id, CASE WHEN {i} = 1 THEN 0.85 * (x{j}.r + coalesce(g.s, 0)) + 0
 LEFT JOIN (SELECT dst, sum(dl / deg.d) AS s FROM e JOIN x{j} ON x{j}.id = src AND x{j}.act JOIN deg ON deg.id = src GROUP BY dst) g ON g.dst = v.id) v CROSS JOIN n JOIN x{j} AS x ON x.id = v.id"""
 
 
-@_query("pagerank_delta", "cs", _DEG + _chain("SELECT id, 0.0::DOUBLE AS r, 1 / n.n AS dl, true AS act FROM v, n", _DELTA, 10, "SELECT id, round(r, 9) AS rank FROM {x}"))
+#: More rounds than are needed; a round after the changes have fallen below the tolerance changes nothing.
+_DELTA_ROUNDS = 60
+_SETTLED = "(SELECT sum(abs(dl)) FROM x{j}) < 1e-7"
+_DELTA_STEP = f"SELECT * FROM ({_DELTA}) WHERE NOT {_SETTLED} UNION ALL SELECT id, r, dl, act FROM x{{j}} WHERE {_SETTLED}"
+
+
+@_query("pagerank_delta", "cs", _DEG + _chain("SELECT id, 0.0::DOUBLE AS r, 1 / n.n AS dl, true AS act FROM v, n", _DELTA_STEP, _DELTA_ROUNDS, "SELECT id, round(r, 9) AS rank FROM {x}"))
 def pagerank_delta(g: Graph) -> DataFrame:
-    return algorithms.pagerank_delta(g, most_rounds=10).select("id", F.round("rank", 9).alias("rank"))
+    return algorithms.pagerank_delta(g).select("id", F.round("rank", 9).alias("rank"))
 
 
 _LEVELS = ", s AS (SELECT min(id) AS id FROM v), b AS (SELECT id, 0 AS lvl FROM s UNION SELECT dst, lvl + 1 FROM b JOIN e ON src = b.id WHERE lvl < 24), l AS MATERIALIZED (SELECT id, min(lvl) AS level FROM b GROUP BY id)"
@@ -167,7 +178,11 @@ def bellman_ford_nations(g: Graph) -> DataFrame:
     return algorithms.bellman_ford(g, _first(g))
 
 
-@_query("bellman_ford_negative_cycle", "ps", " SELECT id, -1073741823::BIGINT AS dist FROM v WHERE (SELECT count(*) FROM v) > 0")
+#: Distances after k and k + 1 rounds: on a symmetric graph of which every weight is -1 they still fall, and fall for ever.
+_CYCLE = _DIST.replace("d + w", "d - 1").rpartition(" SELECT")[0] + ", f AS (SELECT count(*) > 0 AS falls FROM x24 JOIN x23 USING (id) WHERE x24.d < x23.d) SELECT id, CASE WHEN falls THEN -1073741823 ELSE d END::BIGINT AS dist FROM v JOIN f ON true LEFT JOIN x24 USING (id) WHERE falls OR d IS NOT NULL"
+
+
+@_query("bellman_ford_negative_cycle", "ps", _CYCLE)
 def bellman_ford_negative_cycle(g: Graph) -> DataFrame:
     """Every edge of a symmetric graph with weight -1 lies on a negative cycle."""
     return algorithms.bellman_ford(from_edges(g.edges.select("src", "dst", F.lit(-1).cast("long").alias("w")), g.vertices), _first(g))
@@ -202,12 +217,43 @@ def belief_propagation(g: Graph) -> DataFrame:
     return out.select("id", F.round("product0", 5).alias("product0"), F.round("product1", 5).alias("product1"))
 
 
-@_query("belief_products", "op", _POT + ", g AS (SELECT dst, product(s0 * 0.55 + s1 * 0.45) AS a, product(s0 * 0.35 + s1 * 0.65) AS b FROM e JOIN q ON q.id = dst GROUP BY dst) SELECT id, round(coalesce(a, 1), 9) AS product0, round(coalesce(b, 1), 9) AS product1 FROM v LEFT JOIN g ON g.dst = v.id")
+_BP_PLAIN = "SELECT q.id, coalesce(a, 1) AS a, coalesce(b, 1) AS b FROM q LEFT JOIN (SELECT dst, product(s0 * 0.55 * x{j}.a + s1 * 0.45 * x{j}.b) AS a, product(s0 * 0.35 * x{j}.a + s1 * 0.65 * x{j}.b) AS b FROM e JOIN x{j} ON x{j}.id = dst JOIN q ON q.id = dst GROUP BY dst) g ON g.dst = q.id"
+
+
+@_query("belief_products", "tree", _POT + _chain("SELECT id, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM v", _BP_PLAIN, 10, "SELECT id, round(a, 9) AS product0, round(b, 9) AS product1 FROM {x}"))
 def belief_products(g: Graph) -> DataFrame:
-    out = algorithms.belief_propagation(g, *_potentials(g), rounds=1)
+    """Plain products don't underflow in a tree."""
+    out = algorithms.belief_propagation(g, *_potentials(g))
     return out.select("id", F.round("product0", 9).alias("product0"), F.round("product1", 9).alias("product1"))
 
 
+def _over_all(name: str, graph: str, sql: str, recursive: bool = False) -> None:
+    """The same program over all lines."""
+    run = QUERIES[name].__defaults__[0]
+    _query(f"{name}_all", graph, sql, recursive)(run)
+
+
+_over_all("bfs", "ps_all", _PARENTS.replace("lvl < 24", "lvl < 8"), True)
+_over_all("betweenness", "ps_all", f"{_FORWARD}, {_BACK}, d AS ({_ALL_D}) SELECT v.id, coalesce(x.lvl, -1)::INTEGER AS level, round(x.sg, 6) AS sigma, round(d.dl, 6) AS delta FROM v LEFT JOIN x{_DEPTH} x ON x.id = v.id LEFT JOIN d ON d.id = v.id")
+_over_all("components", "op_all", _LABELS(24))
+_over_all("bellman_ford", "ps_all", _DIST)
+
+
+@_query("belief_propagation_all", "op_all", _POT + _chain("SELECT id, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM v", _BP_STEP, 3, "SELECT id, round(a, 5) AS product0, round(b, 5) AS product1 FROM {x}"))
+def belief_propagation_all(g: Graph) -> DataFrame:
+    """Three rounds: with d in-edges, logarithms grow d times a round, beyond what rounding to five places can compare."""
+    out = algorithms.belief_propagation(g, *_potentials(g), rounds=3, logs=True)
+    return out.select("id", F.round("product0", 5).alias("product0"), F.round("product1", 5).alias("product1"))
+
+
+_RADII = ", s AS (SELECT id FROM v ORDER BY id LIMIT 64), b AS (SELECT id AS s, id, 0 AS lvl FROM s UNION SELECT b.s, dst, lvl + 1 FROM b JOIN e ON src = b.id WHERE lvl < 6), l AS MATERIALIZED (SELECT s, id, min(lvl) AS lvl FROM b GROUP BY s, id) SELECT v.id, coalesce(max(lvl), -1)::INTEGER AS radius FROM v LEFT JOIN l ON l.id = v.id GROUP BY v.id"
+
+
+@_query("radii", "cs", _RADII, recursive=True)
+def radii(g: Graph) -> DataFrame:
+    return algorithms.radii(g, g.vertices.orderBy("id").limit(64))
+
+
 # Edge maps, vertex maps, vertex filters, frontiers.
 
 
@@ -386,6 +432,55 @@ def csr_offsets_query(g: Graph) -> DataFrame:
     return csr_offsets(g)
 
 
+# Folds with a state of their own, vectorised vertex functions, scans by any operation.
+
+
+def _largest(k: int) -> Fold:
+    """The k largest different messages of a destination."""
+
+    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.drop_duplicates().sort_values(["dst", "message"], ascending=[True, False])
+        kept = rows.groupby("dst").head(k)
+        return kept.groupby("dst")["message"].agg(list).reset_index(name="top")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return top(pdf.explode("top").rename(columns={"top": "message"}).astype({"message": "int64"}))
+
+    def commit(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"dst": pdf["dst"], "value": [",".join(map(str, x)) for x in pdf["top"]]})
+
+    return Fold(top, merge, commit, "top array<long>", "value string")
+
+
+@_em("edge_map_cached", "cs", ", m AS (SELECT DISTINCT dst AS id, (src * w) % 97 AS m FROM e), t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY m DESC) <= 3) SELECT id, string_agg(m::VARCHAR, ',' ORDER BY m DESC) AS value FROM t GROUP BY id")
+def edge_map_cached(g: Graph) -> DataFrame:
+    """The three largest different messages, kept in a state of the fold's own."""
+    return fold_edges(g, g.vertices.withColumn("x", F.col("id")), F.pmod(F.col("s_x") * F.col("w"), F.lit(97)), _largest(3))
+
+
+@_em("vertex_apply", "cs", ", g AS (SELECT v.id, count(src) AS d FROM v LEFT JOIN e ON src = v.id GROUP BY v.id) SELECT id, round(sqrt(d) + id % 5, 6) AS x, d % 2 = 0 AS even FROM g WHERE id % 3 <> 0")
+def vertex_apply_query(g: Graph) -> DataFrame:
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": pdf["id"], "x": np.round(np.sqrt(pdf["out_degree"]) + pdf["id"] % 5, 6), "even": pdf["out_degree"] % 2 == 0})
+
+    return vertex_apply(g.degrees(), fn, "id long, x double, even boolean", where(g.vertices, F.col("id") % 3 != 0))
+
+
+def seq_scan_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the maps x -> (a * x + b) mod 1009 of all customers before one make together, in order of their keys."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.struct((1 + F.col("c_custkey") % 50).alias("a"), (3 + F.col("c_nationkey")).cast("long").alias("b")).alias("m"))
+
+    def after(f: Column, g: Column) -> Column:
+        return F.struct(((f["a"] * g["a"]) % 1009).alias("a"), ((g["a"] * f["b"] + g["b"]) % 1009).alias("b"))
+
+    out = sequence.scan_with(rows, "c_custkey", F.col("m"), after, inclusive=True)
+    return out.select("c_custkey", F.col("scan.a").alias("a"), F.col("scan.b").alias("b"))
+
+
+QUERIES["seq_scan_affine"] = seq_scan_affine
+ORACLE["seq_scan_affine"] = "WITH RECURSIVE c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey, 1 + c_custkey % 50 AS a, (3 + c_nationkey)::BIGINT AS b FROM customer), s AS (SELECT i, c_custkey, a % 1009 AS a, b % 1009 AS b FROM c WHERE i = 1 UNION ALL SELECT c.i, c.c_custkey, (s.a * c.a) % 1009, (c.a * s.b + c.b) % 1009 FROM s JOIN c ON c.i = s.i + 1) SELECT c_custkey, a, b FROM s"
+
+
 # Partitioners and orders.
 
 
@@ -423,9 +518,46 @@ _dealt("partition_by_destination", lambda g: partition.by_destination(g, 4), "ds
 
 @_em("partition_two_d", "cs", " SELECT src AS id, count(*) AS edges, true AS within FROM e GROUP BY src")
 def partition_two_d(g: Graph) -> DataFrame:
-    """The edges of a source lie in one row of blocks: in as many partitions as there are blocks of destinations, at most."""
-    lies = partition.two_d(g, 8).edges.select("src", F.spark_partition_id().alias("__p"))
-    return lies.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("edges"), (F.count_distinct("__p") <= 4).alias("within"))
+    """Whether every edge lies in the partition of its own block; two blocks that shared one would break it."""
+    lies = partition.two_d(g, 8).edges.select("src", (F.spark_partition_id() == partition.block_of(8)).alias("own"))
+    return lies.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("edges"), F.every("own").alias("within"))
+
+
+def _placed(edges: DataFrame) -> DataFrame:
+    """Edges of each partition, their share, and what they add up to."""
+    lies = edges.select("src", "dst", F.spark_partition_id().alias("partition")).groupBy("partition").agg(F.count("*").alias("edges"), F.sum(F.col("src") * 3 + F.col("dst")).alias("total"))
+    return lies.withColumn("share", F.round(F.col("edges") / F.sum("edges").over(Window.partitionBy()), 6))
+
+
+_SHARES = "count(*) AS edges, sum(src * 3 + dst)::BIGINT AS total, round(count(*) / (SELECT count(*) FROM e)::DOUBLE, 6) AS share"
+
+
+@_em("placed_by_degree", "cs", _BY_DEGREE + f" SELECT part AS partition, {_SHARES} FROM e JOIN b ON dst = id GROUP BY part")
+def placed_by_degree(g: Graph) -> DataFrame:
+    return _placed(partition.by_parts(g, partition.degree_parts(g, 4), 4).edges)
+
+
+@_em("placed_in_blocks", "cs", _BY_DEGREE + f", r AS (SELECT id, least((row_number() OVER (ORDER BY id) - 1) // ((SELECT count(*) FROM v) // 3), 2)::INTEGER AS i FROM v) SELECT i * 4 + part AS partition, {_SHARES} FROM e JOIN r ON src = r.id JOIN b ON dst = b.id GROUP BY 1")
+def placed_in_blocks(g: Graph) -> DataFrame:
+    """Runs of sources by runs of destinations with equal in-edges: block (i, j) is partition 4 * i + j."""
+    return _placed(partition.by_parts(g, partition.vertex_parts(g, 3), 12, "src", partition.degree_parts(g, 4), 4).edges)
+
+
+@_em("partition_approx", "cs", " SELECT count(*) AS vertices, count(*) AS with_a_part, 4::BIGINT AS parts, true AS none_too_full, true AS fewer_cut FROM v")
+def partition_approx(g: Graph) -> DataFrame:
+    """Every vertex has one part, no part more than its bound, and fewer edges are cut than by a hash."""
+    parts = partition.partition_approx(g, 4).persist()
+    by_hash = g.vertices.select("id", F.pmod(F.xxhash64("id"), F.lit(4)).alias("part"))
+    (_, cut), (_, cut_by_hash) = partition.cut_edges(g, parts).first(), partition.cut_edges(g, by_hash).first()
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    bound = -int(-1.1 * g.n // 4)
+    own = F.col("part").between(0, 3)
+    return sizes.agg(F.lit(g.n).cast("long").alias("vertices"), F.sum(F.when(own, F.col("ids"))).alias("with_a_part"), F.count("*").alias("parts"), (F.max("n") <= bound).alias("none_too_full"), F.lit(cut < cut_by_hash).alias("fewer_cut"))
+
+
+@_em("relabel_by_part", "cs", _BY_DEGREE + ", m AS (SELECT id, row_number() OVER (ORDER BY part, id) - 1 AS k FROM b) SELECT a.k AS src, z.k AS dst, w FROM e JOIN m a ON a.id = src JOIN m z ON z.id = dst")
+def relabel_by_part(g: Graph) -> DataFrame:
+    return partition.relabel(g, partition.by_rank(partition.degree_parts(g, 4))).edges.select("src", "dst", "w")
 
 
 @_em("graph_filter", "cs", " SELECT src, dst FROM e WHERE src % 3 <> 0 AND dst % 3 <> 0")
@@ -477,7 +609,7 @@ ORACLE["destination_order"] = f"WITH {_GRAPHS['ps'][1]} SELECT src, dst, true AS
 
 def _written_and_read(g: Graph, weighted: bool) -> Graph:
     spark = g.vertices.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     write_adjacency_text(g, path, weighted)
     return read_adjacency_text(spark, path, weighted=weighted)
 
@@ -498,6 +630,41 @@ def file_companion(g: Graph) -> DataFrame:
     return with_transpose_checked(_written_and_read(g, True), _written_and_read(g.transpose(), True)).edges.select("src", "dst", "w")
 
 
+def _write_bytes(path: str, raw: bytes) -> None:
+    system, at = opened(path)
+    with system.open_output_stream(at) as f:
+        f.write(raw)
+
+
+def _csr(g: Graph) -> tuple[int, list, np.ndarray]:
+    """Vertices, edges in order and start offsets of a graph of nations, which has as many edges as pairs of them at most."""
+    rows = g.edges.select("src", "dst", "w").orderBy("src", "dst").collect()
+    return g.n, rows, np.searchsorted([r.src for r in rows], np.arange(g.n)).astype(np.int64)
+
+
+@_em("file_gr", "nn", " SELECT src, dst, w, row_number() OVER (ORDER BY src, dst) - 1 AS eid FROM e")
+def file_gr(g: Graph) -> DataFrame:
+    """The graph from a binary file, told by its format."""
+    n, rows, starts = _csr(g)
+    head, ends = np.array([1, 4, n, len(rows)], np.int64), np.append(starts[1:], len(rows)).astype(np.int64)
+    targets = np.array([r.dst for r in rows] + [0] * (len(rows) % 2), np.uint32)
+    spark = g.vertices.sparkSession
+    path = new_path(spark)
+    _write_bytes(path, b"".join(x.tobytes() for x in (head, ends, targets, np.array([r.w for r in rows], np.int32))))
+    return read_graph(spark, path, "gr", symmetric=True).edges
+
+
+@_em("file_csr", "nn", " SELECT src, dst, 1::BIGINT AS w, row_number() OVER (ORDER BY src, dst) - 1 AS eid FROM e")
+def file_csr(g: Graph) -> DataFrame:
+    """The graph from the three files of its compressed rows, told by their format."""
+    n, rows, starts = _csr(g)
+    spark = g.vertices.sparkSession
+    path = new_path(spark)
+    for name, raw in (("config", f"{n}\n".encode()), ("adj", np.array([r.dst for r in rows], np.uint32).tobytes()), ("idx", starts.tobytes())):
+        _write_bytes(f"{path}.{name}", raw)
+    return read_graph(spark, path, "csr", symmetric=True).edges
+
+
 # Scalars and derived tables.
 
 _M = "18446744073709551616::HUGEINT"

@@ -25,15 +25,19 @@ def customer_supplier(spark: SparkSession, sf_dir: str) -> Graph:
     return _both_ways(orders.join(lines, "k").select("a", "b").distinct().withColumn("w", F.lit(1).cast("long")))
 
 
-def part_supplier(spark: SparkSession, sf_dir: str) -> Graph:
-    """Large returned lines: parts and suppliers, weighed by the least line number."""
-    lines = _table(spark, sf_dir, "lineitem").filter((F.col("l_quantity") >= 50) & (F.col("l_returnflag") == "R"))
+def part_supplier(spark: SparkSession, sf_dir: str, every: bool = False) -> Graph:
+    """Large returned lines, or all: parts and suppliers, weighed by the least line number."""
+    lines = _table(spark, sf_dir, "lineitem")
+    if not every:
+        lines = lines.filter((F.col("l_quantity") >= 50) & (F.col("l_returnflag") == "R"))
     return _both_ways(lines.groupBy((2 * F.col("l_partkey")).alias("a"), (2 * F.col("l_suppkey") + 1).alias("b")).agg(F.min("l_linenumber").cast("long").alias("w")))
 
 
-def order_part(spark: SparkSession, sf_dir: str) -> Graph:
-    """Large lines: orders and parts."""
-    lines = _table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= 50)
+def order_part(spark: SparkSession, sf_dir: str, every: bool = False) -> Graph:
+    """Large lines, or all: orders and parts."""
+    lines = _table(spark, sf_dir, "lineitem")
+    if not every:
+        lines = lines.filter(F.col("l_quantity") >= 50)
     return _both_ways(lines.select((2 * F.col("l_orderkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b")).distinct().withColumn("w", F.lit(1).cast("long")))
 
 
@@ -46,6 +50,13 @@ def nation_nation(spark: SparkSession, sf_dir: str) -> Graph:
     return from_edges(edges, t("nation").select(F.col("n_nationkey").alias("id")))
 
 
+def places(spark: SparkSession, sf_dir: str) -> Graph:
+    """A tree: regions, their nations, and the nations' customers and suppliers; remainders by four keep the kinds apart."""
+    ends = [("nation", "n_regionkey", 0, "n_nationkey", 1), ("customer", "c_nationkey", 1, "c_custkey", 2), ("supplier", "s_nationkey", 1, "s_suppkey", 3)]
+    edges = [_table(spark, sf_dir, name).select((4 * F.col(a).cast("long") + i).alias("src"), (4 * F.col(b).cast("long") + j).alias("dst")) for name, a, i, b, j in ends]
+    return from_edges(edges[0].unionByName(edges[1]).unionByName(edges[2]))
+
+
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src_type, dst_type, w): how often one event type follows another with the same user.
 

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import Graph
+from ..operators.sequence import block_of, quantiles
+from .numbers import file_size, numbers, read_bytes
 
 HEADERS = {"AdjacencyGraph": False, "WeightedAdjacencyGraph": True}
-_EDGES = "kind int, at long, value long"
 #: Places of a list that are made at once, and lines of a written file.
 STRETCH, FILE_LINES = 1 << 16, 10_000_000
+#: Edges of a range of destinations that a writer aims at.
+RANKED = 1_000_000
 
 
 def tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +50,7 @@ def _from_offsets(spark: SparkSession, n: int, m: int, starts: DataFrame, target
 
 def read_adjacency_text(spark: SparkSession, path: str, symmetric: bool = False, weighted: bool | None = None) -> Graph:
     """AdjacencyGraph or WeightedAdjacencyGraph: header, n, m, n offsets, m targets and, if weighted, m weights."""
-    words = tokens(spark, path).persist()
+    words = tokens(spark, path).persist()  # until the graph is given up
     head = [r[0] for r in words.filter("i < 3").orderBy("i").select("token").collect()]
     if len(head) < 3 or head[0] not in HEADERS or (weighted is not None and HEADERS[head[0]] != weighted):
         raise ValueError(f"{path}: bad header {head[:1]}")
@@ -57,7 +59,8 @@ def read_adjacency_text(spark: SparkSession, path: str, symmetric: bool = False,
     if count != wanted:
         raise ValueError(f"{path}: {count} tokens, not {wanted}")
     part = lambda first, size, key, value: words.filter((F.col("i") >= first) & (F.col("i") < first + size)).select((F.col("i") - first).alias(key), F.col("token").cast("long").alias(value))
-    return _from_offsets(spark, n, m, part(3, n, "v", "o"), part(3 + n, m, "eid", "dst"), part(3 + n + m, m, "eid", "w") if has_weights else None, symmetric)
+    graph = _from_offsets(spark, n, m, part(3, n, "v", "o"), part(3 + n, m, "eid", "dst"), part(3 + n + m, m, "eid", "w") if has_weights else None, symmetric)
+    return replace(graph, owned=(words,))
 
 
 def with_transpose_checked(graph: Graph, transposed: Graph) -> Graph:
@@ -68,56 +71,39 @@ def with_transpose_checked(graph: Graph, transposed: Graph) -> Graph:
     return graph
 
 
-def _rows(kind: int, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(values), 100_000):
-        part = values[a : a + 100_000].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, dtype=np.int32)), pa.array(np.arange(a, a + len(part))), pa.array(part)], ["kind", "at", "value"])
+def _part(rows: DataFrame, key: str, value: str) -> DataFrame:
+    return rows.select(F.col("at").alias(key), F.col("value").alias(value))
 
 
 def read_gr(spark: SparkSession, path: str, symmetric: bool = False, wide: bool = True) -> Graph:
     """Binary version 1: version, edge size (4: weighted), n, m; n end offsets; m 32-bit targets, padded to an even number; m weights.
 
-    wide: header and offsets have 64 bits, else 32. A file must fit into one row (2 GB).
+    wide: header and offsets have 64 bits, else 32. The driver reads the header;
+    offsets, targets and weights are read by ranges of bytes, so a file may have any size.
     """
     size = np.dtype(np.int64 if wide else np.int32)
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                data = raw.as_buffer()
-                head = np.frombuffer(data, size, 4)
-                if head[0] != 1:
-                    raise ValueError(f"version {head[0]}")
-                n, m = int(head[2]), int(head[3])
-                at = 4 * size.itemsize
-                ends = np.frombuffer(data, size, n, at)
-                at += n * size.itemsize
-                yield from _rows(0, head)
-                yield from _rows(1, np.concatenate([[0], ends[:-1]]) if n else ends)
-                yield from _rows(2, np.frombuffer(data, np.uint32, m, at))
-                if head[1] == 4:
-                    yield from _rows(3, np.frombuffer(data, np.int32, m, at + 4 * (m + m % 2)))
-
-    table = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, _EDGES).persist()
-    head = [r[0] for r in table.filter("kind = 0").orderBy("at").select("value").collect()]
-    part = lambda kind, key, value: table.filter(F.col("kind") == kind).select(F.col("at").alias(key), F.col("value").alias(value))
-    return _from_offsets(spark, head[2], head[3], part(1, "v", "o"), part(2, "eid", "dst"), part(3, "eid", "w") if head[1] == 4 else None, symmetric)
+    head = np.frombuffer(read_bytes(path, 0, 4 * size.itemsize), size)
+    if len(head) < 4 or head[0] != 1:
+        raise ValueError(f"{path}: version {head[:1]}")
+    weighted, n, m = head[1] == 4, int(head[2]), int(head[3])
+    targets_at = (4 + n) * size.itemsize
+    weights_at = targets_at + 4 * (m + m % 2)
+    wanted = weights_at + 4 * m if weighted else targets_at + 4 * m
+    if file_size(path) < wanted:
+        raise ValueError(f"{path}: {file_size(path)} bytes, not {wanted}")
+    ends = numbers(spark, path, size.str, n, 4 * size.itemsize)
+    starts = ends.select((F.col("at") + 1).alias("v"), F.col("value").alias("o")).filter(F.col("v") < n)
+    first = spark.range(1 if n else 0).select(F.col("id").alias("v"), F.lit(0).cast("long").alias("o"))
+    weights = _part(numbers(spark, path, "<i4", m, weights_at), "eid", "w") if weighted else None
+    return _from_offsets(spark, n, m, first.unionByName(starts), _part(numbers(spark, path, "<u4", m, targets_at), "eid", "dst"), weights, symmetric)
 
 
 def read_csr(spark: SparkSession, stem: str, symmetric: bool = False, wide: bool = True) -> Graph:
-    """stem.config (text: n), stem.adj (32-bit targets), stem.idx (start offsets); weights are 1."""
+    """stem.config (text: n), stem.adj (32-bit targets), stem.idx (start offsets); weights are 1. Both binaries are read by ranges of bytes."""
     n = int(spark.read.text(f"{stem}.config").first()[0].split()[0])
-
-    def load(name: str, kind: np.dtype, key: str, value: str) -> DataFrame:
-        def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for raw in batch.column(0):
-                    yield from _rows(0, np.frombuffer(raw.as_buffer(), kind))
-
-        return spark.read.format("binaryFile").load(f"{stem}.{name}").select("content").mapInArrow(parse, _EDGES).select(F.col("at").alias(key), F.col("value").alias(value))
-
-    targets = load("adj", np.dtype(np.uint32), "eid", "dst").persist()
-    return _from_offsets(spark, n, targets.count(), load("idx", np.dtype(np.int64 if wide else np.int32), "v", "o").filter(F.col("v") < n), targets, None, symmetric)
+    m = file_size(f"{stem}.adj") // 4
+    offsets = numbers(spark, f"{stem}.idx", "<i8" if wide else "<i4", n)
+    return _from_offsets(spark, n, m, _part(offsets, "v", "o"), _part(numbers(spark, f"{stem}.adj", "<u4", m), "eid", "dst"), None, symmetric)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -150,13 +136,19 @@ def csr_offsets(graph: Graph) -> DataFrame:
 def write_adjacency_text(graph: Graph, path: str, weighted: bool = False) -> None:
     """A folder of text files that follow each other by name; ids must run from 0 to n - 1.
 
-    An edge's place is its source's offset and its rank among the source's
-    edges, so that lines are ranged and written by many tasks.
+    An edge's place is its source's offset, the edges of its source in lower
+    ranges of destinations, and its rank among those of its own range, so that
+    a hub's edges are ranked by several tasks; lines are ranged and written by
+    many. Parallel edges are of one range.
     """
     offsets = csr_offsets(graph)
-    number = Window.partitionBy("src").orderBy("dst", "w")
-    edges = graph.edges.select("src", "dst", "w", (F.row_number().over(number) - 1).alias("rank"))
-    edges = edges.join(offsets.withColumnRenamed("id", "src"), "src").select("dst", "w", (F.col("offset") + F.col("rank")).alias("at"))
+    ranges = -(-graph.m // RANKED)
+    edges = graph.edges.select("src", "dst", "w", block_of(F.col("dst"), quantiles(graph.edges, "dst", ranges)).alias("range"))
+    lower = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = edges.groupBy("src", "range").agg(F.count("*").alias("n")).select("src", "range", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("before"))
+    number = Window.partitionBy("src", "range").orderBy("dst", "w")
+    edges = edges.withColumn("rank", F.row_number().over(number) - 1).join(before, ["src", "range"])
+    edges = edges.join(offsets.withColumnRenamed("id", "src"), "src").select("dst", "w", (F.col("offset") + F.col("before") + F.col("rank")).alias("at"))
     head = graph.vertices.sparkSession.createDataFrame([(0, 0, "WeightedAdjacencyGraph" if weighted else "AdjacencyGraph"), (0, 1, str(graph.n)), (0, 2, str(graph.m))], "part int, at long, line string")
     out = head.unionByName(offsets.select(F.lit(1).alias("part"), F.col("id").alias("at"), F.col("offset").cast("string").alias("line")))
     out = out.unionByName(edges.select(F.lit(2).alias("part"), "at", F.col("dst").cast("string").alias("line")))
