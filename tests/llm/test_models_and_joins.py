@@ -297,6 +297,30 @@ def test_pipeline(spark, labelled, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == held.count()
 
 
+def test_pipeline_carries_other_columns_and_odd_rows(spark, labelled, tmp_path):
+    """Extra columns, whatever their names, and null, repeated and very long rows go through all stages as they are."""
+    import corpus_pipeline
+
+    docs, labels, _ = labelled
+    long = " ".join(f"tale{i % 977} part{i % 89}" for i in range(20_000))
+    rows = [(None, "an unnamed text of some words about nothing much at all", "s"), (3001, long, "s"), (3002, "the same words in two rows of one id here", "t"), (3002, "the same words in two rows of one id here", "t"), (3003, None, "t"), (3004, "", None)]
+    plain = ["doc_id", "text", "lang", "source", "n_chars"]
+    both = docs.select(plain).unionByName(docs_of(spark, rows).select(plain))
+    names = ["draws", "dealt", "target", "size", "source_size", "mix_shard", "rank", "score", "kept", "h"]
+    both = both.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names})
+    both.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no text holds these ten words of an item at all ever")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*plain, *names, "shard", "slot"]
+    rows = out.collect()
+    assert len(rows) > 300 and sorted(r.slot for r in rows if r.shard == 0) == list(range(sum(r.shard == 0 for r in rows)))
+    for r in rows:
+        assert all(r[c] == f"{c}{'none' if r.doc_id is None else r.doc_id}" for c in names)
+    texts = {r.doc_id: r.text for r in both.collect()}
+    assert all(texts[r.doc_id] == r.text for r in rows)
+
+
 def test_pipeline_on_empty_tables(spark, labelled, tmp_path):
     import corpus_pipeline
 
