@@ -74,11 +74,13 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """left joined with right, which holds each key once and has narrow rows, so that no key's rows meet in one task.
+    """left joined with right, which holds each key once or a few times and has narrow rows, so that no key's rows meet in one task.
 
     A right side counted to be small is broadcast. Otherwise the keys with more
     than HEAVY rows on the left, which are few by definition, are set apart:
-    their rows meet a broadcast, all others are shuffled. how: inner or left.
+    their rows meet a broadcast, where it is counted to be small, and all others
+    are shuffled. how: inner or left. A null key meets nothing: its rows are
+    dropped by an inner join, and stay with nulls in a left one.
     """
     if is_small(right):
         return left.join(F.broadcast(right), keys, how)
@@ -87,8 +89,8 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
         return left.join(right, keys, how)
     if not is_small(heavy):
         raise RuntimeError(f"more than {MOST_BROADCAST} keys hold over {HEAVY} rows each")
-    rest = left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys, how)
-    own = F.broadcast(right.join(F.broadcast(heavy), keys, "left_semi"))
+    rest = left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys, how)  # null keys are with these
+    own = small(right.join(F.broadcast(heavy), keys, "left_semi"))
     return rest.unionByName(left.join(F.broadcast(heavy), keys, "left_semi").join(own, keys, how))
 
 
@@ -153,7 +155,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Least labels go to the neighbours, then every node takes its label's label,
     so the distance covered doubles each round. Every round is a written table,
     of which the last two are kept. The neighbours of a hub and the nodes of a
-    giant component are spread over tasks (join_unique).
+    giant component are spread over tasks (join_unique). Loops give a node of
+    its own; an edge with a null end must not come; without edges no row.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = settle(both)

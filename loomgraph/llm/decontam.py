@@ -101,8 +101,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFram
     hits = None
     for size in sorted({WINDOW, *short}):
         of_items = items if size == WINDOW else items.filter(F.size("words") == size)
-        of_items = _windows(of_items, ["item_id"], size).select("item_id", "h", "h2").distinct()
-        found = _windows(texts, ["t1", "t2"], size).join(of_items, ["h", "h2"]).select("t1", "t2", "pos", "len", "item_id")
+        of_items = settle(_windows(of_items, ["item_id"], size).select("item_id", "h", "h2").distinct())
+        found = join_unique(_windows(texts, ["t1", "t2"], size), of_items, ["h", "h2"]).select("t1", "t2", "pos", "len", "item_id")
         hits = found if hits is None else hits.unionByName(found)
     step = lambda acc, x: F.struct((acc["n"] + F.greatest(x["pos"] + x["len"] - F.greatest(x["pos"], acc["end"]), F.lit(0))).alias("n"), F.greatest(acc["end"], x["pos"] + x["len"]).alias("end"))
     laid = (

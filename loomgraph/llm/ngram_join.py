@@ -278,7 +278,7 @@ def _judged(docs: DataFrame, threshold: float, n_words: int, recall: float) -> D
 
     bands = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     buckets = settle(bands.groupBy("band", "h").agg(F.count("*").alias("size"), F.min("node").alias("low")).filter("size > 1"))
-    members = bands.join(buckets, ["band", "h"])
+    members = join_unique(bands, buckets, ["band", "h"])  # a common band's nodes don't meet in one task
     inside = members.filter(F.col("size") <= BUCKET).select("node", "band", "h").join(nodes.select("node", "sketch"), "node")
     # A pair at the threshold falls five deviations below it once in millions.
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / (n_bands * BAND_ROWS))

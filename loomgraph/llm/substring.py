@@ -15,8 +15,10 @@ from .common import settle
 
 #: Words of the shortest unit: every line and sentence that has any. A caller who wants to leave short ones alone, which recur by chance, gives more.
 MIN_WORDS = 1
-#: Units handed on at once, and rows of a digest beyond which it is set apart in the join.
-BATCH, HEAVY = 20_000, 1_000_000
+#: Units handed on at once.
+BATCH = 20_000
+#: Rows of a digest beyond which it is set apart in the join, or this share of all units if that is more, so that such digests are HEAVY_SHARE at most.
+HEAVY, HEAVY_SHARE = 1_000_000, 100_000
 _SCHEMA = "rid long, doc_id string, unit string, start int, end int, n_words int, d1 long, d2 long, own_start int"
 
 
@@ -83,7 +85,7 @@ def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
     firsts = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), *[F.min_by(c, rank).alias(f"first_{c}") for c in ("rid", "doc_id", "start")])
     firsts = settle(firsts.filter("n > 1"))
     # The digests with most rows are few, and known from the counts: their rows meet a broadcast.
-    heavy = firsts.filter(F.col("n") > HEAVY).drop("n")
+    heavy = firsts.filter(F.col("n") > max(HEAVY, units.count() // HEAVY_SHARE)).drop("n")
     if heavy.isEmpty():
         met = units.join(firsts.drop("n"), ["d1", "d2"])
     else:
