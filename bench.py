@@ -42,7 +42,8 @@ def main() -> None:
         first[name] = x.vertices.agg(F.min("id")).first()[0]
     runs = {
         "pagerank": lambda: a.pagerank(g["cs"]),
-        "pagerank_delta": lambda: a.pagerank_delta(g["cs"], most_rounds=10),
+        "pagerank_delta": lambda: a.pagerank_delta(g["cs"], most_rounds=10),  # as far as it was timed in earlier rounds
+        "pagerank_delta_converged": lambda: a.pagerank_delta(g["cs"]),
         "bfs": lambda: a.bfs(g["ps"], first["ps"]),
         "bfs_dense": lambda: a.bfs(g["cs"], first["cs"]),
         "betweenness": lambda: a.betweenness(g["ps"], first["ps"]),

@@ -72,8 +72,8 @@ def where(state: DataFrame, predicate: Column) -> DataFrame:
 
 
 def frontier_stats(graph: Graph, frontier: DataFrame) -> DataFrame:
-    """One row: size of the frontier and the sum of its out-degrees."""
-    return frontier.join(graph.out_degrees(), "id", "left").agg(F.count("*").alias("size"), F.coalesce(F.sum("degree"), F.lit(0)).alias("out_edges"))
+    """One row: size of the frontier and the sum of its out-degrees, which the graph holds once they were asked for."""
+    return frontier.join(graph.held_degrees, "id", "left").agg(F.count("*").alias("size"), F.coalesce(F.sum("out_degree"), F.lit(0)).alias("out_edges"))
 
 
 def is_sparse(graph: Graph, size: int, out_edges: int) -> bool:
@@ -81,10 +81,15 @@ def is_sparse(graph: Graph, size: int, out_edges: int) -> bool:
 
 
 def active_edges(graph: Graph, frontier: DataFrame | None, pushed: bool = False) -> DataFrame:
-    """The out-edges of a frontier; all edges for None. pushed: broadcast it, its size having been checked."""
+    """The out-edges of a frontier; all edges for None. pushed: broadcast it, its size having been checked.
+
+    Where the graph has an index, a pushed frontier reads its own ranges of edges alone.
+    """
     if frontier is None:
         return graph.edges
     ids = frontier.select(F.col("id").alias("src"))
+    if pushed and graph.index is not None:
+        return graph.index.meet(ids.distinct()).select("src", "dst", "w", "eid")
     return graph.edges.join(F.broadcast(ids) if pushed else ids, "src", "left_semi").select("src", "dst", "w", "eid")
 
 

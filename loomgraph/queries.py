@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 from .functions.scalar import hash_long, hash_unsigned, hilbert_key, reciprocal, round_up_pow2
 from .graph import Graph, from_edges
 from .operators import partition, sequence
-from .operators.edge_map import EdgeFn, Fold, active_edges, edge_map, edge_map_counted, everything, fold_edges, frontier_stats, nothing, rem_duplicates, vertex_apply, vertex_filter, vertex_map, where
+from .operators.edge_map import EdgeFn, Fold, edge_map, edge_map_counted, everything, fold_edges, frontier_stats, nothing, rem_duplicates, vertex_apply, vertex_filter, vertex_map, where
 from .plans import algorithms
+from .plans.layout import indexed
 from .plans.loop import new_path
 from .sources import derived
 from .sources.files import csr_offsets, read_adjacency_text, read_graph, with_transpose_checked, write_adjacency_text
@@ -47,6 +48,12 @@ def _hold(graph: Graph) -> Graph:
     return _held[0]
 
 
+def _indexed(graph: Graph, ranges: int) -> Graph:
+    """The held graph with an index, which goes when it does."""
+    _held[0] = indexed(graph, ranges)
+    return _held[0]
+
+
 def _query(name: str, graph: str, sql: str | None, recursive: bool = False):
     """Registers fn(graph) over a derived graph; sql follows the graph's expressions."""
 
@@ -314,9 +321,24 @@ def edge_map_empty(g: Graph) -> DataFrame:
     return edge_map(g, g.vertices, EdgeFn(F.lit(1), "count", needs_source=False), nothing(g)).select("id", "value")
 
 
-@_em("edge_map_pushed", "cs", " SELECT src, dst FROM e WHERE src = (SELECT min(id) FROM v)")
+@_em("edge_map_pushed", "cs", " SELECT dst AS id, max(src) AS value FROM e WHERE src IN (SELECT id FROM v ORDER BY id LIMIT 5) GROUP BY dst")
 def edge_map_pushed(g: Graph) -> DataFrame:
-    return active_edges(g, where(g.vertices, F.col("id") == _first(g)), pushed=True).select("src", "dst")
+    """A frontier of five, broadcast to all edges."""
+    return edge_map(g, g.vertices, EdgeFn(F.col("src"), "max", needs_source=False), g.vertices.orderBy("id").limit(5), pushed=True).select("id", "value")
+
+
+@_em("edge_map_indexed", "cs", " SELECT dst AS id, max(src) AS value FROM e WHERE src IN (SELECT id FROM v ORDER BY id LIMIT 5) GROUP BY dst")
+def edge_map_indexed(g: Graph) -> DataFrame:
+    """The same from an index, of which only the ranges of the frontier are read."""
+    g = _indexed(g, 16)
+    return edge_map(g, g.vertices, EdgeFn(F.col("src"), "max", needs_source=False), g.vertices.join(g.vertices.orderBy("id").limit(5), "id", "left_semi"), pushed=True).select("id", "value")
+
+
+@_query("bfs_indexed", "ps", _PARENTS, recursive=True)
+def bfs_indexed(g: Graph) -> DataFrame:
+    """Sparse levels read the index."""
+    return algorithms.bfs(_indexed(g, 8), _first(g)).select("id", "level", "parent")
+
 
 
 _FEW, _MANY = "src = (SELECT min(id) FROM v)", "src % 2 = 0"
