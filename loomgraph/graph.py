@@ -60,8 +60,8 @@ class Graph:
 
     @cached_property
     def held_degrees(self) -> DataFrame:
-        """degrees(), held in memory until unpersist()."""
-        return self.degrees().persist()
+        """degrees(), held in memory until unpersist() if the edges are held too."""
+        return self.degrees().persist() if self.edges.storageLevel.useMemory else self.degrees()
 
     def cached(self) -> Graph:
         return Graph(self.vertices.persist(), self.edges.persist(), self.symmetric, self.index, self.owned)
