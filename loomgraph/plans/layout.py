@@ -19,6 +19,8 @@ from .loop import delete, new_path, written
 
 #: A vertex is a hub if it has more than this share of a partition's edges; so there are at most so many hubs for each partition.
 HUB_SHARE = 16
+#: Edges that a task of a round reads at least, where tasks are more than cores.
+TASK_EDGES = 1_000_000
 #: Edges of a range of an index, and ranges at most.
 RANGE_EDGES, MOST_RANGES = 200_000, 4096
 
@@ -79,7 +81,10 @@ class Layout:
     @classmethod
     def of(cls, graph: Graph, *columns: str, on: str = "src") -> Layout:
         """src, dst and other columns of the edges of a graph; with its index, and without a copy of edges that are held."""
-        return cls(graph.edges.select("src", "dst", *columns), graph.n, on, graph.index if on == "src" else None, graph.edges.storageLevel.useMemory)
+        edges, held = graph.edges.select("src", "dst", *columns), graph.edges.storageLevel.useMemory
+        if held and graph.n <= edge_map.MOST_PUSHED:  # tables in memory keep the partitions they were made with
+            edges = edges.coalesce(max(edges.sparkSession.sparkContext.defaultParallelism, graph.m // TASK_EDGES))
+        return cls(edges, graph.n, on, graph.index if on == "src" else None, held)
 
     @property
     def edges(self) -> DataFrame:
@@ -113,7 +118,9 @@ class Layout:
         kinds = dict(sent.dtypes) | dict(state.dtypes)
         none = lambda cs: [F.lit(None).cast(kinds[c]).alias(c) for c in cs]
         both = state.select("id", *kept, *none(more)).unionByName(sent.select("id", *none(kept), *more))
-        return both.groupBy("id").agg(*[F.max(c).alias(c) for c in kept], *[v.alias(k) for k, v in folds.items()])
+        merged = both.groupBy("id").agg(*[F.max(c).alias(c) for c in kept], *[v.alias(k) for k, v in folds.items()])
+        few = state.sparkSession.sparkContext.defaultParallelism  # held states aren't coalesced by the planner
+        return merged.coalesce(few) if few < self.parts else merged
 
     def placed(self, state: DataFrame) -> DataFrame:
         """state laid out by id, as what the rounds make of it is; the planner leaves a layout that is right alone."""
