@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_text_operators import ODD, docs_of
 
-from loomgraph.llm import cluster, line_dedup, whiten as whitening
+from loomgraph.llm import line_dedup, whiten as whitening
 from loomgraph.llm.cluster import Annulus, cluster_vectors, clusters
 from loomgraph.llm.line_dedup import dedup_lines
 from loomgraph.llm.whiten import whiten
