@@ -16,7 +16,7 @@ from .common import settle
 #: Words of the shortest unit: every line and sentence that has any. A caller who wants to leave short ones alone, which recur by chance, gives more.
 MIN_WORDS = 1
 #: Units handed on at once.
-BATCH = 20_000
+BATCH = 4_000
 #: Rows of a digest beyond which it is set apart in the join, or this share of all units if that is more, so that such digests are HEAVY_SHARE at most.
 HEAVY, HEAVY_SHARE = 1_000_000, 100_000
 _SCHEMA = "rid long, doc_id string, unit string, start int, end int, n_words int, d1 long, d2 long, own_start int"
