@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, drop_settled, join_unique, settle
@@ -19,6 +20,8 @@ COSINE = 0.98
 PER_MEDOID, MOST_MEDOIDS, MOST_SAMPLED, MOST_BYTES = 350, 4096, 40_000, 32 << 20
 #: Shards a vector lies in, vectors of a block, out-degree, candidates of a node, slack of the pruning, beam.
 OVERLAP, BLOCK, DEGREE, CANDIDATES, ALPHA, BEAM = 3, 2048, 20, 64, 1.2, 16
+#: How far below the threshold a node may lie for a walk to go on from it.
+SLACK = 0.01
 #: The neighbours of every vector whose id this divides are counted exactly; the recall below which the search is widened.
 AUDITED, LEAST_RECALL = 100, 0.97
 
@@ -93,7 +96,7 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], entries: np.ndarray, le
     for i, a in enumerate(lists):
         adj[i, : len(a)] = a
     x32 = x.astype(np.float32)
-    slack = least - 0.01
+    slack = least - SLACK
     seen = np.zeros((n, n + 1), dtype=bool)
     seen[:, n] = True
     hit = np.zeros((n, n), dtype=bool)
@@ -190,21 +193,33 @@ def _assign(medoids: dict, overlap: int):
     return run
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for g in _groups(batches, ["grp", "shard", "block"]):
-        g = g.sort_values("node")
-        node = g["node"].to_numpy()
-        x = _unit(_matrix(g["v"]))
-        out = robust_prune(x)
-        back: list[list[int]] = [[] for _ in range(len(g))]
-        for i, row in enumerate(out):
-            for j in row[row >= 0]:
-                if len(back[j]) < DEGREE:
-                    back[j].append(i)
-        lists = [node[np.unique(np.concatenate([r[r >= 0], np.array(b, dtype=np.int64)]))] for r, b in zip(out, back)]
-        mean = x.mean(0)
-        medoid = int((x @ mean).argmax())
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(lists, pa.list_(pa.int64())), pa.array(np.arange(len(g)) == medoid)], ["node", "near", "medoid"])
+def _build(least: float):
+    """The lists of each block, with the shard they were made in; close: neighbours in range, wide: those of which something in range of the node's own neighbours can be."""
+    near_by = float(np.clip(least - SLACK, -1, 1))
+    reach = np.arccos(near_by) + np.arccos(np.clip(least, -1, 1))
+    within = np.cos(min(np.pi, reach)) - 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["grp", "shard", "block"]):
+            g = g.sort_values("node")
+            node = g["node"].to_numpy()
+            x = _unit(_matrix(g["v"]))
+            out = robust_prune(x)
+            back: list[list[int]] = [[] for _ in range(len(g))]
+            for i, row in enumerate(out):
+                for j in row[row >= 0]:
+                    if len(back[j]) < DEGREE:
+                        back[j].append(i)
+            lists = [np.unique(np.concatenate([r[r >= 0], np.array(b, dtype=np.int64)])) for r, b in zip(out, back)]
+            cosines = [x[a] @ x[i] for i, a in enumerate(lists)]
+            near, close, wide = ([node[a[c >= bound]] for a, c in zip(lists, cosines)] for bound in (-2, near_by, within))
+            mean = x.mean(0)
+            medoid = int((x @ mean).argmax())
+            many = pa.list_(pa.int64())
+            arrays = [pa.array(node), pa.array(g["shard"].to_numpy()), pa.array(near, many), pa.array(close, many), pa.array(wide, many), pa.array(np.arange(len(g)) == medoid)]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "shard", "near", "close", "wide", "medoid"])
+
+    return run
 
 
 def _least_linked(hit: np.ndarray) -> np.ndarray:
@@ -259,10 +274,11 @@ def _search(least: float, beam: int):
 
 
 def _links(nodes: DataFrame, least: float, overlap: int | None, beam: int) -> DataFrame:
-    """Rows (node, links, hits, root) of the search, once for each shard pair of blocks.
+    """Rows (node, links, hits, root) of the search, once for each shard pair of blocks, and of the walks that leave their shards.
 
     links counts rows, each pair of nodes in one of the tasks that find it; hits
-    names the nodes, for those that are audited. Without an overlap each group is one shard.
+    names the nodes, for those that are audited. Without an overlap each group
+    is one shard, and no walk leaves it.
     """
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -273,13 +289,76 @@ def _links(nodes: DataFrame, least: float, overlap: int | None, beam: int) -> Da
     shards = shards.join(sizes, ["grp", "shard"]).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
     shards = settle(shards)
     tasks = max(parts, shards.count() // BLOCK)
-    built = shards.select("grp", "shard", "block", "node", "v").repartition(tasks, "grp", "shard", "block").sortWithinPartitions("grp", "shard", "block").mapInArrow(_build, "node long, near array<long>, medoid boolean")
-    graph = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid"))
+    built = shards.select("grp", "shard", "block", "node", "v").repartition(tasks, "grp", "shard", "block").sortWithinPartitions("grp", "shard", "block")
+    built = built.mapInArrow(_build(least), "node long, shard long, near array<long>, close array<long>, wide array<long>, medoid boolean")
+
+    def united(name: str) -> Column:
+        return F.array_distinct(F.flatten(F.collect_list(name))).alias(name)
+
+    graph = built.groupBy("node").agg(united("near"), united("close"), F.collect_list(F.struct("shard", "wide")).alias("doors"), F.max("medoid").alias("medoid"))
     graph = settle(graph.join(nodes.select("node", "copies", "audited"), "node"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))))
-    pairs = shards.join(graph, "node").withColumn("other", other)
+    pairs = shards.join(graph.drop("close", "doors"), "node").withColumn("other", other)
     pairs = pairs.select("grp", "shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "shards", "node", "v", "near", "medoid", "copies", "audited")
-    return settle(pairs.repartition(tasks, "grp", "shard", "i", "j").sortWithinPartitions("grp", "shard", "i", "j").mapInArrow(_search(least, beam), "node long, links long, hits array<long>, root long"))
+    inside = settle(pairs.repartition(tasks, "grp", "shard", "i", "j").sortWithinPartitions("grp", "shard", "i", "j").mapInArrow(_search(least, beam), "node long, links long, hits array<long>, root long"))
+    if not medoids:
+        return inside
+    across = _across(graph, shards, least)
+    return inside if across is None else settle(inside.unionByName(across))
+
+
+def _verify(least: float):
+    """a, b, va, vb -> the pairs in range."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 2000):
+                part = pdf.iloc[k : k + 2000]
+                near = np.einsum("ij,ij->i", _unit(_matrix(part["va"])), _unit(_matrix(part["vb"]))) >= least
+                yield part.loc[near, ["a", "b"]]
+
+    return run
+
+
+def _across(graph: DataFrame, shards: DataFrame, least: float) -> DataFrame | None:
+    """Rows (node, links, hits, root), one for each way of each pair in range that has no shard in common; None where no such pair is found.
+
+    Walks go on where their shards end: from a node over its neighbours in range
+    to the lists these have in other shards, then on from whatever was found in
+    range, until a round finds nothing new. List entries that are too far from
+    the neighbour to be in range of the node (by the angles) are left out, so
+    nodes without neighbours in range cost nothing. A node is named in the lists
+    of its own few blocks only, so no key of these joins is hot. Candidates are
+    compared by their vectors.
+    """
+    at = shards.filter(F.col("shard") == F.col("shards")[0]).select("node", "shards", "v")
+    place = at.select("node", "shards")
+    lists = graph.select(F.col("node").alias("via"), F.explode("doors").alias("door")).select("via", F.col("door.shard").alias("shard"), F.col("door.wide").alias("wide")).filter(F.size("wide") > 0)
+    asked = graph.select("node", F.explode("close").alias("via"))
+    found: list[DataFrame] = []
+    while True:
+        to = asked.join(place, "node").join(lists, "via").filter(~F.array_contains("shards", F.col("shard"))).select("node", F.explode("wide").alias("to"))
+        pairs = to.filter(F.col("to") != F.col("node")).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+        for known in found:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        ends = (place.select(F.col("node").alias(k), F.col("shards").alias(f"s{k}")) for k in "ab")
+        pairs = pairs.join(next(ends), "a").join(next(ends), "b").filter(~F.arrays_overlap("sa", "sb")).select("a", "b")
+        whole = (at.select(F.col("node").alias(k), F.col("v").alias(f"v{k}")) for k in "ab")
+        new = settle(pairs.join(next(whole), "a").join(next(whole), "b").mapInPandas(_verify(least), "a long, b long"))
+        if new.isEmpty():
+            drop_settled(new)
+            break
+        found.append(new)
+        asked = _both_ways(new).select("node", F.col("root").alias("via"))
+    if not found:
+        return None
+    every = _both_ways(reduce(DataFrame.unionByName, found))
+    every = every.join(graph.select(F.col("node").alias("root"), F.col("copies").alias("links")), "root").join(graph.select("node", "audited"), "node")
+    return every.select("node", "links", F.when(F.col("audited"), F.array("root")).otherwise(F.array().cast("array<long>")).alias("hits"), "root")
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("root")))
 
 
 def _medoids(nodes: DataFrame, n: int, least: float) -> dict:
@@ -334,7 +413,8 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERL
     the shards of their nearest medoids, a robust-pruned graph is built on each
     shard, adjacency lists are united over shards, and every node is searched
     for from the medoids. Larger shards are cut into blocks that are searched
-    two by two, so no task holds more than two blocks. No two medoids are in
+    two by two, so no task holds more than two blocks. Walks then go on over the
+    united lists into the shards a node doesn't lie in. No two medoids are in
     range of each other, so vectors in range of each other meet in few shards.
     The recall of every vector whose id is divisible by AUDITED, or whose hash
     is where no such vector can be compared, is measured by brute force, and

@@ -246,6 +246,32 @@ def test_large_near_group_is_linked_whole(spark, monkeypatch):
     assert (links <= close.sum(1)).all() and links.sum() >= 0.97 * close.sum() and out[0].recall >= 0.97
 
 
+def test_walks_leave_their_shards(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    t = rng.uniform(-1.2, 1.2, size=(1200, 2))  # a sheet, so that ranges lie across the borders of many shards
+    x = np.concatenate([np.cos(t), np.sin(t), np.full((1200, 1), 0.3)], 1) @ rng.normal(size=(5, 8))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    close = u @ u.T >= 0.99
+    np.fill_diagonal(close, False)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1200 + i, x[i].tolist(), 0) for i in range(40)]  # copies count as links
+    want = close.sum(1) + close[:, :40].sum(1)
+    want[:40] += 1
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr("loomgraph.llm.embedding.PER_MEDOID", 25)
+    monkeypatch.setattr("loomgraph.llm.embedding.LEAST_RECALL", 0)
+
+    def found():
+        out = {r.vec_id: r for r in near_vectors(vectors, 0.99, overlap=2).collect()}
+        links = np.array([out[i].n_links for i in range(1200)])
+        assert (links <= want).all()  # no pair is counted twice
+        assert all(out[1200 + i].n_links == links[i] and out[1200 + i].component_id == out[i].component_id for i in range(40))
+        return links.sum() / want.sum()
+
+    walked = found()
+    monkeypatch.setattr("loomgraph.llm.embedding._across", lambda *_: None)
+    assert walked >= 0.995 and found() < walked
+
+
 def test_recall_is_told_only_where_it_was_measured(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 12))
