@@ -41,11 +41,12 @@ def passages(p: Packed) -> tuple[np.ndarray, np.ndarray]:
     offset = np.arange(len(p.raw)) - p.starts[owner_of_byte]
     at = base[owner_of_byte] + np.minimum(offset // PASSAGE, per_text[owner_of_byte] - 1)
     inside = offset < p.lens[owner_of_byte]
-    at, cls, raw = at[inside], _CLASS[p.raw[inside]], p.raw[inside].astype(np.int64)
+    at, cls, raw, own = at[inside], _CLASS[p.raw[inside]], p.raw[inside].astype(np.int64), owner_of_byte[inside]
     size = np.maximum(np.bincount(at, minlength=n), 1)[:, None]
     counts = np.bincount(at * CLASSES + cls, minlength=n * CLASSES).reshape(n, CLASSES) / size
-    pair = (raw[:-1] * 131 + raw[1:]) % PAIRS
-    pairs = np.bincount(at[:-1] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS) / size if len(raw) > 1 else np.zeros((n, PAIRS))
+    within = np.flatnonzero(own[1:] == own[:-1])  # a text's last byte makes no pair with the next text
+    pair = (raw[within] * 131 + raw[within + 1]) % PAIRS
+    pairs = np.bincount(at[within] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS) / size
 
     first = p.starts[p.text_of(p.w0)]
     of_word = base[p.text_of(p.w0)] + np.minimum((p.w0 - first) // PASSAGE, per_text[p.text_of(p.w0)] - 1)
