@@ -19,6 +19,8 @@ MIN_WORDS = 1
 BATCH = 4_000
 #: Rows of a digest beyond which it is set apart in the join, or this share of all units if that is more, so that such digests are HEAVY_SHARE at most.
 HEAVY, HEAVY_SHARE = 1_000_000, 100_000
+#: Units whose repeated digests share a file.
+UNITS_A_FILE = 5_000_000
 _SCHEMA = "rid long, doc_id string, unit string, start int, end int, n_words int, d1 long, d2 long, own_start int"
 
 
@@ -83,9 +85,11 @@ def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
         rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     rank = F.when(F.col("own_start").isNull(), rank)  # the first in its document; others never lead
     firsts = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), *[F.min_by(c, rank).alias(f"first_{c}") for c in ("rid", "doc_id", "start")])
-    firsts = settle(firsts.filter("n > 1"))
+    # The repeated ones are few: a file for each shuffle partition would hold next to nothing, and on a local disk Spark starts processes for every file.
+    n, cores = units.count(), units.sparkSession.sparkContext.defaultParallelism
+    firsts = settle(firsts.filter("n > 1").repartition(max(cores, n // UNITS_A_FILE)))
     # The digests with most rows are few, and known from the counts: their rows meet a broadcast.
-    heavy = firsts.filter(F.col("n") > max(HEAVY, units.count() // HEAVY_SHARE)).drop("n")
+    heavy = firsts.filter(F.col("n") > max(HEAVY, n // HEAVY_SHARE)).drop("n")
     if heavy.isEmpty():
         met = units.join(firsts.drop("n"), ["d1", "d2"])
     else:

@@ -454,6 +454,23 @@ def test_repeated_and_missing_ids_keep_their_own_spans(spark, monkeypatch, heavy
     assert len(firsts) == 1 and firsts <= {(1, 0), (1, 31)}
 
 
+def test_repeated_digests_fill_few_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("loomgraph.llm.common.shared_dir", lambda _: str(tmp_path))
+    rows = [(i, f"line {i % 150} of them\nown {i} words", "s") for i in range(600)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = {(r.doc_id, r.start, r.first_doc_id, r.first_start) for r in repeated_units(docs_of(spark, rows)).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {(i, 0, i % 150, 0) for i in range(150, 600)}
+    files = [len(list(d.glob("part-*"))) for d in tmp_path.iterdir()]
+    assert len(files) == 2 and max(files) <= spark.sparkContext.defaultParallelism
+
+
 def test_no_folder_of_this_machine_on_a_cluster():
     from types import SimpleNamespace
 
