@@ -17,6 +17,8 @@ SPARSE_SHARE = 20
 MOST_PUSHED = 1_000_000
 #: Destinations whose states a task holds at once in a fold of the caller's own.
 MOST_FOLDED = 200_000
+#: Messages or states that such a fold is handed at once.
+FOLD_ROWS = 200_000
 
 #: Commutative monoids messages are combined with. Each has partial aggregation.
 COMBINE: dict[str, Callable[[Column], Column]] = {
@@ -136,7 +138,7 @@ def edge_map_counted(graph: Graph, state: DataFrame, fn: EdgeFn, frontier: DataF
 class Fold:
     """A fold with a state of its own, as functions of pandas tables.
 
-    update: rows (dst, message) of a batch -> rows (dst, state columns), one
+    update: rows (dst, message) of a task's edges -> rows (dst, state columns), one
     for each dst; merge: rows (dst, state columns), several for a dst -> one
     for each; commit: rows (dst, state columns) -> rows (dst, value columns).
     state and value name the columns and types between dst and the end, as in
@@ -150,24 +152,38 @@ class Fold:
     value: str
 
 
+def _many_rows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """The rows of the batches, `least` at least at a time but for the last."""
+    waiting, rows = [], 0
+    for pdf in batches:
+        if len(pdf):
+            waiting.append(pdf)
+            rows += len(pdf)
+        if rows >= least:
+            yield pd.concat(waiting, ignore_index=True)
+            waiting, rows = [], 0
+    if waiting:
+        yield pd.concat(waiting, ignore_index=True)
+
+
 def fold_edges(graph: Graph, state: DataFrame, message: Column, fold: Fold, frontier: DataFrame | None = None) -> DataFrame:
     """Rows (id, value columns) of the destinations that got a message.
 
-    A task folds its edges batch by batch and hands on one state for each of
-    its destinations (more only where it holds more than MOST_FOLDED of them);
-    states meet by destination and are merged in order of it, a batch at a
-    time, so a hub is no more than the states of all tasks. message: a column
-    over src, dst, w, eid and the source's state as s_name. A null message is
-    handed to update like any other.
+    A task folds its edges FOLD_ROWS at a time and hands on one state for each
+    of its destinations (more only where it holds more than MOST_FOLDED of
+    them); states meet by destination and are merged in order of it, FOLD_ROWS
+    at a time, so a hub is no more than the states of all tasks. A row is so
+    folded a bounded number of times, however many destinations a task holds.
+    message: a column over src, dst, w, eid and the source's state as s_name. A
+    null message is handed to update like any other.
     """
-    edges = active_edges(graph, frontier).join(state.select(*[F.col(c).alias("src" if c == "id" else f"s_{c}") for c in state.columns]), "src")
+    sources = state.select(*[F.col(c).alias("src" if c == "id" else f"s_{c}") for c in state.columns])
+    edges = active_edges(graph, frontier).join(F.broadcast(sources) if graph.n <= MOST_PUSHED else sources, "src")
     names = [x.split()[0] for x in fold.state.split(",")]
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in _many_rows(batches, FOLD_ROWS):
             new = fold.update(pdf)
             held = new if held is None else fold.merge(pd.concat([held, new], ignore_index=True))
             if len(held) > MOST_FOLDED:
@@ -178,12 +194,10 @@ def fold_edges(graph: Graph, state: DataFrame, message: Column, fold: Fold, fron
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in _many_rows(batches, FOLD_ROWS):
             held = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             held = fold.merge(held).sort_values("dst", ignore_index=True)
-            rest = held.iloc[-1:]  # may go on in the next batch
+            rest = held.iloc[-1:]  # may go on in the next rows
             if len(held) > 1:
                 yield fold.commit(held.iloc[:-1].reset_index(drop=True))
         if rest is not None:

@@ -2,6 +2,7 @@
 
 import os
 import random
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_programs import got, graph
 
+from loomgraph.graph import from_edges
 from loomgraph.operators import edge_map, partition, sequence
 from loomgraph.operators.edge_map import Fold, fold_edges, vertex_apply
 from loomgraph.plans import algorithms as a
@@ -159,6 +161,40 @@ def test_a_fold_moves_one_state_for_each_task_and_destination(spark):
     assert seen.value <= 2 * 2 * 4 * star.edges.rdd.getNumPartitions() + 8  # states, not edges
 
 
+def test_a_fold_of_many_destinations_merges_a_row_few_times(spark):
+    """Batches are small beside what a task holds: it must not merge all it holds for each of them."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        g = graph(spark, [(k, k % 1500) for k in range(3000)], 3000)
+        g = from_edges(g.edges.coalesce(1), g.vertices)
+        seen, largest = spark.sparkContext.accumulator(0), _largest(2)
+
+        def merge(pdf):
+            seen.add(len(pdf))
+            return largest.merge(pdf)
+
+        out = got(fold_edges(g, g.vertices.withColumn("x", F.col("id") - 7), F.col("s_x"), replace(largest, merge=merge)), "value")
+        assert out == {d: f"{d + 1493},{d - 7}" for d in range(1500)}
+        assert seen.value <= 4 * 3000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("rows, held", [(1, 1), (7, 3), (50, 200_000)])
+def test_folds_in_pieces(spark, towns, monkeypatch, rows, held):
+    """Messages of any sign and size, among them the ends of the longs, whatever the size of the pieces."""
+    monkeypatch.setattr(edge_map, "FOLD_ROWS", rows)
+    monkeypatch.setattr(edge_map, "MOST_FOLDED", held)
+    ends = {0: -(2**63), 1: 2**63 - 1, 2: -1, 3: 2**53 + 1}
+    state = towns.vertices.select("id", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in ends.items() for x in p]).cast("map<long,long>"), F.col("id") % 11), F.col("id") % 5).alias("x"))
+    want = {}
+    for r in towns.edges.collect():
+        want.setdefault(r.dst, set()).add(ends.get(r.src % 11, r.src % 5))
+    out = got(fold_edges(towns, state, F.col("s_x"), _largest(3)), "value")
+    assert out == {d: ",".join(map(str, sorted(v, reverse=True)[:3])) for d, v in want.items()}
+
+
 def test_vertex_functions(spark):
     state = spark.createDataFrame([(1, 2.0, "a"), (2, None, None), (3, 4.0, "c")], "id long, x double, s string")
 
