@@ -53,7 +53,10 @@ class Graph:
         return self.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("degree"))
 
     def degrees(self) -> DataFrame:
-        """(id, out_degree, in_degree) of every vertex, 0 where it has no edge: one shuffle of the edge ends."""
+        """(id, out_degree, in_degree) of every vertex, 0 where it has no edge: one shuffle of the edge ends, of one end if they are symmetric."""
+        if self.symmetric:
+            ends = self.edges.select(F.col("src").alias("id"), F.lit(1).alias("d")).unionByName(self.vertices.select("id", F.lit(0).alias("d")))
+            return ends.groupBy("id").agg(F.sum("d").alias("out_degree")).withColumn("in_degree", F.col("out_degree"))
         ends = self.edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
         none = self.vertices.select("id", F.lit(0).alias("o"), F.lit(0).alias("i"))
         return ends.unionByName(none).groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
@@ -64,7 +67,8 @@ class Graph:
         return self.degrees().persist() if self.edges.storageLevel.useMemory else self.degrees()
 
     def cached(self) -> Graph:
-        return Graph(self.vertices.persist(), self.edges.persist(), self.symmetric, self.index, self.owned)
+        edges = self.edges.persist()  # first, so that vertices derived from them read them from memory
+        return Graph(self.vertices.persist(), edges, self.symmetric, self.index, self.owned)
 
     def unpersist(self) -> None:
         self.vertices.unpersist()
@@ -83,5 +87,5 @@ def from_edges(edges: DataFrame, vertices: DataFrame | None = None, symmetric: b
     eid = F.col("eid").cast("long") if "eid" in edges.columns else F.lit(None).cast("long")
     edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), w.alias("w"), eid.alias("eid"))
     if vertices is None:
-        vertices = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        vertices = edges.select(F.col("src").alias("id") if symmetric else F.explode(F.array("src", "dst")).alias("id")).distinct()
     return Graph(vertices.select(F.col("id").cast("long").alias("id")), edges, symmetric)

@@ -61,7 +61,7 @@ class _Levels:
         few = self.size <= edge_map.MOST_PUSHED
         if self.pulls and not self.forth.small:
             if self._back is None:
-                self._back = Layout.of(self.graph, on="dst")
+                self._back = Layout.of(self.graph, on="dst", own=True)
             return self._back.meet(rest, self.left).join(F.broadcast(front) if few else front, "src")
         met = self.forth.meet(front, self.size, self.sparse)
         return met.join(F.broadcast(rest), "dst") if self.pulls else met
@@ -309,7 +309,7 @@ def belief_propagation(graph: Graph, vertex_potentials: DataFrame, edge_potentia
     don't underflow; potentials must then be positive.
     """
     held, state = Rounds(), vertex_potentials.select("id", "psi0", "psi1", F.lit(0.0 if logs else 1.0).alias("a"), F.lit(0.0 if logs else 1.0).alias("b"))
-    layout = Layout(edge_potentials.select("dst", "psi00", "psi01", "psi10", "psi11"), graph.n, "dst")
+    layout = Layout(edge_potentials.select("dst", "psi00", "psi01", "psi10", "psi11"), graph.n, "dst", own=True)
 
     def belief(i: int) -> Column:
         if not logs:

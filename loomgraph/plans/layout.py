@@ -1,9 +1,13 @@
 """Edges laid out once for all rounds of a program, so that a round moves messages and nothing else.
 
 A state counted to be small is broadcast to the edges where they are. Beyond
-that, edges lie with the state of one end, by hash; hubs, whose edges would all
-meet in one task, are cut: their edges are dealt out over all tasks, and only
-their states, which are few, are replicated there.
+that, edges lie with the state of one end, by hash and in order of it, and where
+they have nothing but their ends as one list for each vertex, so that a round
+joins vertices and not edges; hubs, whose edges would all meet in one task, are
+cut: their edges are dealt out over all tasks by the other end, and only their
+states, which are few, are replicated there. Vertices with many edges, of which
+there are no more than what may be broadcast, are hubs too: what they send is
+folded where it arrives, so that it is one partial sum for each destination.
 """
 
 from __future__ import annotations
@@ -17,10 +21,14 @@ from ..graph import Graph
 from ..operators import edge_map
 from .loop import delete, new_path, written
 
-#: A vertex is a hub if it has more than this share of a partition's edges; so there are at most so many hubs for each partition.
+#: A vertex is a hub if it has more than this share of a partition's edges; so there are at most so many of these for each partition.
 HUB_SHARE = 16
 #: Edges that a task of a round reads at least, where tasks are more than cores.
 TASK_EDGES = 1_000_000
+#: Least edges of a vertex that is a hub since there are few such; it is a power of two.
+LEAST_HUB = 64
+#: Edges of a large layout that a task folds the messages of: the more, the fewer partial sums.
+FOLDED_EDGES = 2_000_000
 #: Edges of a range of an index, and ranges at most.
 RANGE_EDGES, MOST_RANGES = 200_000, 4096
 
@@ -62,44 +70,69 @@ def indexed(graph: Graph, ranges: int | None = None) -> Graph:
 class Layout:
     """The edges of a graph of n vertices as joined with the state of one end, on ('src' or 'dst'), round after round."""
 
-    def __init__(self, edges: DataFrame, n: int, on: str = "src", index: Index | None = None, held: bool = False):
-        """held: the edges are in memory already."""
+    def __init__(self, edges: DataFrame, n: int, on: str = "src", index: Index | None = None, held: bool = False, degrees: DataFrame | None = None, own: bool = False):
+        """held: the edges are in memory already; degrees(on, __n): the edges of each vertex, where they are known; own: messages are folded by the end the edges lie with."""
         self.on, self.n, self.small, self.index = on, n, n <= edge_map.MOST_PUSHED, index
         self.parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.hubs = self.dealt = None
+        self.columns, self.tasks = edges.columns, self.parts
+        self.hubs = self.dealt = self.listed = None
         if self.small:
             self.plain = edges if held else edges.persist()
             return
-        limit = max(1, edges.count() // (HUB_SHARE * self.parts))
-        counted = edges.groupBy(on).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit).select(on)
-        self.hubs, (many,), self.path = written(counted, F.count("*"))
-        if many:
-            self.dealt = edges.join(F.broadcast(self.hubs), on, "left_semi").repartition(self.parts).persist()
+        self.hubs, self.path, cut, m = self._cut(edges, degrees, own)
+        if cut:
+            # In order of the other end, a task's messages go to few vertices; ranges share out one that many hubs send to.
+            dealt, other = edges.join(F.broadcast(self.hubs), on, "left_semi"), "dst" if on == "src" else "src"
+            self.dealt = (dealt.repartition(self.parts) if own else dealt.repartitionByRange(self.parts, other, on).sortWithinPartitions(other)).persist()
             edges = edges.join(F.broadcast(self.hubs), on, "left_anti")
-        self.plain = edges.repartition(self.parts, on).persist()
+        others = [c for c in edges.columns if c != on]
+        laid = edges.filter(F.col(on).isNotNull()).repartition(self.parts, on)
+        if len(others) == 1:  # null ends, which collect_list drops, meet no vertex
+            self.listed = others[0]
+            laid = laid.groupBy(on).agg(F.collect_list(self.listed).alias("__list"))
+        # What is held in order needn't be sorted again for the join of each round.
+        self.plain = laid.sortWithinPartitions(on).persist()
+        if not own:
+            self.tasks = max(edges.sparkSession.sparkContext.defaultParallelism, (m - cut) // FOLDED_EDGES)
+
+    def _cut(self, edges: DataFrame, known: DataFrame | None, own: bool) -> tuple[DataFrame, str, int, int]:
+        """(the hubs, the path they are written to, their edges, all edges)."""
+        degrees = known if known is not None else edges.groupBy(self.on).agg(F.count("*").alias("__n")).persist()
+        meeting = degrees.filter((F.col("__n") > 0) & F.col(self.on).isNotNull())
+        steps = meeting.groupBy(F.floor(F.log2("__n")).alias("step")).agg(F.count("*").alias("n"), F.sum("__n").alias("m")).collect()
+        m = sum(r.m for r in steps)
+        least = max(1, m // (HUB_SHARE * self.parts)) + 1
+        for step in range(LEAST_HUB.bit_length() - 1, 0 if own else least.bit_length()):
+            if sum(r.n for r in steps if r.step >= step) <= edge_map.MOST_PUSHED:
+                least = min(least, 1 << step)
+                break
+        hubs, (cut,), path = written(meeting.filter(F.col("__n") >= least).select(self.on, "__n"), F.coalesce(F.sum("__n"), F.lit(0)))
+        if known is None:
+            degrees.unpersist()
+        return hubs.select(self.on), path, cut, m
 
     @classmethod
-    def of(cls, graph: Graph, *columns: str, on: str = "src") -> Layout:
+    def of(cls, graph: Graph, *columns: str, on: str = "src", own: bool = False) -> Layout:
         """src, dst and other columns of the edges of a graph; with its index, and without a copy of edges that are held."""
         edges, held = graph.edges.select("src", "dst", *columns), graph.edges.storageLevel.useMemory
         if held and graph.n <= edge_map.MOST_PUSHED:  # tables in memory keep the partitions they were made with
             edges = edges.coalesce(max(edges.sparkSession.sparkContext.defaultParallelism, graph.m // TASK_EDGES))
-        return cls(edges, graph.n, on, graph.index if on == "src" else None, held)
-
-    @property
-    def edges(self) -> DataFrame:
-        return self.plain if self.dealt is None else self.plain.unionByName(self.dealt)
+        degrees = graph.held_degrees.select(F.col("id").alias(on), F.col("out_degree" if on == "src" else "in_degree").alias("__n")) if held else None
+        return cls(edges, graph.n, on, graph.index if on == "src" else None, held, degrees, own)
 
     def meet(self, state: DataFrame, rows: int | None = None, sparse: bool = False) -> DataFrame:
         """Edges joined with state(on, ...) of `rows` vertices (n, where not counted). sparse: they are known to have few edges."""
         rows = self.n if rows is None else rows
         if sparse and self.index is not None and rows <= edge_map.MOST_PUSHED:
-            return self.index.meet(state).select(*[c for c in [*self.plain.columns, *state.columns[1:]] if c != self.on], self.on)
-        if rows <= edge_map.MOST_PUSHED:
-            return self.edges.join(F.broadcast(state), self.on)
-        out = self.plain.join(state, self.on)
+            return self.index.meet(state).select(*[c for c in [*self.columns, *state.columns[1:]] if c != self.on], self.on)
+        few = rows <= edge_map.MOST_PUSHED
+        out = self.plain.join(F.broadcast(state) if few else state, self.on)
+        if self.listed is not None:
+            out = out.select(self.on, F.explode("__list").alias(self.listed), *[c for c in state.columns if c != self.on])
+        if self.tasks < self.parts:
+            out = out.coalesce(self.tasks)
         if self.dealt is not None:
-            mirrors = F.broadcast(state.join(F.broadcast(self.hubs), self.on, "left_semi"))
+            mirrors = F.broadcast(state if few else state.join(F.broadcast(self.hubs), self.on, "left_semi"))
             out = out.unionByName(self.dealt.join(mirrors, self.on))
         return out
 

@@ -22,7 +22,8 @@ def customer_supplier(spark: SparkSession, sf_dir: str) -> Graph:
     """Who ordered from whom."""
     orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (2 * F.col("o_custkey")).alias("a"))
     lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (2 * F.col("l_suppkey") + 1).alias("b"))
-    return _both_ways(orders.join(lines, "k").select("a", "b").distinct().withColumn("w", F.lit(1).cast("long")))
+    # Few pairs repeat, so none are sought before they are dealt out.
+    return _both_ways(orders.join(lines, "k").select("a", "b").repartition("a", "b").distinct().withColumn("w", F.lit(1).cast("long")))
 
 
 def part_supplier(spark: SparkSession, sf_dir: str, every: bool = False) -> Graph:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_programs import got, graph
 
+from loomgraph.graph import from_edges
 from loomgraph.operators import edge_map
 from loomgraph.plans import algorithms as a
 from loomgraph.plans.layout import Index, Layout, indexed
@@ -69,6 +70,50 @@ def test_a_star_is_dealt_over_all_tasks(spark, monkeypatch):
     layout.free()
 
 
+def test_what_hubs_send_is_folded_where_it_arrives(spark, monkeypatch):
+    """Customers that all buy from the same suppliers: a round hands on few partial sums, and sorts no edges."""
+    monkeypatch.setattr(edge_map, "MOST_PUSHED", 40)
+    monkeypatch.setattr("loomgraph.plans.layout.FOLDED_EDGES", 10**9)
+    pairs = spark.range(60_000).select((F.col("id") % 3000 + 100).alias("a"), (F.xxhash64("id") % 20).alias("b"))
+    pairs = pairs.select("a", F.abs("b").alias("b"))
+    edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    g = from_edges(edges, symmetric=True).cached()
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        layout = Layout.of(g)
+        assert {r.src for r in layout.hubs.collect()} == set(range(20))  # twenty of 3,000 edges each, the others have twenty
+        lists = layout.plain
+        assert lists.count() == 3000 and lists.selectExpr("sum(size(__list))").first()[0] == 60_000
+        sent = layout.meet(g.vertices.select(F.col("id").alias("src"), F.lit(1).alias("got"))).select(F.col("dst").alias("id"), "got", F.spark_partition_id().alias("task"))
+        assert sent.count() == g.m
+        assert sent.select("id", "task").distinct().count() <= 3000 + 16 + 20 * spark.sparkContext.defaultParallelism
+        want = {r.dst: r.n for r in edges.groupBy("dst").agg(F.count("*").alias("n")).collect()}
+        assert {r.id: r.got for r in sent.groupBy("id").agg(F.sum("got").alias("got")).collect()} == want
+        own = Layout.of(g, on="dst", own=True)
+        assert own.dealt is None or {r.dst for r in own.hubs.collect()} <= set(range(20))
+        layout.free()
+        own.free()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        g.unpersist()
+
+
+def test_vertices_are_made_from_held_edges(spark):
+    """Once edges are held, nothing derives them a second time."""
+    g = from_edges(spark.range(50).select((F.col("id") * 2).alias("src"), (F.col("id") * 2 + 1).alias("dst"))).cached()
+    assert "InMemoryTableScan" in g.vertices._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation", 1)[1]
+    assert sorted(r.id for r in g.vertices.collect()) == list(range(100))
+    g.unpersist()
+
+
+def test_degrees_of_symmetric_graphs(spark):
+    edges = [(1, 2), (2, 1), (2, 2), (1, 2), (2, 1)]
+    g = graph(spark, edges, 4, True)
+    assert got(g.degrees(), "out_degree", "in_degree") == {0: (0, 0), 1: (2, 2), 2: (3, 3), 3: (0, 0)}
+    g.unpersist()
+
+
 def _own_exchanges(df):
     """Exchanges of the plan that ran, without those that made the cached tables it reads."""
     out, inside = [], None
